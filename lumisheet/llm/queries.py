@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, sharding, simhash
+from . import decontaminate, langid, pii, sharding, simhash
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding)}
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision)}
 
 ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE}
