@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licences, pii, sharding, simhash
+from . import decontaminate, html_text, langid, licences, pii, sharding, simhash
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan)}
+def op7_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan, op7_html_tag_paths)}
 
 ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE}
