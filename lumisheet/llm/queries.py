@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, licences, pii, sharding, simhash
+from . import decontaminate, html_text, langid, licences, metric_join, pii, sharding, simhash
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan, op7_html_tag_paths)}
+def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.digest(table(spark, sf_dir, "embeddings"))
 
-ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan, op7_html_tag_paths, op4_metric_join)}
+
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE, "op4_metric_join": metric_join.ORACLE}
