@@ -1,4 +1,8 @@
-"""A corpus pipeline: language ID, near-duplicate removal, decontamination, PII redaction, tokenisation."""
+"""A corpus pipeline: language ID, near-duplicate removal, decontamination, PII redaction, tokenisation.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumisheet.llm import decontaminate
-from lumisheet.llm.common import table
+from lumisheet.llm import decontaminate, langid, pieces, pii, simhash
+from lumisheet.llm.common import durable, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go; the others carry the predicted language."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the least id stays."""
+    return simhash.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,13 +29,31 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("benchmark_decontamination", benchmark_decontamination)]
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become the name of their kind in brackets."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become SentencePiece ids, which decode to the same text (``exact``)."""
+    return pieces.encoded(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_redaction", pii_redaction),
+    ("sentencepiece", tokens),
+]
 
+#: Learned models and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written to the shared folder before the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else durable(docs), sf_dir)
     return docs

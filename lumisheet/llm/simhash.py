@@ -235,9 +235,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component, whole."""
-    heads = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi")
+    """The document with the least id of each component, whole, one row of it. Documents without id stay."""
+    found = durable(near_duplicates(docs.where("doc_id IS NOT NULL")).select("doc_id", "component_id"))
+    heads = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = docs.join(heads.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    if heads.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id IS NULL"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
