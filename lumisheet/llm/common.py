@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +25,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def resource(path: str) -> bytes:
-    """Bytes of a small file (a tokenizer model) that is given by a local path on the driver."""
-    with open(os.fspath(path), "rb") as f:
-        return f.read()
+def packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """``docs`` as the columns ``apart`` and ``_row``, a struct of all others, so that no new column meets one of theirs."""
+    return docs.select(F.struct(F.lit(True).alias("_"), *[F.col(c) for c in docs.columns if c not in apart]).alias("_row"), *apart)
+
+
+def unpacked(df: DataFrame, columns: list[str], *apart: str) -> DataFrame:
+    """The columns that ``packed`` put away, in their order."""
+    return df.select(*[F.col(c) if c in apart else F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 64) -> DataFrame:

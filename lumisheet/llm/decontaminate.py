@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import packed, unpacked
+
 #: A-Z to a-z; every ASCII character that is neither a letter nor a digit to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 
@@ -226,25 +228,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_share: float = 0.
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that the rule leaves, with their own columns and whole texts."""
-    return contaminated(docs, benchmark, **options).where(~F.col("contaminated")).select(*docs.columns)
+    return unpacked(contaminated(packed(docs, "text"), benchmark, **options).where(~F.col("contaminated")), docs.columns, "text")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", min_words: int = WINDOW, min_share: float = 0.0, **options) -> DataFrame:
     """Documents whose hit spans are cut from the text where a span has ``min_words`` words, or all where the
     hits reach ``min_share`` of the words (0: never for that reason)."""
-    judged = contaminated(docs, benchmark, text_col=text_col, min_share=min_share or 2.0, **options)
-    schema = docs.schema
+    judged = contaminated(packed(docs, text_col), benchmark, text_col=text_col, min_share=min_share or 2.0, **options)
+    long_ = F.filter("hit_spans", lambda x: F.col("contaminated") | (x["end"] - x["start"] >= min_words))
+    judged = judged.select("_row", long_.alias("cut"), text_col)
+    schema = T.StructType([judged.schema["_row"], judged.schema[text_col]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                spans = [(x["start"], x["end"]) for x in r["hit_spans"] if r["contaminated"] or x["end"] - x["start"] >= min_words]
-                if spans:
-                    r[text_col] = _without(r[text_col], spans)
-            yield pa.RecordBatch.from_pylist([{c: r[c] for c in schema.fieldNames()} for r in rows], schema=batch.schema.empty_table().select(schema.fieldNames()).schema)
-
-    return judged.mapInArrow(cut, schema)
+            texts = [_without(t, [(x["start"], x["end"]) for x in spans]) if spans else t for t, spans in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.fieldNames())
+
+    return unpacked(judged.mapInArrow(cut, schema), docs.columns, text_col)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import packed, unpacked
+
 UNKNOWN = "und"
 #: Letter classes: 0 for all that is no letter, a-z, the Latin-1 letters, then classes that letters of other blocks share.
 CLASSES = 64
@@ -183,8 +185,8 @@ def classify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents with a language, which becomes their ``lang``; those without a letter go."""
-    found = classify(docs).where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    found = predict(packed(docs, "text", "lang"), learn(docs.where(~held_out(F.col("doc_id"))))).where(F.col("lang_pred") != UNKNOWN)
+    return unpacked(found.withColumn("lang", F.col("lang_pred")), docs.columns, "text", "lang")
 
 
 def digest(docs: DataFrame) -> DataFrame:
