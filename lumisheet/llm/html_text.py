@@ -2,9 +2,10 @@
 
 A page is read into blocks of text, each with the path of structural tags from the root. Text outside
 links and punctuation are summed per path and divided by the number of its blocks; both ratios are
-smoothed over the blocks in page order, fused, and thresholded. The strongest path that passes gives
-the content root: its enclosing article or main element, or else the element that holds it. All blocks
-under the root that pass the filters for menus, adverts, forms, comments and the like make the text.
+smoothed over the blocks in page order, fused, and thresholded. The paths that pass choose the content
+root: the article or main element with most of their text, or, without one, the elements that hold them.
+All blocks under the root that pass the filters for menus, adverts, forms, comments and the like make
+the text.
 
 Pages are independent: one pass, no shuffle, memory by page. Defined results: a null or empty page, or
 one without content, has empty text; a truncated page is read as far as it goes; repeated rows are
@@ -166,16 +167,14 @@ def main_text(page: str | None, strength: float = 0.5) -> str:
     scores = path_scores(found)
     threshold = strength * float(np.std(list(scores.values())))
     passed = [b for b in found if not b.away and scores[b.path] >= threshold] or [b for b in found if not b.away]
-    # the strongest place: text under each root element, or under each path where there is none
-    mass: dict[tuple, float] = defaultdict(float)
+    # the strongest root element, against all text that is under none
+    mass: dict[int, float] = defaultdict(float)
     for b in passed:
-        mass[b.root, b.path[:-1] if b.root < 0 else ()] += scores[b.path] * (len(b.text) - b.links) * (4 if b.root >= 0 else 1)
-    (root, holder), _ = max(mass.items(), key=lambda x: x[1])
-    if root >= 0:
-        own = [b for b in found if b.root == root]
-    else:
-        own = [b for b in found if b.root < 0 and b.path[: len(holder)] == holder]
-    return "\n\n".join(b.text for b in own if not b.away)
+        mass[b.root] += scores[b.path] * (len(b.text) - b.links) * (4 if b.root >= 0 else 1)
+    root = max(mass, key=mass.__getitem__)
+    holders = {b.path[:-1] for b in passed if b.root == root}
+    own = [b for b in found if b.root == root and not b.away and (root >= 0 or b.path[:-1] in holders)]
+    return "\n\n".join(b.text for b in own)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
