@@ -1,0 +1,88 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+
+from lumisheet.llm import pii
+from lumisheet.llm.common import table
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute(text):
+    out = []
+    for k, (kind, rule) in enumerate(RULES.items()):
+        for m in re.finditer(rule, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (12 <= len(digits) <= 19 and pii.luhn(digits)) or kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end(), kind))
+    return sorted(out)
+
+
+TEXTS = [
+    "a@b.co x@@y.org @foo.com@bar.net a.b+c%d@x-y.z.w. q@nodot p@q..r",
+    "1.2.3.4.5.6.7.8 300.1.1.1 0001.02.3.255 1.2.3 9999999.1.1.1.1",
+    "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111 12 34 56",
+    "+1 (555) 123-4567 +49.30.1234567- +1  +12 3 +123456789012345678",
+    "é+1 555 123 4567😀a@b.co日1.1.1.1",
+    "1" * 3000 + "@" + "a" * 3000 + "." * 50,
+    "",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_base_spans(text):
+    assert [(c.start, c.kind, c.end, pii.KINDS[c.kind]) for c in sorted(pii.base_spans(text)[0], key=lambda c: (c.start, c.kind))] == brute(text)
+
+
+def test_base_spans_at_random():
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("1234567890 .-+()@ab"), rng.integers(0, 60)))
+        assert [(c.start, c.kind, c.end, pii.KINDS[c.kind]) for c in sorted(pii.base_spans(text)[0], key=lambda c: (c.start, c.kind))] == brute(text), text
+
+
+def test_em_learns_who_is_right():
+    """Labelers of known reliability, without labels: the estimates come close."""
+    rng = np.random.default_rng(2)
+    truth = rng.random(4000) < 0.6
+    accuracy = np.array([0.95, 0.9, 0.8, 0.75, 0.6, 0.85, 0.7])
+    right = rng.random((4000, pii.LABELERS)) < accuracy
+    vote = np.where(right == truth[:, None], 1, -1)
+    vote[rng.random(vote.shape) < 0.2] = 0
+    slot = np.repeat(np.arange(pii.SLOTS), 4000)
+    bucket = np.where(np.tile(truth, pii.SLOTS), 3, 40)
+    model = pii.fit(np.zeros(4 * 4000, int), np.tile(vote, (pii.SLOTS, 1)), slot, bucket, np.ones(4 * 4000))
+    assert model.accuracy == pytest.approx(accuracy, abs=0.06)
+    guess = [model.probability(0, tuple(v), (3, 3, 3, 3) if t else (40,) * 4) > 0.5 for v, t in zip(vote, truth, strict=True)]
+    assert np.mean(guess == truth) > 0.97
+
+
+def test_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in pii.digest(docs).collect():
+        base = brute(texts[r.doc_id])
+        names = [f"{kind}:{a}:{b}" for a, _, b, kind in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert set(names) <= set(filter(None, r.spans.split(",")))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for *_, kind in base) for k in RULES)
+
+
+def test_method_spans_and_redaction(spark):
+    texts = ["mail bob [at] example [dot] com now", "call 555-123-4567 today", "password: hunter2hunter2x", "version 1.2.3.4444 is out", "a@b.co and +1 555 123 4567", None, ""] * 3
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert out[4].text == "[EMAIL] and [PHONE]" and out[4].n_chars == len(out[4].text)
+    assert out[0].text == "mail [EMAIL] now" and out[1].text == "call [PHONE] today" and out[2].text == "password: [SECRET]"
+    assert out[3].text == texts[3] and out[5].text is None and out[6].text == ""
+
+
+def test_odd_rows(odd_docs, empty_docs):
+    rows = pii.digest(odd_docs).collect()
+    assert len(rows) == odd_docs.count() and {r.doc_id: r.n_email for r in rows}[9] == 1
+    out = pii.redact(odd_docs)
+    assert out.columns == odd_docs.columns and out.dtypes == odd_docs.dtypes and out.count() == odd_docs.count()
+    assert pii.learn(empty_docs) is None and pii.digest(empty_docs).count() == 0
