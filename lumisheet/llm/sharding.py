@@ -28,6 +28,7 @@ from .common import durable
 
 SHARDS = 16
 BUCKET_ROWS = 100_000
+HOT_GROUPS = 1000
 
 
 def _running(df: DataFrame, keys: list[str], value: Column, order: list[str], name: str, buckets: int) -> DataFrame:
@@ -40,6 +41,14 @@ def _running(df: DataFrame, keys: list[str], value: Column, order: list[str], na
     return df.withColumn("_r", F.coalesce(F.sum("_v").over(own), F.lit(0))).join(offsets, [*keys, "_b"]).withColumn(name, F.col("_r") + F.col("_o")).drop("_b", "_v", "_r", "_o")
 
 
+def _of_group(df: DataFrame, groups: DataFrame, values: DataFrame) -> DataFrame:
+    """Left join of documents with a row per group. Groups that hold over a thousandth of all documents, fewer than
+    ``HOT_GROUPS``, are broadcast; what is left to shuffle has no larger key."""
+    hot = groups.where("hot").select("g")
+    few = F.broadcast(values.join(F.broadcast(hot), "g", "left_semi"))
+    return df.join(F.broadcast(hot), "g", "left_semi").join(few, "g").unionByName(df.join(F.broadcast(hot), "g", "left_anti").join(values, "g", "left"))
+
+
 def _by_shard(values: dict[int, float], shard: str, shards: int) -> Column:
     """The value of a shard as a column."""
     return F.element_at(F.array(*[F.lit(float(values.get(s, 0.0))) for s in range(shards)]), F.col(shard) + 1)
@@ -77,9 +86,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     rows, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets, capacity = max(64, math.ceil(rows / BUCKET_ROWS)), total / shards
 
-    groups = durable(base.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
-    linked = base.join(groups.select("g"), "g", "left_semi")
-    single = base.join(groups.select("g"), "g", "left_anti")
+    groups = durable(base.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").withColumn("hot", F.col("c") * HOT_GROUPS > rows))
+    named = _of_group(base, groups, groups.select("g", "hot"))
+    linked, single = named.where("hot IS NOT NULL").drop("hot"), named.where("hot IS NULL").drop("hot")
     start = F.pmod(F.xxhash64("id", "crc"), F.lit(shards)).cast("int")
     parts = durable(linked.withColumn("shard", start).groupBy("g", "shard").agg(F.count("*").alias("n"), F.max("size").alias("size")))
     parts = propagate(parts, capacity, shards, **options)
@@ -89,7 +98,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     spans = parts.withColumn("hi", F.sum("n").over(by_group)).groupBy("g").agg(F.collect_list(F.struct("shard", (F.col("hi") - F.col("n")).alias("lo"), "hi")).alias("spans"))  # a group has one part in each shard at most
     ranked = _running(linked, ["g"], F.lit(1), ["id", "crc"], "rank", buckets)
     own = F.filter("spans", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0]["shard"]
-    placed = ranked.join(spans, "g").select("id", "size", "crc", own.alias("shard"))
+    placed = _of_group(ranked, groups, spans).select("id", "size", "crc", own.alias("shard"))
     placed = durable(_running(placed, ["shard"], F.col("size"), ["id", "crc"], "at", buckets))
 
     # beyond the capacity a linked document fills gaps like those without links
