@@ -34,14 +34,19 @@ def sat(df: DataFrame, value: str = "l", out: str = "sat") -> DataFrame:
     return df.withColumn("_row", F.sum(F.col(value).cast("double")).over(along)).withColumn(out, F.sum("_row").over(down)).drop("_row")
 
 
-def box_sum(df: DataFrame, values: dict[str, str], radius: int, method: str | None = None) -> DataFrame:
-    """Sums in DOUBLE over the window of a pixel: ``values`` names input column and output column."""
+def box_sum(df: DataFrame, values: dict[str, str], radius: int, method: str | None = None, rows_first: bool = True) -> DataFrame:
+    """Sums in DOUBLE over the window of a pixel: ``values`` names input column and output column.
+
+    A box leaves the pixels partitioned by its second direction. One that follows saves a shuffle by starting with it
+    (``rows_first`` false).
+    """
     method = method or ("running" if radius >= RUNNING_FROM else "sliding")
     if method not in ("sliding", "running"):
         raise ValueError(f"no such method: {method}")
     step = _sliding if method == "sliding" else _running
-    rows = step(df, {c: f"_row_{out}" for c, out in values.items()}, radius, "y", "x")
-    return step(rows, {f"_row_{out}": out for out in values.values()}, radius, "x", "y").drop(*[f"_row_{out}" for out in values.values()])
+    line, along = ("y", "x") if rows_first else ("x", "y")
+    rows = step(df, {c: f"_row_{out}" for c, out in values.items()}, radius, line, along)
+    return step(rows, {f"_row_{out}": out for out in values.values()}, radius, along, line).drop(*[f"_row_{out}" for out in values.values()])
 
 
 def _sliding(df: DataFrame, values: dict[str, str], radius: int, line: str, along: str) -> DataFrame:
@@ -63,9 +68,9 @@ def _running(df: DataFrame, values: dict[str, str], radius: int, line: str, alon
     return sums.withColumns(out_columns).drop(*[f"_s_{out}" for out in values.values()])
 
 
-def _boxed(df: DataFrame, values: dict[str, str], radius: int, method: str | None) -> DataFrame:
+def _boxed(df: DataFrame, values: dict[str, str], radius: int, method: str | None, rows_first: bool = True) -> DataFrame:
     """``box_sum`` with the count of the window's cells as ``_n``."""
-    return box_sum(df.withColumn("_one", lit32(1.0)), values | {"_one": "_n"}, radius, method).drop("_one")
+    return box_sum(df.withColumn("_one", lit32(1.0)), values | {"_one": "_n"}, radius, method, rows_first).drop("_one")
 
 
 def box_mean_var(df: DataFrame, radius: int, l: str = "l", method: str | None = None) -> DataFrame:
@@ -87,7 +92,7 @@ def guided_coefficients(df: DataFrame, params: GuidedFilterParams, l: str = "l",
 
 def guided_filter(df: DataFrame, params: GuidedFilterParams, l: str = "l", out: str = "q", method: str | None = None) -> DataFrame:
     """Edge-preserving smoothing of the luminance by itself."""
-    sums = _boxed(guided_coefficients(df, params, l, method), {"a": "_a", "b": "_b"}, params.radius, method)
+    sums = _boxed(guided_coefficients(df, params, l, method), {"a": "_a", "b": "_b"}, params.radius, method, rows_first=False)
     q = F.col("_a") / F.col("_n") * F.col(l).cast("double") + F.col("_b") / F.col("_n")
     return sums.withColumn(out, q.cast("float")).drop("a", "b", "_a", "_b", "_n")
 

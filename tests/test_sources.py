@@ -65,3 +65,11 @@ def test_methods_agree(spark, sf_dir):
 def test_contrast_plan_prunes_columns(spark, sf_dir):
     plan = luminance_bw(orders_image(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "o_clerk" not in plan and "Exchange" not in plan
+
+
+def test_guided_filter_shuffles_three_times(spark, sf_dir):
+    image = luminance_bw(orders_image(spark, sf_dir))
+    plan = local_contrast(image, GuidedFilterParams(4, 0.01), 1.0, method="sliding")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+    tiles = local_contrast(image, GuidedFilterParams(4, 0.01), 1.0, method="tiles")._jdf.queryExecution().executedPlan().toString()
+    assert tiles.count("Exchange hashpartitioning") == 1
