@@ -145,3 +145,34 @@ def digest(docs: DataFrame) -> DataFrame:
     """The report of the query: one row per document."""
     found = scan(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
+
+
+def oracle(rare: int = 6, looked_up: int = 64, coverage: float = 0.6) -> str:
+    """The same rules as DuckDB SQL."""
+    places = ", ".join(f"({t}, '{label}', {pos}, '{w}')" for t, (label, text, _) in enumerate(TEMPLATES) for pos, w in enumerate(text.split()) if w not in STOP)
+    keys = ", ".join(f"('{label}', {phrase.split()!r})" for label, phrase in dict.fromkeys((x, key) for x, _, key in TEMPLATES))
+    base = ", ".join(f"({p.split()!r}, '{label}')" for p, label in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos, w FROM d),
+base(p, label) AS (VALUES {base}),
+keys(label, p) AS (VALUES {keys}),
+b AS (SELECT doc_id, pos, label FROM tok JOIN base ON word = p[1] AND w[pos + 1 : pos + len(p)] = p),
+bd AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM b GROUP BY doc_id),
+v AS (SELECT DISTINCT doc_id, label FROM tok JOIN keys ON word = p[1] AND w[pos + 1 : pos + len(p)] = p),
+postings(template, label, tpos, word) AS (VALUES {places}),
+vocabulary AS (SELECT DISTINCT word FROM postings),
+hits AS (SELECT doc_id, pos, word FROM tok JOIN vocabulary USING (word)),
+idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) AS idf FROM vocabulary LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS df FROM hits GROUP BY word) USING (word)),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY template ORDER BY idf DESC, word) AS k FROM postings JOIN idf USING (word)),
+ind AS (SELECT template, label, tpos, word, idf / sum(idf) OVER (PARTITION BY template) AS weight FROM ranked WHERE k <= {rare}),
+looked AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS k FROM hits JOIN idf USING (word)) WHERE k <= {looked_up}),
+aligned AS (SELECT doc_id, template, label, pos - tpos AS offs, sum(weight) AS share FROM looked JOIN ind USING (word) GROUP BY ALL),
+own AS (SELECT doc_id, label, max(share) AS share FROM aligned JOIN v USING (doc_id, label) WHERE share >= {coverage} GROUP BY doc_id, label),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM own) GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+sc AS (SELECT doc_id, max(share) AS share FROM own GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, round(coalesce(share, 0.0::DOUBLE), 6)) END AS score
+FROM d LEFT JOIN bd USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""

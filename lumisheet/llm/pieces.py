@@ -34,7 +34,8 @@ from .repeats import multikey_order
 #: The model of the public tokenizers; any BPE model with byte fallback, identity normalisation and a dummy prefix will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 20  # of text that a worker holds as chunks at once
+INDEX_CHARS = 1 << 18  # of new chunks under one suffix array
 _NONE = np.iinfo(np.int64).max
 
 
@@ -253,7 +254,8 @@ class Vocabulary:
         fresh = list(dict.fromkeys(c for p in parts for c in p if c not in self.cache))
         if fresh:
             plain = [c for c in fresh if c[:2] != SPACE * 2]
-            tokens, n = self.encode_chunks(plain) if plain else (self.store[:0], self.count[:0])
+            done = [self.encode_chunks(p) for p in _grouped(plain, INDEX_CHARS)] or [(self.store[:0], self.count[:0])]
+            tokens, n = (np.concatenate(x) for x in zip(*done, strict=True))
             spaced = [self._spaced(c) for c in fresh if c[:2] == SPACE * 2]
             names = plain + [c for c in fresh if c[:2] == SPACE * 2]
             n = np.concatenate((n, np.array([len(s) for s in spaced], np.int64)))
@@ -288,6 +290,17 @@ class Vocabulary:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def _grouped(chunks: list[str], chars: int) -> Iterator[list[str]]:
+    start = size = 0
+    for i, c in enumerate(chunks):
+        size += len(c)
+        if size >= chars:
+            yield chunks[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(chunks):
+        yield chunks[start:]
+
+
 def _packed(text: np.ndarray) -> list[np.ndarray]:
     return [text[:, k] << np.uint64(48) | text[:, k + 1] << np.uint64(32) | text[:, k + 2] << np.uint64(16) | text[:, k + 3] for k in range(0, text.shape[1], 4)]
 

@@ -1,15 +1,15 @@
 """Exact repeats of 100 bytes and more, removed with a distributed, sparse suffix array.
 
-Every 100-byte string is represented by the suffix at its anchor: among the 32-byte grams inside it,
+Every 100-byte string is represented by the suffix at its anchor: among the 24-byte grams inside it,
 the leftmost with the least hash. Equal strings have equal anchors at equal places, so only suffixes
-at anchors (about one in 35) need to be sorted. A suffix stands for the run of strings that share its
+at anchors (about one in 39) need to be sorted. A suffix stands for the run of strings that share its
 anchor, its context.
 
 1. Suffixes are range-partitioned by their leading bytes, ties by gram, context, document and place, with
    splitters that Spark samples; each bucket sorts by a multikey quicksort (a key is read only where the
    ones before it tie) and compares neighbours. A context that stands earlier is a repeat as a whole. First
    contexts whose gram also has other contexts, and those of grams at a bucket's edge, go on.
-2. The single strings of these contexts are sorted the same way; all but the first of equal ones are repeats.
+2. The single strings of these contexts, by their leading bytes and hash (96 bits in all), are sorted the same way; all but the first of equal ones are repeats.
    The first row of a bucket is compared with the last of the bucket before it.
 3. Each document loses the bytes that its repeats cover.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import durable
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 SLICE = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)  # room for a place in a slice, below the gram's hash
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -49,9 +49,10 @@ def _words(buf: bytes) -> np.ndarray:
     return np.ndarray(len(buf) - 7, "<u8", buf, 0, (1,))
 
 
-def _leading(words: np.ndarray) -> np.ndarray:
-    """Eight bytes as integers that sort like the bytes."""
-    return (words.byteswap() ^ np.uint64(1 << 63)).view(np.int64)
+def _leading(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The first four of eight bytes, which sort first and like the bytes, with the upper half of a hash below."""
+    lead = words.byteswap() >> np.uint64(32) << np.uint64(32)
+    return ((lead | hashes >> np.uint64(32)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _pieces(ids: list, texts: list[bytes | None], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -72,7 +73,7 @@ def _pieces(ids: list, texts: list[bytes | None], length: int) -> Iterator[list[
 
 
 def anchors(group: list[tuple[int, int, bytes]], length: int = LENGTH) -> dict[str, np.ndarray]:
-    """Runs of strings that share their anchor: leading bytes, gram and context of the suffix, and where they start."""
+    """Runs of strings that share their anchor: leading bytes and gram of the suffix, its context, and the run (place << 8 | count)."""
     buf = b"".join(p for _, _, p in group) + bytes(GRAM + 8)
     sizes = np.array([len(p) for _, _, p in group])
     ends = np.cumsum(sizes)
@@ -102,16 +103,11 @@ def anchors(group: list[tuple[int, int, bytes]], length: int = LENGTH) -> dict[s
     last = np.append(first[1:], len(at)) - 1
     lo, n, p = at[first], at[last] - at[first] + 1, anchor[first]
     h = xxhash.xxh3_64_intdigest
-    context = np.fromiter((h(buf[a:b]) for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist(), strict=True)), np.uint64, len(lo)).view(np.int64)
+    shape = p - lo << 8 | n  # place of the anchor, strings in the run
+    context = np.fromiter((h(buf[a:b], s) for a, b, s in zip(lo.tolist(), (lo + n + length - 1).tolist(), shape.tolist(), strict=True)), np.uint64, len(lo))
     of = np.searchsorted(starts, lo, side="right") - 1
-    return {
-        "lead": _leading(u[p]),
-        "gram": x[p].view(np.int64),
-        "context": context,
-        "id": np.array([k for k, _, _ in group], np.int64)[of],
-        "place": np.array([a for _, a, _ in group], np.int64)[of] + lo - starts[of],
-        "shape": ((p - lo) << 8 | n).astype(np.int64),  # place of the anchor, strings in the run
-    }
+    place = np.array([a for _, a, _ in group], np.int64)[of] + lo - starts[of]
+    return {"gram": _leading(u[p], x[p]), "context": context.view(np.int64), "id": np.array([k for k, _, _ in group], np.int64)[of], "run": place << 8 | n}
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -147,7 +143,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
 
 def repeated_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """(id, gone, open): for each document the runs of strings (place << 8 | count) that repeat as a whole, and those to compare one by one."""
-    names = ["lead", "gram", "context", "shape", "id", "place"]
+    names = ["gram", "context", "id", "run"]
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,14 +157,14 @@ def repeated_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             return
         columns = _bucket(iter([first, *batches]))
         order = multikey_order(columns)
-        lead, gram, context, shape, key, place = (c[order] for c in columns)
-        in_gram = _same([lead, gram])
-        repeat = in_gram & _same([context, shape])
+        gram, context, key, run = (c[order] for c in columns)
+        in_gram = _same([gram])
+        repeat = in_gram & _same([context])
         of = np.cumsum(~in_gram) - 1
         contexts = np.bincount(of, ~repeat)
         compare_ = ~repeat & ((contexts[of] > 1) | (of == 0) | (of == of[-1]))
         keep = repeat | compare_
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array((place << 8 | shape & 0xFF)[keep]), pa.array(repeat[keep])], names=["id", "run", "gone"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(run[keep]), pa.array(repeat[keep])], names=["id", "run", "gone"])
 
     rows = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(suffixes, ", ".join(f"{c} long" for c in names))
     found = rows.repartitionByRange(buckets, *names).mapInArrow(compare, "id long, run long, gone boolean")
@@ -177,8 +173,8 @@ def repeated_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, runs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(id, single): for each document the places of strings in its open runs that stand earlier."""
-    names = ["lead", "hash", "id", "place"]
+    """(id, single): for each document the strings in its open runs that stand earlier, as runs (place << 31 | count)."""
+    names = ["string", "id", "rest"]  # rest: the other half of the hash, and the place
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
@@ -189,31 +185,39 @@ def repeated_strings(docs: DataFrame, runs: DataFrame, length: int, buckets: int
                     part = np.sort(runs_[i : i + 4096])
                     n = part & 0xFF
                     at = np.repeat(part >> 8, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    hashes = np.fromiter((h(text[a : a + length]) for a in at.tolist()), np.uint64, len(at)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(_leading(_words(text)[at])), pa.array(hashes), pa.array(np.full(len(at), key)), pa.array(at)], names=names)
+                    hashes = np.fromiter((h(text[a : a + length]) for a in at.tolist()), np.uint64, len(at))
+                    rest = (hashes << np.uint64(32)).view(np.int64) | at
+                    yield pa.RecordBatch.from_arrays([pa.array(_leading(_words(text)[at], hashes)), pa.array(np.full(len(at), key)), pa.array(rest)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
         columns = _bucket(iter([first, *batches]))
-        order = multikey_order(columns)
-        lead, hash_, key, place = (c[order] for c in columns)
-        repeat = _same([lead, hash_])
-        edge = np.array([0, len(key) - 1])
-        bucket = np.full(2, TaskContext.get().partitionId())
-        gone = np.flatnonzero(repeat)
-        at = np.concatenate((gone, edge))
-        what = np.concatenate((np.full(len(gone), -1), bucket))
-        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(place[at]), pa.array(lead[at]), pa.array(hash_[at]), pa.array(what), pa.array(np.arange(len(at)) - len(gone))], names=["id", "place", "lead", "hash", "bucket", "side"])
+        order = multikey_order([columns[0], columns[2] >> 32, columns[1], columns[2]])
+        string, key, rest = (c[order] for c in columns)
+        gone = np.flatnonzero(_same([string, rest >> 32]))
+        key, place = key[gone], rest[gone] & 0xFFFFFFFF
+        run = np.lexsort((place, key))  # neighbours in a document in one row
+        key, place = key[run], place[run]
+        start = np.flatnonzero(~(_same([key]) & (np.diff(place, prepend=-1) == 1)))
+        count = np.diff(np.append(start, len(key)))
+        runs_ = pa.array(place[start] << 31 | count)
+        edge = pa.array([f"{TaskContext.get().partitionId():012d} {side} {string[i]} {rest[i] >> 32} {columns[1][order[i]]} {rest[i] & 0xFFFFFFFF}" for side, i in enumerate((0, len(string) - 1))])
+        none = pa.nulls(len(start), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(key[start]), runs_, none], names=["id", "single", "edge"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), edge], names=["id", "single", "edge"])
 
     rows = docs.join(runs.where(F.size("open") > 0).select("id", "open").hint("shuffle_hash"), "id").select("id", "text", "open")
-    rows = rows.mapInArrow(strings, ", ".join(f"{c} long" for c in names)).repartitionByRange(buckets, *names)
-    found = durable(rows.mapInArrow(compare, "id long, place long, lead long, hash long, bucket long, side long"))
-    edges = sorted(found.where("bucket >= 0").select("bucket", "side", "lead", "hash", "id", "place").collect())  # two rows for each bucket
-    carried = [(b.id, b.place) for a, b in zip(edges[1::2], edges[2::2], strict=False) if (a.lead, a.hash) == (b.lead, b.hash)]
-    across = docs.sparkSession.createDataFrame(carried, "id long, place long")
-    return found.where("bucket < 0").select("id", "place").union(across).groupBy("id").agg(F.collect_list("place").alias("single"))
+    rows = rows.mapInArrow(strings, ", ".join(f"{c} long" for c in names)).repartitionByRange(buckets, "string", F.shiftright("rest", 32), "id", "rest")
+    found = rows.mapInArrow(compare, "id long, single long, edge string")
+    found = durable(found.groupBy("id").agg(F.collect_list("single").alias("single"), F.collect_list("edge").alias("edge")))
+    ends = sorted(e for r in found.where("id IS NULL").select("edge").collect() for e in r.edge)  # two for each bucket
+    ends = [list(map(int, e.split())) for e in ends]
+    carried = [(b[4], [b[5] << 31 | 1]) for a, b in zip(ends[1::2], ends[2::2], strict=False) if a[2:4] == b[2:4]]
+    across = docs.sparkSession.createDataFrame(carried, "id long, single array<long>")
+    whole = found.where("id IS NOT NULL").select("id", "single")
+    return whole.union(across).groupBy("id").agg(F.flatten(F.collect_list("single")).alias("single")) if carried else whole
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_rows: int = 400_000) -> DataFrame:
@@ -249,7 +253,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _cut(text: bytes, gone: np.ndarray | None, single: np.ndarray | None, length: int) -> tuple[bytes, int]:
     """The bytes outside all repeats, and the number of maximal runs taken out."""
-    runs = [(r >> 8, (r >> 8) + (r & 0xFF) + length - 1) for r in [gone] if r is not None] + [(s, s + length) for s in [single] if s is not None]
+    runs = [(r >> 8, (r >> 8) + (r & 0xFF) + length - 1) for r in [gone] if r is not None]
+    runs += [(s >> 31, (s >> 31) + (s & 0x7FFFFFFF) + length - 1) for s in [single] if s is not None]
     if not runs:
         return text, 0
     change = np.zeros(len(text) + 1, np.int64)

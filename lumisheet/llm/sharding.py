@@ -32,8 +32,8 @@ HOT_GROUPS = 1000
 
 
 def _running(df: DataFrame, keys: list[str], value: Column, order: list[str], name: str, buckets: int) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over earlier rows of the same keys, in an order by hashed buckets."""
-    df = df.withColumn("_b", F.pmod(F.xxhash64(order[0]), F.lit(buckets))).withColumn("_v", value)
+    """``df`` with ``name``: the sum of ``value`` over earlier rows of the same keys, in an order by buckets hashed anew for each ``name``."""
+    df = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(name), order[0]), F.lit(buckets))).withColumn("_v", value)
     totals = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
