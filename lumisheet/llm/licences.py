@@ -2,7 +2,7 @@
 
 Templates are licence notices and the openings of licence texts. Document frequencies of all licence
 words are counted over all documents; each template is indexed by its rarest words with their
-positions. A document's rarest licence words are looked up in these postings, hits are grouped by
+positions. A document's licence words of highest IDF, those of the index, are looked up in these postings, hits are grouped by
 template and relative position (document position minus template position), and an alignment that
 covers enough of the template's weight names a candidate. It counts only if the document also holds
 the template's mandatory key phrase. Base phrases are found everywhere by exact rules and always stay.
@@ -99,12 +99,11 @@ def _base(docs: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rare: int = 6, looked_up: int = 64, coverage: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rare: int = 6, coverage: float = 0.6) -> DataFrame:
     """One row per document: id, ``n_words``, base places, ``base`` and ``labels`` (arrays), ``score``.
 
-    ``rare``: words by which a template is indexed; ``looked_up``: distinct licence words of a
-    document, rarest first, that are looked up (the whole vocabulary of one notice and more);
-    ``coverage``: least share of the index weight of a template in one alignment.
+    ``rare``: words of highest IDF by which a template is indexed, all of which are looked up in
+    every document; ``coverage``: least share of the index weight of a template in one alignment.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -125,8 +124,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rar
     index = postings.join(F.broadcast(idf), "word").withColumn("k", F.dense_rank().over(by_rarity)).where(F.col("k") <= rare)
     index = index.withColumn("weight", F.col("idf") / F.sum("idf").over(Window.partitionBy("template"))).select("template", "label", "tpos", "word", "weight")
 
-    looked = hits.join(F.broadcast(idf), "word").withColumn("k", F.dense_rank().over(Window.partitionBy("id", "h").orderBy(F.desc("idf"), "word"))).where(F.col("k") <= looked_up)
-    aligned = looked.join(F.broadcast(index), "word").groupBy("id", "h", "template", "label", (F.col("pos") - F.col("tpos")).alias("offset")).agg(F.sum("weight").alias("share"))
+    aligned = hits.join(F.broadcast(index), "word").groupBy("id", "h", "template", "label", (F.col("pos") - F.col("tpos")).alias("offset")).agg(F.sum("weight").alias("share"))
     found = aligned.where(F.col("share") >= coverage).groupBy("id", "h", "label").agg(F.max("share").alias("share"))
     found = found.groupBy("id", "h").agg(F.map_from_entries(F.collect_list(F.struct("label", "share"))).alias("shares"))
 
@@ -147,7 +145,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
 
 
-def oracle(rare: int = 6, looked_up: int = 64, coverage: float = 0.6) -> str:
+def oracle(rare: int = 6, coverage: float = 0.6) -> str:
     """The same rules as DuckDB SQL."""
     places = ", ".join(f"({t}, '{label}', {pos}, '{w}')" for t, (label, text, _) in enumerate(TEMPLATES) for pos, w in enumerate(text.split()) if w not in STOP)
     keys = ", ".join(f"('{label}', {phrase.split()!r})" for label, phrase in dict.fromkeys((x, key) for x, _, key in TEMPLATES))
@@ -166,8 +164,7 @@ hits AS (SELECT doc_id, pos, word FROM tok JOIN vocabulary USING (word)),
 idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) AS idf FROM vocabulary LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS df FROM hits GROUP BY word) USING (word)),
 ranked AS (SELECT *, dense_rank() OVER (PARTITION BY template ORDER BY idf DESC, word) AS k FROM postings JOIN idf USING (word)),
 ind AS (SELECT template, label, tpos, word, idf / sum(idf) OVER (PARTITION BY template) AS weight FROM ranked WHERE k <= {rare}),
-looked AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS k FROM hits JOIN idf USING (word)) WHERE k <= {looked_up}),
-aligned AS (SELECT doc_id, template, label, pos - tpos AS offs, sum(weight) AS share FROM looked JOIN ind USING (word) GROUP BY ALL),
+aligned AS (SELECT doc_id, template, label, pos - tpos AS offs, sum(weight) AS share FROM hits JOIN ind USING (word) GROUP BY ALL),
 own AS (SELECT doc_id, label, max(share) AS share FROM aligned JOIN v USING (doc_id, label) WHERE share >= {coverage} GROUP BY doc_id, label),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM own) GROUP BY doc_id),
 bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),

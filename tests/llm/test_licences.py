@@ -35,6 +35,14 @@ def test_phrases_and_labels(spark):
     assert [got[i].labels for i in (3, 4, 5, 6, 7, 9, 10)] == ["mit", "apache", "", "gpl", "bsd", "", ""]
 
 
+def test_a_document_with_every_notice(spark):
+    """However many licence words a document holds, none of its labels is lost."""
+    text = "\n".join(t for _, t, _ in licences.TEMPLATES)
+    docs = spark.createDataFrame([(0, text), *((i, f"plain words {i}") for i in range(1, 40))], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licences.digest(docs).collect()}
+    assert got.pop(0).split(",") == sorted({x for x, _, _ in licences.TEMPLATES}) and not any(got.values())
+
+
 def test_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
