@@ -1,10 +1,12 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter class has a random bipolar vector. A trigram is bound from the vectors of its letters,
-each permuted (rolled) by its place; a document bundles its trigrams, a language bundles its
-training documents, and a document goes to the language whose prototype has the largest cosine.
+Each letter of any script has a bipolar vector of its own, drawn by a hash of its code point. A
+trigram is bound from the vectors of its letters, each permuted (rolled) by its place; a document
+bundles its trigrams, a language bundles its training documents, and a document goes to the language
+whose prototype has the largest cosine.
 
-Training counts trigrams within each task and binds every distinct one once, so a task emits one
+Training counts trigrams within each task by a key of 63 bits and binds the distinct ones whenever
+``HELD`` of a language are held, so memory does not grow with the alphabet and a task emits one
 vector per language; Spark sums these few rows. Only prototypes (languages x dimensions) are
 broadcast. Bundles are sums of integers: the result does not depend on the partitioning.
 
@@ -27,60 +29,82 @@ from pyspark.sql import types as T
 from .common import packed, unpacked
 
 UNKNOWN = "und"
-#: Letter classes: 0 for all that is no letter, a-z, the Latin-1 letters, then classes that letters of other blocks share.
-CLASSES = 64
-GRAMS = CLASSES**3
+#: A code point takes 21 bits, a trigram 63; 0 stands for all that is no letter.
+BITS = 21
+_POINT = (1 << BITS) - 1
 SLICE_CHARS = 1 << 20
+#: Distinct trigrams that training holds for a language, and that a slice binds at once.
+HELD = 1 << 18
+BOUND = 1 << 16
+PART = 8192
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Letter class of each code point of the basic plane."""
-    out = np.zeros(1 << 16, np.uint8)
-    for cp in range(1 << 16):
-        if chr(cp).isalpha():
-            out[cp] = _class_of(cp)
-    return out
+def _alphabet() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
 
 
 def _class_of(cp: int) -> int:
-    if 97 <= cp <= 122:
-        return cp - 96
-    if 0xDF <= cp <= 0xFF:
-        return 27 + cp - 0xDF
-    return 60 + (cp >> 7) % 4
+    """Each letter is a class of its own."""
+    return cp
+
+
+class _Letters:
+    """Vectors of letters for one place of a trigram."""
+
+    def __init__(self, dims: int, seed: int, shift: int):
+        self.dims, self.start, self.shift = dims, np.uint64(seed * int(_MIX[0]) % 2**64), shift
+
+    def __getitem__(self, letters) -> np.ndarray:
+        found, at = np.unique(letters, return_inverse=True)
+        words = np.arange(-(-self.dims // 64), dtype=np.uint64)
+        x = (found.astype(np.uint64)[:, None] << np.uint64(32) | words) + self.start
+        for _ in range(2):  # the finaliser of splitmix64
+            x = x + _MIX[0]
+            x = (x ^ x >> np.uint64(30)) * _MIX[1]
+            x = (x ^ x >> np.uint64(27)) * _MIX[2]
+            x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1)[:, : self.dims].astype(np.int8)
+        return np.roll(bits * np.int8(2) - np.int8(1), self.shift, axis=1)[at.reshape(np.shape(letters))]
 
 
 @lru_cache(maxsize=4)
-def _letters(dims: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Vectors of the letter classes for the first, second and third place of a trigram."""
-    base = np.random.default_rng(seed).integers(0, 2, (CLASSES, dims), dtype=np.int8) * np.int8(2) - np.int8(1)
-    return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
+def _letters(dims: int, seed: int) -> tuple[_Letters, ...]:
+    """Vectors of the letters for the first, second and third place of a trigram."""
+    return tuple(_Letters(dims, seed, shift) for shift in (2, 1, 0))
 
 
 def bind(codes: np.ndarray, dims: int, seed: int) -> np.ndarray:
     """Vectors of trigrams, a row for each code."""
     first, second, third = _letters(dims, seed)
-    out = first[codes // CLASSES**2]
-    out *= second[codes // CLASSES % CLASSES]
-    out *= third[codes % CLASSES]
+    out = first[codes >> 2 * BITS]
+    out *= second[codes >> BITS & _POINT]
+    out *= third[codes & _POINT]
     return out
 
 
+def _bundle(codes: np.ndarray, counts: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """Sum of the vectors of trigrams, each times its count."""
+    v = np.zeros(dims)
+    for i in range(0, len(codes), PART):
+        v += counts[i : i + PART].astype(float) @ bind(codes[i : i + PART], dims, seed).astype(float)
+    return v
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram codes of all texts and, for each, the index of its text; runs of non-letters count as one boundary."""
     low = [t.lower() for t in texts]
     points = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = _classes()[np.minimum(points, 0xFFFF)]
-    for at in np.flatnonzero(points > 0xFFFF):
-        classes[at] = _class_of(int(points[at])) if chr(points[at]).isalpha() else 0
+    classes = np.where(_alphabet()[points], points, 0)
     owner = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
     keep = classes > 0
     keep[1:] |= classes[:-1] > 0
-    s, owner = np.concatenate(([0], classes[keep])).astype(np.int32), np.concatenate(([-1], owner[keep]))
+    s, owner = np.concatenate(([0], classes[keep])).astype(np.int64), np.concatenate(([-1], owner[keep]))
     if len(s) < 3:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    code, of = (s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:], owner[1:-1]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code, of = (s[:-2] << BITS | s[1:-1]) << BITS | s[2:], owner[1:-1]
     own = (s[1:-1] > 0) | (owner[2:] == of)  # a boundary between two texts is no trigram's middle
     return code[own], of[own]
 
@@ -96,12 +120,24 @@ def _slices(values: list, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]
         yield start, len(values)
 
 
-def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: int = 1024, seed: int = 1) -> dict[str, np.ndarray]:
+def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: int = 1024, seed: int = 1, held_grams: int = HELD) -> dict[str, np.ndarray]:
     """Prototype of each language: the bundle of all trigrams of its documents."""
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        sums: dict[str, np.ndarray] = {}
+
+        def settle(name: str, most: int) -> None:
+            """Merge what is held for a language, and bind it where it is more than ``most`` trigrams."""
+            parts = held[name]
+            codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([n for _, n in parts]), len(codes))
+            if len(codes) > most:
+                sums[name] += _bundle(codes, counts, dims, seed)
+                codes, counts = codes[:0], counts[:0]
+            held[name] = [(codes, counts)]
+
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _slices(texts):
@@ -109,15 +145,15 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", dims
                 names = sorted(set(langs[a:b]))
                 lang_of = np.array([names.index(x) for x in langs[a:b]])[of]
                 for k, name in enumerate(names):
-                    got = np.bincount(code[lang_of == k] if len(names) > 1 else code, minlength=GRAMS)
-                    counts[name] = counts[name] + got if name in counts else got
-        names, vectors = sorted(counts), []
-        for name in names:
-            v, codes = np.zeros(dims), np.flatnonzero(counts[name])
-            for i in range(0, len(codes), 8192):
-                part = codes[i : i + 8192]
-                v += counts[name][part].astype(float) @ bind(part, dims, seed).astype(float)
-            vectors.append(v.astype(np.int64))
+                    own = held.setdefault(name, [])
+                    sums.setdefault(name, np.zeros(dims))
+                    own.append(np.unique(code[lang_of == k] if len(names) > 1 else code, return_counts=True))
+                    if sum(len(c) for c, _ in own) > 2 * held_grams:
+                        settle(name, held_grams)
+        for name in held:
+            settle(name, 0)
+        names = sorted(sums)
+        vectors = [sums[name].astype(np.int64) for name in names]
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(vectors, pa.list_(pa.int64()))], names=["lang", "v"])
 
@@ -158,17 +194,20 @@ def _bundles(texts: list[str], dims: int, seed: int) -> Iterator[tuple[int, np.n
     code, of = trigrams(texts)
     if not len(code):
         return
-    key = np.sort(of * GRAMS + code)
+    seen, row = np.unique(code, return_inverse=True)
+    key = np.sort(of * len(seen) + row)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     count = np.diff(np.append(first, len(key))).astype(np.float32)
-    doc, gram = key[first] // GRAMS, key[first] % GRAMS
-    seen = np.flatnonzero(np.bincount(gram, minlength=GRAMS))
-    vectors, row = bind(seen, dims, seed), np.searchsorted(seen, gram)
+    doc, row = key[first] // len(seen), key[first] % len(seen)
+    vectors = bind(seen, dims, seed) if len(seen) <= BOUND else None  # else by document, so that memory stays bounded
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True):
+        if vectors is None:
+            yield int(doc[a]), _bundle(seen[row[a:b]], count[a:b], dims, seed)
+            continue
         v = np.zeros(dims)
-        for i in range(a, b, 8192):
-            j = min(b, i + 8192)
+        for i in range(a, b, PART):
+            j = min(b, i + PART)
             v += count[i:j] @ vectors[row[i:j]].astype(np.float32)
         yield int(doc[a]), v
 

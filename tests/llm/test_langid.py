@@ -48,3 +48,38 @@ def test_odd_rows(odd_docs, empty_docs):
     assert {r.score for r in kept.collect()} == {"y"}
     assert langid.digest(empty_docs).count() == 0
     assert {r.lang_pred for r in langid.predict(odd_docs.select("doc_id", "text"), {}).collect()} == {"und"}
+
+
+#: Sentences to learn from and sentences to tell, of languages that share a script or a block of code points.
+SCRIPTS = {
+    "ar": (["ذهب الولد إلى المدرسة في الصباح وكان الجو جميلا", "هذا الكتاب الذي قرأته في المكتبة العامة مفيد جدا", "تقع المدينة على البحر ويعيش فيها كثير من الناس", "سوف نسافر إلى القاهرة في الأسبوع القادم مع العائلة"], ["قرأت الطالبة الكتاب في المكتبة", "الناس في المدينة يحبون البحر"]),
+    "fa": (["من هر روز صبح به مدرسه می‌روم و با دوستانم درس می‌خوانم", "این کتاب را که از کتابخانه گرفته‌ام خیلی خوب است", "شهر ما در کنار دریا است و مردم زیادی در آن زندگی می‌کنند", "هفته آینده با خانواده به تهران سفر خواهیم کرد"], ["دوستانم این کتاب را می‌خوانند", "مردم شهر در کنار دریا زندگی می‌کنند"]),
+    "ja": (["わたしはまいにちがっこうへいきます", "この本はとてもおもしろかったです", "町のちかくに海があって、たくさんの人がすんでいます", "来週かぞくといっしょに東京へ行くつもりです"], ["ともだちはがっこうで本をよんでいます", "海のちかくにすんでいる人がいます"]),
+    "ru": (["мальчик пошёл утром в школу, и погода была хорошая", "эта книга, которую я взял в библиотеке, очень интересная", "город стоит на берегу моря, и в нём живёт много людей", "на следующей неделе мы поедем всей семьёй в столицу"], ["девочка взяла в библиотеке интересную книгу", "люди живут на берегу моря, погода хорошая"]),
+    "th": (["ฉันไปโรงเรียนทุกวันตอนเช้ากับเพื่อน", "หนังสือเล่มนี้ที่ยืมมาจากห้องสมุดสนุกมาก", "เมืองของเราอยู่ริมทะเลและมีคนอาศัยอยู่มากมาย", "สัปดาห์หน้าเราจะเดินทางไปกรุงเทพกับครอบครัว"], ["เพื่อนอ่านหนังสือที่ห้องสมุด", "คนในเมืองอาศัยอยู่ริมทะเล"]),
+    "uk": (["хлопець пішов уранці до школи, і погода була гарна", "ця книжка, яку я взяв у бібліотеці, дуже цікава", "місто стоїть на березі моря, і в ньому живе багато людей", "наступного тижня ми поїдемо всією родиною до столиці"], ["дівчина взяла в бібліотеці цікаву книжку", "люди живуть на березі моря, погода гарна"]),
+}
+
+
+def test_scripts_beyond_latin(spark):
+    train = spark.createDataFrame([(t, lang) for lang, (texts, _) in SCRIPTS.items() for t in texts], "text string, lang string")
+    asked = spark.createDataFrame([(t, lang) for lang, (_, texts) in SCRIPTS.items() for t in texts], "text string, lang string")
+    assert [(r.lang, r.text) for r in langid.predict(asked, langid.learn(train)).collect() if r.lang_pred != r.lang] == []
+
+
+def test_letters_have_their_own_vectors():
+    letters = [0, *map(ord, "azéßłžğжіїعپกあ한अ中"), 0x20000]
+    rows = np.stack([langid._letters(1024, 1)[2][x] for x in letters]).astype(int)
+    assert set(np.unique(rows)) == {-1, 1}
+    assert np.abs(rows @ rows.T - 1024 * np.eye(len(letters), dtype=int)).max() < 200
+
+
+def test_large_alphabets_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 700))) for _ in range(6)]
+    docs = spark.createDataFrame([(t, "zh" if i % 2 else "yue") for i, t in enumerate(texts)], "text string, lang string")
+    expected = {lang: sum(brute_vector(t, 1024, 1) for i, t in enumerate(texts) if (i % 2 == 1) == (lang == "zh")) for lang in ("zh", "yue")}
+    monkeypatch.setattr(langid, "BOUND", 10)
+    got = langid.learn(docs.repartition(1), held_grams=100)
+    assert got.keys() == expected.keys() and all(np.array_equal(got[k], expected[k]) for k in expected)
+    assert all(np.array_equal(v, brute_vector(texts[i], 1024, 1)) for i, v in langid._bundles(texts, 1024, 1))
