@@ -157,6 +157,7 @@ def repeated_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             return
         columns = _bucket(iter([first, *batches]))
         order = multikey_order(columns)
+        order = order[~_same([c[order] for c in columns])]  # a repeated row of an id is the same document
         gram, context, key, run = (c[order] for c in columns)
         in_gram = _same([gram])
         repeat = in_gram & _same([context])
@@ -195,6 +196,7 @@ def repeated_strings(docs: DataFrame, runs: DataFrame, length: int, buckets: int
             return
         columns = _bucket(iter([first, *batches]))
         order = multikey_order([columns[0], columns[2] >> 32, columns[1], columns[2]])
+        order = order[~_same([c[order] for c in columns])]  # as above
         string, key, rest = (c[order] for c in columns)
         gone = np.flatnonzero(_same([string, rest >> 32]))
         key, place = key[gone], rest[gone] & 0xFFFFFFFF

@@ -74,3 +74,16 @@ def test_odd_rows(odd_docs, empty_docs):
     by = {r.doc_id: r for r in rows}
     assert len(rows) == odd_docs.count() and by[8].n_removed == by[8].n_bytes and by[7].n_removed > 0 and by[1].n_bytes == 0 and by[None].n_removed == 0
     assert repeats.digest(empty_docs).count() == 0
+
+
+@pytest.mark.parametrize("bucket_rows", [5, 400_000])
+def test_repeated_rows_are_one_document(spark, bucket_rows):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = text(1000)
+    rows = [(1, base), (2, text(50) + base[200:700] + text(50)), (3, base[:300] + text(400) + base[:300]), (4, text(1000))]
+    expected = repeats.brute([(i, t.encode()) for i, t in rows])
+    assert expected[1][0] == expected[4][0] == 0 < min(expected[2][0], expected[3][0])
+    docs = spark.createDataFrame(rows + rows + rows[:1], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, (r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())) for r in repeats.remove_repeats(docs, bucket_rows=bucket_rows).collect()]
+    assert len(got) == 9 and all(found == expected[i] for i, found in got)
