@@ -7,6 +7,10 @@ root: the article or main element with most of their text, or, without one, the
 All blocks under the root that pass the filters for menus, adverts, forms, comments and the like make
 the text.
 
+Navigation, footers, asides and the like are away by their tags. A form, or an element whose class, id
+or role is the name of such a part, is away only while the ratios find text elsewhere: it is opened if
+no block outside such elements passes, or if it holds an article or main of more passing text.
+
 Pages are independent: one pass, no shuffle, memory by page. Defined results: a null or empty page, or
 one without content, has empty text; a truncated page is read as far as it goes; repeated rows are
 judged alike; an empty table gives an empty result; other columns are ignored.
@@ -36,13 +40,17 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose whole content is no text of the page.
 _RAW = frozenset("script style title textarea noscript template svg iframe math object video audio canvas xmp noembed noframes".split())
-_DROP = frozenset("nav footer aside form head menu dialog select button fieldset".split())
+_DROP = frozenset("nav footer aside head menu dialog select button".split())
+#: Elements that are away like marked ones, unless they hold the text of the page.
+_DOUBT = frozenset(("form", "fieldset"))
 #: Start tags that end an open element of these names, up to the nearest of the limits.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id or role that mark what is no article.
 _AWAY = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pagination paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
+#: Words that may stand beside those in a name without changing what it names.
+_PLAIN = frozenset("area bar block bottom box button buttons container group holder inner item items left link links list main module outer page panel post right row section site slot top wrap wrapper".split())
 _HEADS = frozenset(("header", "hgroup"))
 _ROOTS = frozenset(("article", "main"))
 
@@ -53,20 +61,23 @@ class Block(NamedTuple):
     links: int  # characters inside links
     away: bool
     root: int  # number of the innermost article or main element, -1 if none
+    marks: tuple[int, ...] = ()  # numbers of the marked elements that hold it, outermost first
+    over: int = 0  # how many of them hold the root; -1 if the root is marked itself
 
 
 def blocks(page: str) -> list[Block]:
     """All blocks of text of the page in order, white space folded, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, filtered, number of the innermost root
+    stack: list[tuple[str, bool, int, tuple[int, ...], int]] = []  # tag, filtered, number of the innermost root, marks, marks over the root
     parts: list[str] = []
-    links = anchors = roots = 0
+    links = anchors = roots = marked = 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(t for t, _, _ in stack), text, min(links, len(text)), stack[-1][1] if stack else False, stack[-1][2] if stack else -1))
+            _, away, root, marks, over = stack[-1] if stack else ("", False, -1, (), 0)
+            out.append(Block(tuple(x[0] for x in stack), text, min(links, len(text)), away, root, marks, over))
         parts.clear()
         links = 0
 
@@ -108,13 +119,15 @@ def blocks(page: str) -> list[Block]:
                             break
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                away, root = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
+                _, away, root, marks, over = stack[-1] if stack else ("", False, -1, (), 0)
+                own = tag in _DOUBT or (tag not in ("html", "body") and _marked(m[3]))
                 if tag in _ROOTS:
-                    roots, root = roots + 1, roots
-                if not away:
-                    away = tag in _DROP or (tag in _HEADS and root < 0) or (tag not in ("html", "body") and _marked(m[3]))
+                    roots, root, over = roots + 1, roots, -1 if own else len(marks)
+                if own:
+                    marked, marks = marked + 1, (*marks, marked)
+                away = away or tag in _DROP or (tag in _HEADS and root < 0)
                 if tag != "hr":
-                    stack.append((tag, away, root))
+                    stack.append((tag, away, root, marks, over))
             elif tag == "a":
                 anchors = 1
         elif tag == "a":
@@ -131,13 +144,41 @@ def blocks(page: str) -> list[Block]:
 
 
 def _marked(attributes: str) -> bool:
-    """Whether class, id or role hold a word for what is no article."""
+    """Whether class, id or role hold a whole name for what is no article."""
     for m in _NAMED.finditer(attributes):
-        if any(w in _AWAY for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in _WORD.findall(name) if len(w) > 1]
+            if any(w in _AWAY for w in words) and all(w in _AWAY or w in _PLAIN for w in words):
+                return True
     return False
 
 
+def judged(found: list[Block], strength: float) -> list[Block]:
+    """The blocks, with those ``away`` that marked elements hold, save the elements that the ratios open."""
+    live = {k for b in found for k in b.marks}
+    if live:
+        scores = path_scores(found)
+        threshold = strength * float(np.std(list(scores.values())))
+        passed = [b for b in found if not b.away and len(b.text) > b.links and scores[b.path] >= threshold]
+        mass = lambda own: sum(scores[b.path] * (len(b.text) - b.links) for b in own)
+        while inside := [b for b in passed if not live.isdisjoint(b.marks)]:
+            outside = [b for b in passed if live.isdisjoint(b.marks)]
+            if not outside:
+                closed = [[k for k in b.marks if k in live] for b in inside]
+                fewest = min(map(len, closed))
+                live -= {k[0] for k in closed if len(k) == fewest}
+                continue
+            roots: dict[int, list[Block]] = defaultdict(list)
+            for b in inside:
+                if b.root >= 0 and b.over >= 0 and live.isdisjoint(b.marks[b.over :]):
+                    roots[b.root].append(b)
+            heaviest = max(roots.values(), key=mass, default=[])
+            if mass(heaviest) <= mass(outside):
+                break
+            live -= set(heaviest[0].marks[: heaviest[0].over])
+    return [b._replace(away=b.away or not live.isdisjoint(b.marks)) for b in found]
+
+
 def _smooth(x: np.ndarray) -> np.ndarray:
     kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
     return np.convolve(x, kernel, "full")[2 : 2 + len(x)] / np.convolve(np.ones(len(x)), kernel, "full")[2 : 2 + len(x)]
@@ -161,7 +202,7 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
 
 def main_text(page: str | None, strength: float = 0.5) -> str:
     """The article of a page: its blocks, joined by an empty line."""
-    found = blocks(page or "")
+    found = judged(blocks(page or ""), strength)
     if all(b.away for b in found):
         return ""
     scores = path_scores(found)

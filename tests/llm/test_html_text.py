@@ -46,3 +46,24 @@ def test_odd_rows(spark):
     rows = html_text.digest(pages).collect()
     assert len(rows) == 4 and {r.page_id: r.n_chars for r in rows} == {1: 0, None: 3000 + 2999 * 2, 2: 0}
     assert html_text.digest(pages.where("1 = 0")).count() == 0
+
+
+PROSE = "<p>Prose, with marks; and more of it. It goes on, and on.</p><p>More, of it. And, so on, for long.</p>"
+TEXT = "Prose, with marks; and more of it. It goes on, and on.\n\nMore, of it. And, so on, for long."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content has-sidebar'><article>{PROSE}</article></div>",
+        f"<div id='social-policy'>{PROSE}</div>",
+        f"<div role='banner'><main>{PROSE}</main></div>",
+        f"<form action=x><div id=page>{PROSE}<div class=comments><p>A comment, which is long, too.</p></div></div></form>",
+        f"<form><article>{PROSE}</article></form><p>Short.</p>",
+        f"<div class='page widget'>{PROSE}</div>",
+        f"<main>{PROSE}</main><div class=related><article><p>Teaser, with a mark.</p></article></div>",
+        f"<main>{PROSE}<div class='comment-list'><article><p>A comment, short.</p></article></div></main><div class='site-footer'><p>Footer, of it.</p></div>",
+    ],
+)
+def test_ratios_open_marked_wrappers(page):
+    assert html_text.main_text(page) == TEXT
