@@ -2,10 +2,11 @@
 
 A page is read into blocks of text, each with the path of structural tags from the root. Text outside
 links and punctuation are summed per path and divided by the number of its blocks; both ratios are
-smoothed over the blocks in page order, fused, and thresholded. The paths that pass choose the content
-root: the article or main element with most of their text, or, without one, the elements that hold them.
-All blocks under the root that pass the filters for menus, adverts, forms, comments and the like make
-the text.
+smoothed over the blocks in page order, fused, and thresholded. The blocks whose paths pass choose the
+content root: the lowest element that holds them all, or the outermost article or main round it; where
+articles and mains hold enough of their text, blocks outside these do not choose. All blocks under the
+root that pass the filters for menus, adverts, forms, comments and the like make the text; outside
+articles and mains, a branch of the root in which all text is links is a menu.
 
 Navigation, footers, asides and the like are away by their tags. A form, or an element whose class, id
 or role is the name of such a part, is away only while the ratios find text elsewhere: it is opened if
@@ -53,6 +54,8 @@ _AWAY = frozenset(
 _PLAIN = frozenset("area bar block bottom box button buttons container group holder inner item items left link links list main module outer page panel post right row section site slot top wrap wrapper".split())
 _HEADS = frozenset(("header", "hgroup"))
 _ROOTS = frozenset(("article", "main"))
+#: Elements that are part of a text; the root is what holds them.
+_PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd ul ol dl blockquote pre caption figcaption figure hgroup tr tbody thead tfoot table".split())
 
 
 class Block(NamedTuple):
@@ -62,22 +65,23 @@ class Block(NamedTuple):
     away: bool
     root: int  # number of the innermost article or main element, -1 if none
     marks: tuple[int, ...] = ()  # numbers of the marked elements that hold it, outermost first
+    elements: tuple[int, ...] = ()  # numbers of the elements of the path
     over: int = 0  # how many of them hold the root; -1 if the root is marked itself
 
 
 def blocks(page: str) -> list[Block]:
     """All blocks of text of the page in order, white space folded, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...], int]] = []  # tag, filtered, number of the innermost root, marks, marks over the root
+    stack: list[tuple[str, bool, int, tuple[int, ...], int, int]] = []  # tag, filtered, number of the innermost root, marks, marks over the root, number
     parts: list[str] = []
-    links = anchors = roots = marked = 0
+    links = anchors = roots = marked = elements = 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            _, away, root, marks, over = stack[-1] if stack else ("", False, -1, (), 0)
-            out.append(Block(tuple(x[0] for x in stack), text, min(links, len(text)), away, root, marks, over))
+            _, away, root, marks, over, _ = stack[-1] if stack else ("", False, -1, (), 0, 0)
+            out.append(Block(tuple(x[0] for x in stack), text, min(links, len(text)), away, root, marks, tuple(x[5] for x in stack), over))
         parts.clear()
         links = 0
 
@@ -119,7 +123,7 @@ def blocks(page: str) -> list[Block]:
                             break
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                _, away, root, marks, over = stack[-1] if stack else ("", False, -1, (), 0)
+                _, away, root, marks, over, _ = stack[-1] if stack else ("", False, -1, (), 0, 0)
                 own = tag in _DOUBT or (tag not in ("html", "body") and _marked(m[3]))
                 if tag in _ROOTS:
                     roots, root, over = roots + 1, roots, -1 if own else len(marks)
@@ -127,7 +131,8 @@ def blocks(page: str) -> list[Block]:
                     marked, marks = marked + 1, (*marks, marked)
                 away = away or tag in _DROP or (tag in _HEADS and root < 0)
                 if tag != "hr":
-                    stack.append((tag, away, root, marks, over))
+                    elements += 1
+                    stack.append((tag, away, root, marks, over, elements))
             elif tag == "a":
                 anchors = 1
         elif tag == "a":
@@ -207,17 +212,38 @@ def main_text(page: str | None, strength: float = 0.5) -> str:
         return ""
     scores = path_scores(found)
     threshold = strength * float(np.std(list(scores.values())))
-    passed = [b for b in found if not b.away and scores[b.path] >= threshold] or [b for b in found if not b.away]
-    # the strongest root element, against all text that is under none
-    mass: dict[int, float] = defaultdict(float)
+    kept = [b for b in found if not b.away]
+    passed = [b for b in kept if scores[b.path] >= threshold and len(b.text) > b.links] or kept
+    # the text under all root elements, against that under none
+    mass = [0.0, 0.0]
     for b in passed:
-        mass[b.root] += scores[b.path] * (len(b.text) - b.links) * (4 if b.root >= 0 else 1)
-    root = max(mass, key=mass.__getitem__)
-    holders = {b.path[:-1] for b in passed if b.root == root}
-    own = [b for b in found if b.root == root and not b.away and (root >= 0 or b.path[:-1] in holders)]
+        mass[b.root >= 0] += scores[b.path] * (len(b.text) - b.links) * (4 if b.root >= 0 else 1)
+    depth, holder = _lowest([b for b in passed if b.root >= 0] if mass[1] and mass[1] >= mass[0] else passed)
+    own = [b for b in kept if b.elements[:depth] == holder.elements[:depth]]
+    if not _ROOTS.intersection(holder.path[:depth]):
+        branch = lambda b: b.elements[depth : depth + 1]
+        prose = {branch(b) for b in own if len(b.text) > b.links} | {branch(b) for b in passed}
+        own = [b for b in own if branch(b) in prose]
     return "\n\n".join(b.text for b in own)
 
 
+def _lowest(chosen: list[Block]) -> tuple[int, Block]:
+    """Depth of the lowest element that holds all blocks, parts of a text and what is inside an article or main apart; and one of them."""
+    first = chosen[0]
+    depth = min(len(b.elements) for b in chosen)
+    for b in chosen:
+        while b.elements[:depth] != first.elements[:depth]:
+            depth -= 1
+    for k in range(depth):
+        if first.path[k] in _ROOTS:
+            return k + 1, first
+    if depth and first.path[depth - 1] in ("td", "th") and any(len(b.path) == depth for b in chosen):
+        depth -= 1
+    while depth and first.path[depth - 1] in _PARTS:
+        depth -= 1
+    return depth, first
+
+
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with the main text instead of the html."""
     rest = [f for f in pages.schema.fields if f.name not in (html_col, out_col, "n_chars")]

@@ -67,3 +67,17 @@ TEXT = "Prose, with marks; and more of it. It goes on, and on.\n\nMore, of it. A
 )
 def test_ratios_open_marked_wrappers(page):
     assert html_text.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><h1>Title</h1><p>A lead, too.</p><article>{PROSE}</article></main>", f"Title\n\nA lead, too.\n\n{TEXT}"),
+        (f"<div id=a><article>{PROSE}</article><h2>Next</h2><article>{PROSE}{PROSE}</article></div><div>Copyright</div>", f"{TEXT}\n\nNext\n\n{TEXT}\n\n{TEXT}"),
+        (f"<article>{PROSE}<article><p>Nested, a long one; and so on, and on.</p></article></article>", f"{TEXT}\n\nNested, a long one; and so on, and on."),
+        (f"<div><a href=x>Home</a></div><div>{PROSE}<ul><li>one<li>two</ul><table><tr><td>1<td>2</table><blockquote>x</blockquote></div><div><a href=y>About</a></div>", f"{TEXT}\n\none\n\ntwo\n\n1\n\n2\n\nx"),
+        (f"<body><div>{PROSE}</div><section><div>{PROSE}</div></section><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></body>", f"{TEXT}\n\n{TEXT}"),
+    ],
+)
+def test_all_blocks_of_the_lowest_element(page, text):
+    assert html_text.main_text(page) == text
