@@ -54,6 +54,9 @@ _MORE = (
     (SECRET, "", re.compile(r"(?i)(?<![a-z])(?:password|passwd|token|secret|api[_-]?key) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{8,}+)")),
 )
 
+#: Kinds whose proposers beyond the base match no text without a digit.
+_DIGITAL = (PHONE, SSN, IBAN)
+
 _CUES = {
     EMAIL: ("mail", "contact", "write", "reach", "courriel", "correo"),
     IP: ("ip", "host", "server", "address", "client", "from"),
@@ -124,12 +127,12 @@ def candidates(text: str) -> list[Candidate]:
     out = good + failed
     if not text:
         return out
-    digits = bool(out) or _DIGIT.search(text) is not None
+    digits = _DIGIT.search(text) is not None
     for kind, needs, pattern in _MORE:
         if kind == EMAIL:
             if ("(at)" in text or "[at]" in text or " at " in text) and "dot" in text:
                 out += [Candidate(EMAIL, *m.span(), False) for m in pattern.finditer(text)]
-        elif digits and needs in text and (kind != SECRET or needs or "=" in text or ":" in text):
+        elif (digits or kind not in _DIGITAL) and needs in text and (kind != SECRET or needs or "=" in text or ":" in text):
             out += [Candidate(kind, *m.span(m.lastindex or 0), False) for m in pattern.finditer(text)]
     return out
 
