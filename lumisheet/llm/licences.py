@@ -122,7 +122,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rar
     # the index: each template by its rarest words, all their places
     by_rarity = Window.partitionBy("template").orderBy(F.desc("idf"), "word")
     index = postings.join(F.broadcast(idf), "word").withColumn("k", F.dense_rank().over(by_rarity)).where(F.col("k") <= rare)
-    index = index.withColumn("weight", F.col("idf") / F.sum("idf").over(Window.partitionBy("template"))).select("template", "label", "tpos", "word", "weight")
+    own = Window.partitionBy("template")
+    even = F.lit(1.0) / F.count("*").over(own)  # where all documents hold all indexed words, none is rarer
+    index = index.withColumn("weight", F.coalesce(F.try_divide("idf", F.sum("idf").over(own)), even)).select("template", "label", "tpos", "word", "weight")
 
     aligned = hits.join(F.broadcast(index), "word").groupBy("id", "h", "template", "label", (F.col("pos") - F.col("tpos")).alias("offset")).agg(F.sum("weight").alias("share"))
     found = aligned.where(F.col("share") >= coverage).groupBy("id", "h", "label").agg(F.max("share").alias("share"))

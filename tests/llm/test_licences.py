@@ -62,3 +62,8 @@ def test_odd_rows(odd_docs, empty_docs):
     rows = licences.digest(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     assert licences.digest(empty_docs).count() == 0
+
+
+def test_all_documents_carry_the_notice(spark):
+    docs = spark.createDataFrame([(i, "Released under the MIT License.") for i in range(3)], "doc_id long, text string")
+    assert [(r.labels, r.score) for r in licences.digest(docs).collect()] == [("mit", 1.0)] * 3
