@@ -52,4 +52,4 @@ def op5_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan, op7_html_tag_paths, op4_metric_join, op8_suffix_array, op5_sentencepiece_suffix_array)}
 
-ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE, "op4_metric_join": metric_join.ORACLE, "op9_licence_scan": licences.oracle()}
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE, "op4_metric_join": metric_join.ORACLE, "op9_licence_scan": licences.oracle(), "op8_suffix_array": repeats.ORACLE}

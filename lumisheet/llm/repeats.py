@@ -2,24 +2,31 @@
 
 Every 100-byte string is represented by the suffix at its anchor: among the 24-byte grams inside it,
 the leftmost with the least hash. Equal strings have equal anchors at equal places, so only suffixes
-at anchors (about one in 39) need to be sorted. A suffix stands for the run of strings that share its
-anchor, its context.
-
-1. Suffixes are range-partitioned by their leading bytes, ties by gram, context, document and place, with
-   splitters that Spark samples; each bucket sorts by a multikey quicksort (a key is read only where the
-   ones before it tie) and compares neighbours. A context that stands earlier is a repeat as a whole. First
-   contexts whose gram also has other contexts, and those of grams at a bucket's edge, go on.
-2. The single strings of these contexts, by their leading bytes and hash (96 bits in all), are sorted the same way; all but the first of equal ones are repeats.
-   The first row of a bucket is compared with the last of the bucket before it.
-3. Each document loses the bytes that its repeats cover.
-
-Scale: a hot passage is no hot key, as splitters cut through ties; a bucket has about ``bucket_rows``
-rows. Texts are shuffled twice (to fetch contexts, and in the end), suffixes once. The driver sees one
-row for each bucket.
+at anchors (about one in 35) need to be looked at. A suffix stands for the run of strings that share its
+anchor; the bytes of these strings are its context.
+
+1. Anchors are range-partitioned by gram, then by a 128-bit digest of the context, document and place.
+   A context whose digest stands earlier is a repeat as a whole. First contexts whose gram also has
+   other contexts, and those of grams at a bucket's edge, stay open.
+2. The suffixes of open contexts (up to 100 bytes from the anchor on, and the bytes before it) are
+   range-partitioned by these bytes with splitters that Spark samples. A bucket sorts them by a multikey
+   sort whose characters are words of eight bytes (a word is read only where those before it tie), once
+   forwards and once by the bytes before the anchor, read backwards. Common prefixes of neighbours in the
+   two orders give the classes of equal strings; all but the first of a class are repeats.
+3. Strings of grams at the edge of a bucket may stand in other buckets as well: the first of each class in
+   a bucket, at most one row of a string and bucket, meet in a window by their bytes.
+4. Each document loses the bytes that its repeats cover.
+
+Scale: a hot passage is no hot key, as splitters cut through ties, and a hot string is one row a bucket
+before it meets itself. A bucket has about ``bucket_rows`` anchors. Copies of a context inside one
+slice of a document are settled where they are read, so periodic text makes few rows. Texts are shuffled
+twice (to fetch contexts, and in the end). The driver sees counts only.
 
 Defined results: a null or empty text has no bytes; texts shorter than the length keep all; a document
-without id keeps all and makes nothing else a repeat; repeated rows of an id are one document and are
-judged alike; an empty table gives an empty result; other columns are ignored.
+without id keeps all and makes nothing else a repeat; rows of equal id and text are one document and
+judged alike; unlike texts under one id are documents of their own, in the order of the XXH64 of the
+text; an empty table gives an empty result; very long texts are read in slices of a megabyte that overlap by
+a string, and only the last step holds a text whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import durable
 
 LENGTH = 100
 GRAM = 24
 SLICE = 1 << 20
+#: Contexts travel with up to two hundred bytes each, so a bucket of them takes fewer rows.
+CONTEXT_SHARE = 4
 _PLACE = np.uint64((1 << 22) - 1)  # room for a place in a slice, below the gram's hash
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -55,11 +65,11 @@ def _leading(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((lead | hashes >> np.uint64(32)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _pieces(ids: list, texts: list[bytes | None], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (id, offset, bytes) of about a slice in all; long texts are cut so that no string is lost."""
+def _pieces(keys: list, texts: list[bytes | None], length: int) -> Iterator[list[tuple[tuple, int, bytes]]]:
+    """Lists of (key, offset, bytes) of about a slice in all; long texts are cut so that no string is lost."""
     group, size = [], 0
-    for key, text in zip(ids, texts, strict=True):
-        if key is None or text is None or len(text) < length:
+    for key, text in zip(keys, texts, strict=True):
+        if text is None or len(text) < length:
             continue
         for a in range(0, len(text) - length + 1, SLICE):
             part = text[a : a + SLICE + length - 1]
@@ -72,8 +82,9 @@ def _pieces(ids: list, texts: list[bytes | None], length: int) -> Iterator[list[
         yield group
 
 
-def anchors(group: list[tuple[int, int, bytes]], length: int = LENGTH) -> dict[str, np.ndarray]:
-    """Runs of strings that share their anchor: leading bytes and gram of the suffix, its context, and the run (place << 8 | count)."""
+def anchors(group: list[tuple[tuple, int, bytes]], length: int = LENGTH) -> dict[str, np.ndarray]:
+    """Runs of strings that share their anchor: ``gram``, digest of the context (``c1``, ``c2``), ``of`` (index of the
+    piece), ``place`` of the first string in its document, number ``n`` of strings, bytes ``ahead`` of the anchor."""
     buf = b"".join(p for _, _, p in group) + bytes(GRAM + 8)
     sizes = np.array([len(p) for _, _, p in group])
     ends = np.cumsum(sizes)
@@ -102,12 +113,12 @@ def anchors(group: list[tuple[int, int, bytes]], length: int = LENGTH) -> dict[s
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))))
     last = np.append(first[1:], len(at)) - 1
     lo, n, p = at[first], at[last] - at[first] + 1, anchor[first]
-    h = xxhash.xxh3_64_intdigest
-    shape = p - lo << 8 | n  # place of the anchor, strings in the run
-    context = np.fromiter((h(buf[a:b], s) for a, b, s in zip(lo.tolist(), (lo + n + length - 1).tolist(), shape.tolist(), strict=True)), np.uint64, len(lo))
+    h = xxhash.xxh3_128_digest
+    shape = p - lo << 8 | n
+    digest = np.frombuffer(b"".join(h(buf[a:b], s) for a, b, s in zip(lo.tolist(), (lo + n + length - 1).tolist(), shape.tolist(), strict=True)), np.int64).reshape(-1, 2)
     of = np.searchsorted(starts, lo, side="right") - 1
     place = np.array([a for _, a, _ in group], np.int64)[of] + lo - starts[of]
-    return {"gram": _leading(u[p], x[p]), "context": context.view(np.int64), "id": np.array([k for k, _, _ in group], np.int64)[of], "run": place << 8 | n}
+    return {"gram": _leading(u[p], x[p]), "c1": digest[:, 0], "c2": digest[:, 1], "of": of, "place": place, "n": n, "ahead": p - lo}
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -136,90 +147,184 @@ def _same(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    rows = pa.Table.from_batches(list(batches))
-    return [c.to_numpy() for c in rows.columns]
+def _joined_runs(owner: list[np.ndarray], place: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Runs of strings of an owner, one for each stretch of adjacent ones: owners, and place << 31 | count."""
+    order = np.lexsort((place, *owner[::-1]))
+    owner, place, n = [o[order] for o in owner], place[order], n[order]
+    follows = _same(owner)
+    follows[1:] &= place[1:] == place[:-1] + n[:-1]
+    start = np.flatnonzero(~follows)
+    count = np.add.reduceat(n, start) if len(start) else n
+    return [o[start] for o in owner], place[start] << 31 | count
 
 
 def repeated_contexts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(id, gone, open): for each document the runs of strings (place << 8 | count) that repeat as a whole, and those to compare one by one."""
-    names = ["gram", "context", "id", "run"]
+    """(id, h, gone, open): for each document the runs of strings (place << 31 | count) that repeat as a whole, and the
+    open ones (place << 16 | count << 8 | bytes ahead of the anchor)."""
+    names = ["gram", "c1", "c2", "id", "h", "run"]
+    schema = ", ".join(f"{c} long" for c in names) + ", known boolean"
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in _pieces(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), length):
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for group in _pieces(keys, batch.column(2).cast(pa.binary()).to_pylist(), length):
                 got = anchors(group, length)
-                yield pa.RecordBatch.from_arrays([pa.array(got[c]) for c in names], names=names)
+                of, place, n = got["of"], got["place"], got["n"]
+                order = np.lexsort((place, got["c2"], got["c1"], of))
+                again = np.zeros(len(of), bool)  # a context that the same slice of the document has before
+                again[order] = _same([got[c][order] for c in ("of", "c1", "c2")])
+                (known_of,), known = _joined_runs([of[again]], place[again], n[again])
+                left = ~again
+                run = np.concatenate((place[left] << 16 | n[left] << 8 | got["ahead"][left], known))
+                of = np.concatenate((of[left], known_of))
+                key = np.array([k for k, _, _ in group], np.int64).reshape(-1, 2)[of]
+                fill = lambda c: np.concatenate((got[c][left], key[np.count_nonzero(left) :, 0]))  # noqa: E731  any value that spreads
+                flag = np.arange(len(run)) >= np.count_nonzero(left)
+                columns = [fill("gram"), fill("c1"), fill("c2"), key[:, 0], key[:, 1], run, flag]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*names, "known"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
-        columns = _bucket(iter([first, *batches]))
+        columns = [c.to_numpy() for c in pa.Table.from_batches([first, *batches]).columns]
+        known = columns.pop()
+        done = [columns[3][known], columns[4][known], columns[5][known]]
+        columns = [c[~known] for c in columns]
         order = multikey_order(columns)
-        order = order[~_same([c[order] for c in columns])]  # a repeated row of an id is the same document
-        gram, context, key, run = (c[order] for c in columns)
+        gram, c1, c2, key, h, run = (c[order] for c in columns)
         in_gram = _same([gram])
-        repeat = in_gram & _same([context])
+        repeat = in_gram & _same([c1, c2])
         of = np.cumsum(~in_gram) - 1
         contexts = np.bincount(of, ~repeat)
-        compare_ = ~repeat & ((contexts[of] > 1) | (of == 0) | (of == of[-1]))
-        keep = repeat | compare_
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(run[keep]), pa.array(repeat[keep])], names=["id", "run", "gone"])
-
-    rows = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(suffixes, ", ".join(f"{c} long" for c in names))
-    found = rows.repartitionByRange(buckets, *names).mapInArrow(compare, "id long, run long, gone boolean")
+        open_ = ~repeat & ((contexts[of] > 1) | (of == 0) | (of == of[-1:]))
+        owner, gone = _joined_runs([key[repeat], h[repeat]], run[repeat] >> 16, run[repeat] >> 8 & 0xFF)
+        out = [np.concatenate(x) for x in ((owner[0], done[0], key[open_]), (owner[1], done[1], h[open_]), (gone, done[2], run[open_]))]
+        flag = np.arange(len(out[0])) < len(gone) + len(done[0])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*out, flag)], names=["id", "h", "run", "gone"])
+
+    rows = docs.select("id", "h", "text").mapInArrow(suffixes, schema)
+    found = rows.repartitionByRange(buckets, *names).mapInArrow(compare, "id long, h long, run long, gone boolean")
     pick = lambda gone: F.collect_list(F.when(F.col("gone") == gone, F.col("run")))
-    return found.groupBy("id").agg(pick(True).alias("gone"), pick(False).alias("open"))
+    return found.groupBy("id", "h").agg(pick(True).alias("gone"), pick(False).alias("open"))
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binary values as rows of ``width`` bytes, padded with zeros, and their sizes."""
+    data = b"".join(column.to_pylist())
+    size = pa.compute.binary_length(column).to_numpy().astype(np.int64)
+    end = np.cumsum(size)
+    out = np.zeros((len(size), width), np.uint8)
+    out.reshape(-1)[np.repeat(np.arange(len(size)) * width - end + size, size) + np.arange(len(data))] = np.frombuffer(data, np.uint8)
+    return out, size
+
+
+def _ordered(rows: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes (those of equal ``before`` together), and what each has in common with its neighbour: bytes, or -1."""
+    keys = list(rows.view(">u8").astype(np.uint64).T)
+    order = multikey_order(keys if before is None else [before, *keys])
+    common = np.full(len(order), -1, np.int64)
+    for a in range(1, len(order), 1 << 16):
+        part = rows[order[a - 1 : a + (1 << 16)]]
+        differ = part[1:] != part[:-1]
+        common[a : a + (1 << 16)] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    if before is not None:
+        common[1:][before[order[1:]] != before[order[:-1]]] = -1
+    return order, common
+
+
+def string_classes(suffix: np.ndarray, size: np.ndarray, ahead: np.ndarray, room: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of contexts in order of their documents and places: for each distance to the anchor the rows that have a string
+    there, and whether an equal one stands in a row before. ``suffix`` and ``ahead`` are padded bytes, the latter backwards."""
+    forward, common = _ordered(suffix)
+    group = np.zeros(len(size), np.int64)
+    group[forward] = np.cumsum(common < GRAM)
+    backward, shared = _ordered(ahead, group)
+    left, right = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    least = length - size
+    for o in range(int(least.min(initial=0)), int(room.max(initial=-1)) + 1):
+        own = np.flatnonzero((least <= o) & (o <= room))
+        if not len(own):
+            continue
+        right[forward] = np.cumsum(common < length - o)
+        left[backward] = np.cumsum(shared < o)
+        _, first = np.unique(right[own] * (len(size) + 1) + left[own], return_index=True)
+        again = np.ones(len(own), bool)
+        again[first] = False
+        yield o, own, again
 
 
 def repeated_strings(docs: DataFrame, runs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(id, single): for each document the strings in its open runs that stand earlier, as runs (place << 31 | count)."""
-    names = ["string", "id", "rest"]  # rest: the other half of the hash, and the place
+    """(id, h, single): for each document the strings in its open runs that stand earlier (place << 31 | count)."""
+    schema = "suffix binary, ahead binary, id long, h long, place long"
+    names = ["suffix", "ahead", "id", "h", "place"]
+    widths = -(-length // 8) * 8, -(-(length - GRAM) // 8) * 8
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh3_64_intdigest
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            for key, text, own in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
-                runs_ = own.values.to_numpy()
-                for i in range(0, len(runs_), 4096):
-                    part = np.sort(runs_[i : i + 4096])
-                    n = part & 0xFF
-                    at = np.repeat(part >> 8, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    hashes = np.fromiter((h(text[a : a + length]) for a in at.tolist()), np.uint64, len(at))
-                    rest = (hashes << np.uint64(32)).view(np.int64) | at
-                    yield pa.RecordBatch.from_arrays([pa.array(_leading(_words(text)[at], hashes)), pa.array(np.full(len(at), key)), pa.array(rest)], names=names)
+            for key, h, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
+                text = text.as_py()
+                for run in own.values.to_pylist():
+                    lo = run >> 16
+                    p = lo + (run & 0xFF)
+                    out.append((text[p : lo + (run >> 8 & 0xFF) + length - 1], text[lo:p][::-1], key, h, p))
+                    if len(out) == 8192:
+                        yield _batch(out)
+                        out = []
+        if out:
+            yield _batch(out)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
-        columns = _bucket(iter([first, *batches]))
-        order = multikey_order([columns[0], columns[2] >> 32, columns[1], columns[2]])
-        order = order[~_same([c[order] for c in columns])]  # as above
-        string, key, rest = (c[order] for c in columns)
-        gone = np.flatnonzero(_same([string, rest >> 32]))
-        key, place = key[gone], rest[gone] & 0xFFFFFFFF
-        run = np.lexsort((place, key))  # neighbours in a document in one row
-        key, place = key[run], place[run]
-        start = np.flatnonzero(~(_same([key]) & (np.diff(place, prepend=-1) == 1)))
-        count = np.diff(np.append(start, len(key)))
-        runs_ = pa.array(place[start] << 31 | count)
-        edge = pa.array([f"{TaskContext.get().partitionId():012d} {side} {string[i]} {rest[i] >> 32} {columns[1][order[i]]} {rest[i] & 0xFFFFFFFF}" for side, i in enumerate((0, len(string) - 1))])
-        none = pa.nulls(len(start), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(key[start]), runs_, none], names=["id", "single", "edge"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), edge], names=["id", "single", "edge"])
-
-    rows = docs.join(runs.where(F.size("open") > 0).select("id", "open").hint("shuffle_hash"), "id").select("id", "text", "open")
-    rows = rows.mapInArrow(strings, ", ".join(f"{c} long" for c in names)).repartitionByRange(buckets, "string", F.shiftright("rest", 32), "id", "rest")
-    found = rows.mapInArrow(compare, "id long, single long, edge string")
-    found = durable(found.groupBy("id").agg(F.collect_list("single").alias("single"), F.collect_list("edge").alias("edge")))
-    ends = sorted(e for r in found.where("id IS NULL").select("edge").collect() for e in r.edge)  # two for each bucket
-    ends = [list(map(int, e.split())) for e in ends]
-    carried = [(b[4], [b[5] << 31 | 1]) for a, b in zip(ends[1::2], ends[2::2], strict=False) if a[2:4] == b[2:4]]
-    across = docs.sparkSession.createDataFrame(carried, "id long, single array<long>")
-    whole = found.where("id IS NOT NULL").select("id", "single")
-    return whole.union(across).groupBy("id").agg(F.flatten(F.collect_list("single")).alias("single")) if carried else whole
+        rows = pa.Table.from_batches([first, *batches])
+        key, h, place = (rows.column(c).to_numpy() for c in names[2:])
+        order = np.lexsort((place, h, key))
+        order = order[~_same([key[order], h[order], place[order]])]
+        key, h, place = key[order], h[order], place[order]
+        (suffix, size), (ahead, room) = (_matrix(rows.column(c).take(pa.array(order)), w) for c, w in zip(names[:2], widths, strict=True))
+        head = suffix[:, :GRAM].copy().view(">u8")
+        by_head = np.lexsort(head.T[::-1])
+        at_edge = (head == head[by_head[0]]).all(axis=1) | (head == head[by_head[-1]]).all(axis=1)
+        out: list[list[np.ndarray]] = []
+        for o, own, again in string_classes(suffix, size, ahead, room, length):
+            gone = own[again]
+            out.append([key[gone], h[gone], place[gone] - o])
+            ask = own[~again & at_edge[own]]
+            if len(ask):
+                strings = np.concatenate((ahead[ask, :o][:, ::-1], suffix[ask, : length - o]), axis=1)
+                offsets = pa.py_buffer(np.arange(0, (len(ask) + 1) * length, length, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[ask]), pa.array(h[ask]), pa.array(place[ask] - o), pa.Array.from_buffers(pa.binary(), len(ask), [None, offsets, pa.py_buffer(np.ascontiguousarray(strings))])],
+                    names=["id", "h", "run", "string"],
+                )
+        key, h, start = (np.concatenate(x) for x in zip(*out, strict=True))
+        (key, h), run = _joined_runs([key, h], start, np.ones(len(start), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(run), pa.nulls(len(run), pa.binary())], names=["id", "h", "run", "string"])
+
+    rows = docs.join(runs.where(F.size("open") > 0).select("id", "h", "open"), ["id", "h"]).select("id", "h", "text", "open").mapInArrow(contexts, schema)
+    found = durable(rows.repartitionByRange(buckets, *names).mapInArrow(compare, "id long, h long, run long, string binary"))
+    first = Window.partitionBy("string").orderBy("id", "h", "run")
+    across = found.where("string IS NOT NULL").withColumn("k", F.row_number().over(first)).where("k > 1")
+    across = across.select("id", "h", (F.shiftleft("run", 31) + 1).alias("run"))
+    return found.where("string IS NULL").select("id", "h", "run").union(across).groupBy("id", "h").agg(F.collect_list("run").alias("single"))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``docs`` (id, text) with ``h``, which tells unlike texts of an id apart; one row of each (id, h); and the bytes of all texts."""
+    h = F.xxhash64("text")
+    per = docs.where("id IS NOT NULL").groupBy("id", h.alias("h")).agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes"))
+    of_id = per.groupBy("id").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.sum("bytes").alias("bytes"))
+    texts, n, size = of_id.agg(F.max("texts"), F.max("n"), F.sum("bytes")).first()
+    tag: Column = h if (texts or 0) > 1 else F.lit(0).cast("long")
+    whole = docs.withColumn("h", tag)
+    once = whole.where("id IS NOT NULL")
+    return whole, once.dropDuplicates(["id", "h"]) if (n or 0) > 1 else once, size or 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_rows: int = 400_000) -> DataFrame:
@@ -227,42 +332,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not GRAM + 1 <= length <= GRAM + 254:
         raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 254}")
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base, once, size = _keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    runs = durable(repeated_contexts(base, length, max(least, math.ceil(2 * size / (length - GRAM + 2) / bucket_rows))))
-    strings = runs.select(F.sum(F.aggregate("open", F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(255))))).first()[0] or 0
-    single = repeated_strings(base, runs, length, max(least, math.ceil(strings / bucket_rows)))
-    cuts = runs.select("id", "gone").join(single, "id", "full")
+    runs = durable(repeated_contexts(once, length, max(least, math.ceil(2 * size / (length - GRAM + 2) / bucket_rows))))
+    open_ = runs.select(F.sum(F.size("open"))).first()[0] or 0
+    single = repeated_strings(once, runs, length, max(least, math.ceil(CONTEXT_SHARE * open_ / bucket_rows)))
+    cuts = runs.select("id", "h", "gone").join(single, ["id", "h"], "full")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(1).cast(pa.binary())
             kept, sizes, removed, spans = [], [], [], []
             for i, text in enumerate(texts):
-                text = text or b""
-                gone, single = batch.column(2)[i], batch.column(3)[i]
-                left, n = _cut(text, gone.values.to_numpy() if gone.is_valid else None, single.values.to_numpy() if single.is_valid else None, length)
+                text = text.as_py() or b""
+                left, n = _cut(text, [c[i].values.to_numpy() for c in batch.columns[2:] if c[i].is_valid], length)
                 kept.append(left)
                 sizes.append(len(text))
                 removed.append(len(text) - len(left))
                 spans.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))], names=["id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    whole = base.join(cuts.hint("shuffle_hash"), "id", "left").select("id", "text", "gone", "single")
+    whole = base.join(cuts, ["id", "h"], "left").select("id", "text", "gone", "single")
     return whole.mapInArrow(apply, "id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
 
 
-def _cut(text: bytes, gone: np.ndarray | None, single: np.ndarray | None, length: int) -> tuple[bytes, int]:
+def _cut(text: bytes, runs: list[np.ndarray], length: int) -> tuple[bytes, int]:
     """The bytes outside all repeats, and the number of maximal runs taken out."""
-    runs = [(r >> 8, (r >> 8) + (r & 0xFF) + length - 1) for r in [gone] if r is not None]
-    runs += [(s >> 31, (s >> 31) + (s & 0x7FFFFFFF) + length - 1) for s in [single] if s is not None]
-    if not runs:
+    run = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+    if not len(run):
         return text, 0
-    change = np.zeros(len(text) + 1, np.int64)
-    for a, b in runs:
-        np.add.at(change, a, 1)
-        np.add.at(change, b, -1)
+    start = run >> 31
+    end = start + (run & 0x7FFFFFFF) + length - 1
+    change = np.bincount(start, minlength=len(text) + 1) - np.bincount(end, minlength=len(text) + 1)
     out = np.cumsum(change[:-1]) > 0
     return np.frombuffer(text, np.uint8)[~out].tobytes(), int(np.count_nonzero(np.diff(np.concatenate(([0], out.astype(np.int8)))) == 1))
 
@@ -273,16 +374,32 @@ def digest(docs: DataFrame) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute(docs: list[tuple[int, bytes]], length: int = LENGTH) -> dict[int, tuple[int, int, str]]:
-    """The result by a table of all strings, for tests: (n_removed, n_spans, sha256 of what is kept)."""
+def brute(docs: list[tuple[int, bytes]], length: int = LENGTH) -> dict[tuple[int, bytes], tuple[int, int, str]]:
+    """The result by a table of all strings, for tests: by id and text (n_removed, n_spans, sha256 of what is kept)."""
     seen: set[bytes] = set()
     out = {}
-    for key, text in sorted(docs):
+    for key, text in sorted(set(docs), key=lambda d: (d[0], np.uint64(xxhash.xxh64_intdigest(d[1], 42)).astype(np.int64))):
         gone = bytearray(len(text))
         for i in range(len(text) - length + 1):
             if (s := text[i : i + length]) in seen:
                 gone[i : i + length] = b"\x01" * length
             seen.add(s)
         left = bytes(c for c, g in zip(text, gone, strict=True) if not g)
-        out[key] = (sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(left).hexdigest())
+        out[key, text] = (sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(left).hexdigest())
     return out
+
+
+#: DuckDB: all strings of 100 bytes, as hexadecimal digits.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, md5(x[2 * i + 1 : 2 * i + 200]) AS k FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY doc_id, span),
+cuts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(struct_pack(a := a, b := b) ORDER BY a) AS l FROM spans GROUP BY doc_id),
+gaps AS (SELECT doc_id, l, unnest(range(len(l) + 1)) AS j FROM cuts),
+kept AS (SELECT doc_id, string_agg(CASE WHEN j = len(l) THEN substring(x, CAST(2 * l[j].b + 1 AS BIGINT)) ELSE x[CASE WHEN j = 0 THEN 1 ELSE 2 * l[j].b + 1 END : 2 * l[j + 1].a] END, '' ORDER BY j) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN cuts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
