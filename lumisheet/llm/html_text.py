@@ -1,27 +1,29 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with the path of structural tags from the root. Text outside
-links and punctuation are summed per path and divided by the number of its blocks; both ratios are
-smoothed over the blocks in page order, fused, and thresholded. The blocks whose paths pass choose the
-content root: the lowest element that holds them all, or the outermost article or main round it; where
-articles and mains hold enough of their text, blocks outside these do not choose. All blocks under the
-root that pass the filters for menus, adverts, forms, comments and the like make the text; outside
-articles and mains, a branch of the root in which all text is links is a menu.
-
-Navigation, footers, asides and the like are away by their tags. A form, or an element whose class, id
-or role is the name of such a part, is away only while the ratios find text elsewhere: it is opened if
-no block outside such elements passes, or if it holds an article or main of more passing text.
-
-Pages are independent: one pass, no shuffle, memory by page. Defined results: a null or empty page, or
-one without content, has empty text; a truncated page is read as far as it goes; repeated rows are
-judged alike; an empty table gives an empty result; other columns are ignored.
+A page is read into blocks of text, each a leaf of a tree of structural elements. The tags from the root to
+a block are its path. Per path, text outside links and punctuation are summed and divided by the number of
+blocks; both ratios are smoothed over the blocks in page order, neighbours weighing less the farther they
+stand in the tree, and fused with what tags and class names say: being inside an article or main doubles
+a score, a form or an element whose class, id or role names a menu, advert, comments and the like
+divides it by ten. Paths that reach ``strength`` standard deviations of all path scores select the content
+nodes, which weigh their score times their text.
+
+The content root is the lowest element that holds ``share`` of this weight. It moves up from parts of a
+text (a paragraph, a list, a table) to the element that holds them, over headings that stand alone, and to the
+outermost article or main round it. All blocks under the root make the text, save those in marked elements
+or navigation, footers, asides, headers and the like below the root; what is marked above it (a wrapper named
+``widget``) does no harm. Outside articles and mains a branch of the root in which all text is links is a menu.
+
+Pages are independent: one pass, no shuffle, memory by page, time in proportion to a page however deep it is
+nested. Defined results: a null or empty page, or one without content, has empty text; a truncated page is
+read as far as it goes; very long pages are read whole; repeated rows are judged alike; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)(>|$)|</?[a-zA-Z][^>]*>?", re.DOTALL)
-_NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAMED = re.compile(r"(?i)(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
@@ -42,7 +44,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements whose whole content is no text of the page.
 _RAW = frozenset("script style title textarea noscript template svg iframe math object video audio canvas xmp noembed noframes".split())
 _DROP = frozenset("nav footer aside head menu dialog select button".split())
-#: Elements that are away like marked ones, unless they hold the text of the page.
+#: Elements that count as marked.
 _DOUBT = frozenset(("form", "fieldset"))
 #: Start tags that end an open element of these names, up to the nearest of the limits.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -58,37 +60,70 @@ _ROOTS = frozenset(("article", "main"))
 _PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd ul ol dl blockquote pre caption figcaption figure hgroup tr tbody thead tfoot table".split())
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Factors of a path score: for each marked element on the path, and for an article or main.
+MARKED, ROOTED = 0.1, 2.0
+_KERNEL = (4.0, 2.0, 1.0)  # weight by distance in page order
+_NEAR = 8  # steps up the tree after which two blocks are strangers
+
+
+class Element(NamedTuple):
+    parent: int  # -1: the page itself
+    tag: str
+    path: int
+    away: bool  # inside navigation, footers and the like
+    marked: bool
+    rooted: bool  # an article or main, or inside one
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]
+    element: int
     text: str
     links: int  # characters inside links
-    away: bool
-    root: int  # number of the innermost article or main element, -1 if none
-    marks: tuple[int, ...] = ()  # numbers of the marked elements that hold it, outermost first
-    elements: tuple[int, ...] = ()  # numbers of the elements of the path
-    over: int = 0  # how many of them hold the root; -1 if the root is marked itself
 
 
-def blocks(page: str) -> list[Block]:
-    """All blocks of text of the page in order, white space folded, character references decoded."""
+class Page(NamedTuple):
+    elements: list[Element]
+    blocks: list[Block]
+    priors: list[float]  # by path
+
+
+def read(page: str) -> Page:
+    """Elements and blocks of text of the page in order, white space folded, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...], int, int]] = []  # tag, filtered, number of the innermost root, marks, marks over the root, number
+    elements: list[Element] = [Element(-1, "", 0, False, False, False)]  # the page itself
+    paths: dict[tuple[int, str, bool, bool], int] = {}
+    priors = [1.0]
+    stack = [0]
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    links = anchors = roots = marked = elements = 0
+    links = anchors = 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            _, away, root, marks, over, _ = stack[-1] if stack else ("", False, -1, (), 0, 0)
-            out.append(Block(tuple(x[0] for x in stack), text, min(links, len(text)), away, root, marks, tuple(x[5] for x in stack), over))
+            out.append(Block(stack[-1], text, min(links, len(text))))
         parts.clear()
         links = 0
 
     def close(depth: int) -> None:
-        flush()
+        for e in stack[depth:]:
+            open_[elements[e].tag] -= 1
         del stack[depth:]
 
+    def push(tag: str, marked: bool) -> None:
+        above = elements[stack[-1]]
+        rooted = above.rooted or tag in _ROOTS
+        away = above.away or tag in _DROP or (tag in _HEADS and not rooted)
+        key = (above.path, tag, marked, away)
+        if key not in paths:
+            paths[key] = len(priors)
+            priors.append(priors[above.path] * (MARKED if marked else 1.0) * (ROOTED if rooted and not above.rooted else 1.0))
+        elements.append(Element(stack[-1], tag, paths[key], away, marked, rooted))
+        stack.append(len(elements) - 1)
+        open_[tag] = open_.get(tag, 0) + 1
+
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -113,39 +148,28 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
             elif tag in _BLOCK:
                 flush()
-                if tag in _CLOSES:
+                if tag in _CLOSES and any(open_.get(t) for t in _CLOSES[tag][0]):
                     own, limits = _CLOSES[tag]
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in limits:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if elements[stack[k]].tag in limits:
                             break
-                        if stack[k][0] in own:
-                            del stack[k:]
+                        if elements[stack[k]].tag in own:
+                            close(k)
                             break
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                _, away, root, marks, over, _ = stack[-1] if stack else ("", False, -1, (), 0, 0)
-                own = tag in _DOUBT or (tag not in ("html", "body") and _marked(m[3]))
-                if tag in _ROOTS:
-                    roots, root, over = roots + 1, roots, -1 if own else len(marks)
-                if own:
-                    marked, marks = marked + 1, (*marks, marked)
-                away = away or tag in _DROP or (tag in _HEADS and root < 0)
+                if elements[stack[-1]].tag == "p":
+                    close(len(stack) - 1)
                 if tag != "hr":
-                    elements += 1
-                    stack.append((tag, away, root, marks, over, elements))
+                    push(tag, tag in _DOUBT or (tag not in ("html", "body") and _marked(m[3])))
             elif tag == "a":
                 anchors = 1
         elif tag == "a":
             anchors = 0
         elif tag in _BLOCK:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                flush()
+            flush()
+            if open_.get(tag):
+                close(max(k for k in range(len(stack)) if elements[stack[k]].tag == tag) if elements[stack[-1]].tag != tag else len(stack) - 1)
     flush()
-    return out
+    return Page(elements, out, priors)
 
 
 def _marked(attributes: str) -> bool:
@@ -158,90 +182,129 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def judged(found: list[Block], strength: float) -> list[Block]:
-    """The blocks, with those ``away`` that marked elements hold, save the elements that the ratios open."""
-    live = {k for b in found for k in b.marks}
-    if live:
-        scores = path_scores(found)
-        threshold = strength * float(np.std(list(scores.values())))
-        passed = [b for b in found if not b.away and len(b.text) > b.links and scores[b.path] >= threshold]
-        mass = lambda own: sum(scores[b.path] * (len(b.text) - b.links) for b in own)
-        while inside := [b for b in passed if not live.isdisjoint(b.marks)]:
-            outside = [b for b in passed if live.isdisjoint(b.marks)]
-            if not outside:
-                closed = [[k for k in b.marks if k in live] for b in inside]
-                fewest = min(map(len, closed))
-                live -= {k[0] for k in closed if len(k) == fewest}
-                continue
-            roots: dict[int, list[Block]] = defaultdict(list)
-            for b in inside:
-                if b.root >= 0 and b.over >= 0 and live.isdisjoint(b.marks[b.over :]):
-                    roots[b.root].append(b)
-            heaviest = max(roots.values(), key=mass, default=[])
-            if mass(heaviest) <= mass(outside):
-                break
-            live -= set(heaviest[0].marks[: heaviest[0].over])
-    return [b._replace(away=b.away or not live.isdisjoint(b.marks)) for b in found]
-
-
-def _smooth(x: np.ndarray) -> np.ndarray:
-    kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
-    return np.convolve(x, kernel, "full")[2 : 2 + len(x)] / np.convolve(np.ones(len(x)), kernel, "full")[2 : 2 + len(x)]
-
-
-def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each path: smoothed text per block times smoothed punctuation per block."""
-    length: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for b in found:
-        own = length[b.path]
-        own[0] += 0 if b.away else len(b.text) - b.links
-        own[1] += 0 if b.away else len(_PUNCTUATION.findall(b.text))
+def _steps(elements: list[Element], a: int, b: int) -> int:
+    """Steps in the tree between two elements; ``_NEAR`` or more count as that."""
+    up = {}
+    for k in range(_NEAR):
+        up[a] = k
+        if a == 0:
+            break
+        a = elements[a].parent
+    for k in range(_NEAR):
+        if b in up:
+            return min(_NEAR, up[b] + k)
+        if b == 0:
+            break
+        b = elements[b].parent
+    return _NEAR
+
+
+def path_scores(page: Page) -> dict[int, float]:
+    """Fused score of each path: smoothed text per block times smoothed punctuation per block, times the factors of its tags and names."""
+    elements, found = page.elements, page.blocks
+    sums: dict[int, list[float]] = {}
+    of = [elements[b.element].path for b in found]
+    for b, path in zip(found, of, strict=True):
+        own = sums.setdefault(path, [0.0, 0.0, 0.0])
+        if not elements[b.element].away:
+            own[0] += len(b.text) - b.links
+            own[1] += len(_PUNCTUATION.findall(b.text))
         own[2] += 1
-    text = _smooth(np.array([length[b.path][0] / length[b.path][2] for b in found]))
-    marks = _smooth(np.array([length[b.path][1] / length[b.path][2] for b in found]))
-    fused: dict[tuple[str, ...], list[float]] = defaultdict(list)
-    for b, t, p in zip(found, text, marks, strict=True):
-        fused[b.path].append(0.0 if b.away else float(t * (1 + p)))
-    return {k: sum(v) / len(v) for k, v in fused.items()}
-
-
-def main_text(page: str | None, strength: float = 0.5) -> str:
+    text = [sums[path][0] / sums[path][2] for path in of]
+    marks = [sums[path][1] / sums[path][2] for path in of]
+    # sums over the kernel, a pair of neighbours at a time
+    weight = [_KERNEL[0]] * len(found)
+    t, p = [_KERNEL[0] * x for x in text], [_KERNEL[0] * x for x in marks]
+    for gap in range(1, len(_KERNEL)):
+        for i in range(len(found) - gap):
+            j = i + gap
+            w = _KERNEL[gap] * 0.5 ** (_steps(elements, found[i].element, found[j].element) / 2)
+            for x, y in ((i, j), (j, i)):
+                weight[x] += w
+                t[x] += w * text[y]
+                p[x] += w * marks[y]
+    fused: dict[int, list[float]] = {}
+    for i, path in enumerate(of):
+        own = fused.setdefault(path, [0.0, 0.0])
+        own[0] += t[i] / weight[i] * (1 + p[i] / weight[i])
+        own[1] += 1
+    return {path: 0.0 if elements[b.element].away else fused[path][0] / fused[path][1] * page.priors[path] for path, b in zip(of, found, strict=True)}
+
+
+def main_text(source: str | None, strength: float = 0.5, share: float = 0.75) -> str:
     """The article of a page: its blocks, joined by an empty line."""
-    found = judged(blocks(page or ""), strength)
-    if all(b.away for b in found):
+    page = read(source or "")
+    elements = page.elements
+    kept = [b for b in page.blocks if not elements[b.element].away]
+    if not kept:
         return ""
-    scores = path_scores(found)
+    scores = path_scores(page)
     threshold = strength * float(np.std(list(scores.values())))
-    kept = [b for b in found if not b.away]
-    passed = [b for b in kept if scores[b.path] >= threshold and len(b.text) > b.links] or kept
-    # the text under all root elements, against that under none
-    mass = [0.0, 0.0]
-    for b in passed:
-        mass[b.root >= 0] += scores[b.path] * (len(b.text) - b.links) * (4 if b.root >= 0 else 1)
-    depth, holder = _lowest([b for b in passed if b.root >= 0] if mass[1] and mass[1] >= mass[0] else passed)
-    own = [b for b in kept if b.elements[:depth] == holder.elements[:depth]]
-    if not _ROOTS.intersection(holder.path[:depth]):
-        branch = lambda b: b.elements[depth : depth + 1]
-        prose = {branch(b) for b in own if len(b.text) > b.links} | {branch(b) for b in passed}
-        own = [b for b in own if branch(b) in prose]
+    score = lambda b: scores[elements[b.element].path]
+    content = {id(b) for b in kept if score(b) >= threshold and len(b.text) > b.links}
+    content = content or {id(b) for b in kept}
+    mass = [0.0] * len(elements)
+    for b in kept:
+        if id(b) in content:
+            mass[b.element] += score(b) * (len(b.text) - b.links)
+    direct = list(mass)
+    for e in range(len(elements) - 1, 0, -1):
+        mass[elements[e].parent] += mass[e]
+    root = _root(page, kept, mass, direct, share)
+    # what lies under the root and in no marked element below it
+    under = [False] * len(elements)
+    under[root] = True
+    opened = set(_above(elements, _lowest(elements, mass, share)))
+    branch = [0] * len(elements)  # the child of the root that holds an element
+    for e in range(root + 1, len(elements)):
+        up = elements[e].parent
+        under[e] = under[up] and (not elements[e].marked or e in opened)
+        branch[e] = e if up == root else branch[up]
+    own = [b for b in kept if under[b.element]]
+    if not elements[root].rooted:
+        prose = {branch[b.element] for b in own if len(b.text) > b.links or id(b) in content}
+        own = [b for b in own if branch[b.element] in prose]
     return "\n\n".join(b.text for b in own)
 
 
-def _lowest(chosen: list[Block]) -> tuple[int, Block]:
-    """Depth of the lowest element that holds all blocks, parts of a text and what is inside an article or main apart; and one of them."""
-    first = chosen[0]
-    depth = min(len(b.elements) for b in chosen)
-    for b in chosen:
-        while b.elements[:depth] != first.elements[:depth]:
-            depth -= 1
-    for k in range(depth):
-        if first.path[k] in _ROOTS:
-            return k + 1, first
-    if depth and first.path[depth - 1] in ("td", "th") and any(len(b.path) == depth for b in chosen):
-        depth -= 1
-    while depth and first.path[depth - 1] in _PARTS:
-        depth -= 1
-    return depth, first
+def _above(elements: list[Element], e: int) -> list[int]:
+    """An element and all that hold it."""
+    out = [e]
+    while out[-1]:
+        out.append(elements[out[-1]].parent)
+    return out
+
+
+def _lowest(elements: list[Element], mass: list[float], share: float) -> int:
+    """The lowest element with this share of the weight: elements are in page order, so the last one (parts of over half hold each other)."""
+    return max(e for e in range(len(elements)) if mass[e] >= share * mass[0])
+
+
+def _root(page: Page, kept: list[Block], mass: list[float], direct: list[float], share: float) -> int:
+    """The element whose blocks are the text."""
+    elements = page.elements
+    root = _lowest(elements, mass, share) if mass[0] else 0
+    while root and (elements[root].tag in _PARTS or elements[root].tag in ("td", "th") and direct[root]):
+        root = elements[root].parent
+    if elements[root].rooted:
+        return [e for e in _above(elements, root) if elements[e].rooted][-1]
+    # blocks and headings below each element that no marked one below it holds
+    count, headings = [0] * len(elements), [0] * len(elements)
+    for b in kept:
+        count[b.element] += 1
+        headings[b.element] += elements[b.element].tag in _HEADINGS
+    for e in range(len(elements) - 1, 0, -1):
+        if not elements[e].marked:
+            count[elements[e].parent] += count[e]
+            headings[elements[e].parent] += headings[e]
+    e = root
+    while e:
+        up, own = elements[e].parent, not elements[e].marked
+        more, heads = count[up] - own * count[e], headings[up] - own * headings[e]
+        if more != heads:
+            break
+        e, root = up, up if heads else root
+    return root
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

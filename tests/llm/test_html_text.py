@@ -1,11 +1,17 @@
 import html
+import math
 import re
+import time
+from statistics import pstdev
 
 import pytest
 
 from lumisheet.llm import html_text
 from lumisheet.llm.common import table
 
+PROSE = "<p>Prose, with marks; and more of it. It goes on, and on.</p><p>More, of it. And, so on, for long.</p>"
+TEXT = "Prose, with marks; and more of it. It goes on, and on.\n\nMore, of it. And, so on, for long."
+
 CASES = [
     ("<p>One, two.</p><p>Three &amp; four.", "One, two.\n\nThree & four."),
     ("", ""),
@@ -32,13 +38,89 @@ def test_ratios_prefer_prose_to_link_lists():
     assert html_text.main_text(page) == "Prose, with marks; and more of it. It goes on, and on.\n\nMore, of it. And, so on."
 
 
+def article(source):
+    body = re.search(r"(?s)<article>(.*?)(</article>|$)", source)[1]
+    body = body if "</article>" in source else re.sub(r"<[^>]*$", "", body)
+    blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+    return "\n\n".join(filter(None, blocks))
+
+
 def test_table(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     for r in html_text.digest(pages).join(pages.select("page_id", "html"), "page_id").collect():
-        body = re.search(r"(?s)<article>(.*?)(</article>|$)", r.html)[1]
-        body = body if "</article>" in r.html else re.sub(r"<[^>]*$", "", body)
-        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
-        assert r.text == "\n\n".join(filter(None, blocks)) and r.n_chars == len(r.text)
+        assert r.text == article(r.html) and r.n_chars == len(r.text)
+
+
+def test_table_without_names(spark, sf_dir):
+    """The ratios find the articles where neither tags nor classes tell them."""
+    found = nearly = total = 0
+    for r in table(spark, "/root/testdata/sf0.01", "pages").select("html").collect():
+        bare = re.sub("<(/?)article>", r"<\1div>", r.html).replace('class="ad"', 'class=""')
+        found += html_text.main_text(bare) == article(r.html)
+        nearly += html_text.main_text(re.sub("<(/?)(?:nav|footer)>", r"<\1div>", bare)) == article(r.html)
+        total += 1
+    assert found >= 0.98 * total and nearly >= 0.97 * total
+
+
+BOILER = "<ul>" + "".join(f"<li>Item number {i} of the shop</li>" for i in range(30)) + "</ul>"
+
+
+def test_results_need_the_ratios(monkeypatch):
+    page = f"<body>{BOILER}<div>{PROSE}{PROSE}</div><div>All the rights of the firm</div></body>"
+    assert html_text.main_text(page) == f"{TEXT}\n\n{TEXT}"
+    monkeypatch.setattr(html_text, "path_scores", lambda page: dict.fromkeys((page.elements[b.element].path for b in page.blocks), 1.0))
+    assert html_text.main_text(page) != f"{TEXT}\n\n{TEXT}"
+
+
+def plain_scores(page):
+    """The scores of paths written out: all pairs of blocks, paths as lists of elements."""
+    line = lambda e: [] if e < 0 else [*line(page.elements[e].parent), e]
+    lines = [line(b.element) for b in page.blocks]
+    names = [tuple((page.elements[e].tag, page.elements[e].marked, page.elements[e].away) for e in x) for x in lines]
+    away = [page.elements[b.element].away for b in page.blocks]
+    ratio = lambda value: [sum(value(b) for b, n, a in zip(page.blocks, names, away, strict=True) if n == own and not a) / names.count(own) for own in names]
+    text = ratio(lambda b: len(b.text) - b.links)
+    marks = ratio(lambda b: sum(c in ".,;:!?…。，、！？；：" for c in b.text))
+
+    def smooth(x):
+        out = []
+        for i in range(len(x)):
+            near = {}
+            for j in range(max(0, i - 2), min(len(x), i + 3)):
+                both = sum(p == q for p, q in zip(lines[i], lines[j], strict=False))
+                steps = max(len(lines[i]) - both, 0) + max(len(lines[j]) - both, 0)
+                near[j] = (4.0, 2.0, 1.0)[abs(i - j)] * (0.5 ** (steps / 2) if i != j else 1)
+            out.append(sum(w * x[j] for j, w in near.items()) / sum(near.values()))
+        return out
+
+    fused = [t * (1 + p) for t, p in zip(smooth(text), smooth(marks), strict=True)]
+    out = {}
+    for own in set(names):
+        of = [f for f, n in zip(fused, names, strict=True) if n == own]
+        factor = math.prod(0.1 for _, marked, _ in own if marked) * (2.0 if any(t in ("article", "main") for t, _, _ in own) else 1.0)
+        out[own] = 0.0 if any(a for _, _, a in own) else sum(of) / len(of) * factor
+    return {b.element: out[n] for b, n in zip(page.blocks, names, strict=True)}
+
+
+def test_scores_against_brute_force(spark, sf_dir):
+    sources = [r.html for r in table(spark, sf_dir, "pages").limit(40).collect()]
+    sources += [f"<div class=widget><form>{PROSE}<a href=x>y</a></form></div><main>{PROSE}<ul><li>a<li>b, c</ul></main>"]
+    for source in sources:
+        page = html_text.read(source)
+        got = html_text.path_scores(page)
+        expected = plain_scores(page)
+        assert {e: got[page.elements[e].path] for e in expected} == pytest.approx(expected)
+        assert pstdev(got.values()) >= 0
+
+
+def test_deep_nesting_takes_linear_time():
+    def took(n):
+        began = time.perf_counter()
+        html_text.main_text("<div>x" * n + "</p>" * n + "<li>y" * n)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(16_000) < 10 * took(4_000) + 0.5
 
 
 def test_odd_rows(spark):
@@ -48,10 +130,6 @@ def test_odd_rows(spark):
     assert html_text.digest(pages.where("1 = 0")).count() == 0
 
 
-PROSE = "<p>Prose, with marks; and more of it. It goes on, and on.</p><p>More, of it. And, so on, for long.</p>"
-TEXT = "Prose, with marks; and more of it. It goes on, and on.\n\nMore, of it. And, so on, for long."
-
-
 @pytest.mark.parametrize(
     "page",
     [
@@ -61,6 +139,12 @@ TEXT = "Prose, with marks; and more of it. It goes on, and on.\n\nMore, of it. A
         f"<form action=x><div id=page>{PROSE}<div class=comments><p>A comment, which is long, too.</p></div></div></form>",
         f"<form><article>{PROSE}</article></form><p>Short.</p>",
         f"<div class='page widget'>{PROSE}</div>",
+        f"<div class='post no-comments'>{PROSE}</div>",
+        f"<div class='layout has-sidebar'>{PROSE}</div>",
+        f"<div data-id=login>{PROSE}</div>",
+        f"<div data-id=login>{PROSE}</div><div>Short</div>",
+        f"<article class=ad-free>{PROSE}</article>",
+        f"<div class=with-banner>{PROSE}</div>",
         f"<main>{PROSE}</main><div class=related><article><p>Teaser, with a mark.</p></article></div>",
         f"<main>{PROSE}<div class='comment-list'><article><p>A comment, short.</p></article></div></main><div class='site-footer'><p>Footer, of it.</p></div>",
     ],
