@@ -1,21 +1,25 @@
 """Near-duplicate vectors by an exact metric range join.
 
 Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other. Large labels get pivots; a
-vector's home is the cell of its nearest pivot p, and it visits each cell q that may hold a vector
-within r: by the triangle inequality those with d(x, q) <= d(x, p) + 2r, of which only those remain
-whose boundary, the plane midway between p and q, is within r of x. Cells then join on their own: a link
-of x is counted in its home, where all its partners are at home or visit.
-
-Scale: equal vectors of a label are one class with a count, so copies cost nothing. Pivots are at most
-``max_pivots`` in all; they set the cost, never the result. A cell of any size is cut into blocks of
-``block_rows`` members, and pairs of blocks are compared in groups of their own. A group emits counts
-and a spanning forest of its links, not the links. Where vectors spread evenly over many dimensions
-most cells are visited by most vectors (in the checks, 64 dimensions), and the join nears the blocked
-comparison of each label with itself; that is the nature of the metric, not a limit on rows.
+vector's home is the cell of its nearest pivot, and it visits each cell before its home that may hold a vector
+within r. By the triangle inequality that is a cell q with d(x, q) <= R + r, R being the radius of the cell, and
+for none of the pivots s near x does x lie farther than r behind the plane midway between q and s, as
+all of the cell lies before it. Cells then join on their own: a link is found once, in the lower of the two homes.
+
+Scale: equal vectors of a label are one class with a count, so copies cost nothing. There are at most
+``max_pivots`` pivots in all, chosen by hash; of ``PROBES`` vectors of a label it is measured how many cells a
+vector visits, and the number of pivots with the least work among those with few visits is taken (cells hold ``wide_rows``
+at most, whatever the visits). Pivots set the cost, never the result. A cell of any size is cut into
+blocks of ``block_rows`` members; home blocks meet all blocks in groups of their own, in products of bounded
+size. A group emits counts and a spanning forest of its links, not the links, and classes carry their least id,
+so no component is gathered. Where vectors spread evenly over many dimensions every cell is visited by most
+vectors, and the join nears the blocked comparison of a label with itself; that is the nature of the metric, not
+a limit on rows. Pairs in a cell are compared by one matrix product, which costs less than bounds by further pivots.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and those
 without a label, link with nothing; vectors of different length never link; repeated rows are vectors
-of their own; an empty table gives an empty result; other columns are ignored.
+of their own; vectors without id link, but name no component while another does; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +37,38 @@ from .common import components, durable
 from .simhash import forest
 
 COSINE = 0.93
-
-
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+PROBES = 64
+#: Cells that a vector may visit, on average, for a finer partition to be taken.
+VISITS = 4.0
+#: Pivots nearest to a vector against which the planes of a cell are tried, and numbers in a product at once.
+PLANES, PRODUCT = 8, 1 << 22
+
+
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of lists of one length, scaled to length one."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pivots(classes: DataFrame, cell_rows: int, max_pivots: int) -> dict[tuple, np.ndarray]:
-    """Pivots of each large label and vector length, chosen by hash; ``max_pivots`` in all at most."""
+def visited(x: np.ndarray, pivots: np.ndarray, radius: float, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each vector, and a table of the cells that may hold a vector within ``radius`` of it, home apart."""
+    square = np.maximum(0, 2 - 2 * x @ pivots.T)
+    home = square.argmin(axis=1)
+    out = np.ones(square.shape, bool) if reach is None else np.sqrt(square) <= reach + radius + 1e-9
+    between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    near = np.argpartition(square, min(PLANES, square.shape[1]) - 1, axis=1)[:, :PLANES]
+    for k in range(near.shape[1]):
+        s = near[:, k]
+        out &= square - square[np.arange(len(x)), s][:, None] <= 2 * radius * between[s] + 1e-9
+    out[np.arange(len(x)), home] = False
+    return home, out
+
+
+def _pivots(classes: DataFrame, radius: float, cell_rows: int, wide_rows: int, max_pivots: int) -> dict[tuple, np.ndarray]:
+    """Pivots of each large label and vector length; ``max_pivots`` in all at most."""
     sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).orderBy(F.desc("n"), "label", "dims").limit(max_pivots // 2).collect()
     total = sum(r.n for r in sizes)
     quota = {(r.label, r.dims): max(2, min(-(-r.n // cell_rows), (max_pivots - 2 * len(sizes)) * r.n // total + 2)) for r in sizes}
@@ -52,95 +77,143 @@ def _pivots(classes: DataFrame, cell_rows: int, max_pivots: int) -> dict[tuple,
     spark = classes.sparkSession
     size = {(r.label, r.dims): r.n for r in sizes}
     schema = T.StructType([*classes.select("label", "dims").schema.fields, T.StructField("want", T.IntegerType()), T.StructField("rate", T.DoubleType())])
-    want = F.broadcast(spark.createDataFrame([(*k, n, 40 * n / size[k]) for k, n in quota.items()], schema))
+    want = F.broadcast(spark.createDataFrame([(*k, n + PROBES, 40 * (n + PROBES) / size[k]) for k, n in quota.items()], schema))
     # a thin hash sample of each label (about 40 for each pivot), of which the first by hash are taken
     u = (F.pmod(F.xxhash64(F.lit(1), "cid"), F.lit(1 << 30)) / float(1 << 30)).alias("u")
     thin = classes.select("label", "dims", "v", u).join(want, ["label", "dims"]).where(F.col("u") <= F.col("rate"))
     first = thin.withColumn("k", F.row_number().over(Window.partitionBy("label", "dims").orderBy("u"))).where(F.col("k") <= F.col("want"))
-    out: dict[tuple, list] = {}
-    for r in first.select("label", "dims", "v").collect():  # max_pivots rows at most
-        out.setdefault((r.label, r.dims), []).append(r.v)
-    return {k: _unit(v) for k, v in out.items()}
-
-
-def range_links(classes: DataFrame, cosine: float = COSINE, cell_rows: int = 2048, block_rows: int = 1024, max_pivots: int = 256) -> DataFrame:
-    """Links between classes (cid, label, dims, v, c): rows (cid, n, other), n partial counts of linked vectors of
+    found: dict[tuple, list] = {}
+    for r in first.select("label", "dims", "v").orderBy("label", "dims", "k").collect():  # max_pivots rows, and PROBES for each of these labels
+        found.setdefault((r.label, r.dims), []).append(r.v)
+    out = {}
+    for key, rows in found.items():
+        x = _unit(pa.array(rows))
+        pivots, probes = x[: quota[key]], x[quota[key] :]
+        best, least = len(pivots), None
+        n = len(pivots)
+        while n >= 2 and len(probes):
+            home, cells = visited(probes, pivots[:n], radius)
+            visits = 1 + float((cells & (np.arange(n) < home[:, None])).sum(axis=1).mean())
+            work = visits / n  # compared rows are the members of a cell times its own
+            if (visits <= VISITS or size[key] > n * wide_rows) and (least is None or work < least):
+                best, least = n, work
+            elif least is None:
+                best = n
+            n //= 2
+        out[key] = pivots[:best]
+    return out
+
+
+def _by_label(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, pa.RecordBatch]]:
+    """Rows of a batch (its first columns are label and dims) by label and length."""
+    groups: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        groups.setdefault(key, []).append(i)
+    for key, rows in groups.items():
+        yield key, np.array(rows), batch.take(pa.array(rows, pa.int64()))
+
+
+def range_links(classes: DataFrame, cosine: float = COSINE, cell_rows: int = 1024, wide_rows: int = 1 << 15, block_rows: int = 1 << 14, max_pivots: int = 512) -> DataFrame:
+    """Links between classes (label, dims, v, cid, id, c): rows (cid, id, n, other, other_id), n partial counts of linked vectors of
     other classes, ``other`` an edge of the spanning forest (itself: none)."""
+    members = durable(route(classes, cosine, cell_rows, wide_rows, max_pivots))
+    key = ["label", "dims", "cell"]
+    count = lambda home: F.ceil(F.count(F.when(F.col("home") == home, True)) / block_rows).cast("int")
+    sizes = members.groupBy(*key).agg(count(True).alias("homes"), count(False).alias("guests"), (F.count("*") <= block_rows).alias("whole"))
+    cut = members.join(sizes.where("homes > 0"), key)
+    hashed = lambda n: F.pmod(F.xxhash64("cid"), F.greatest(n, F.lit(1))).cast("int")
+    cut = cut.withColumn("k", F.when(F.col("whole"), 0).when(F.col("home"), hashed(F.col("homes"))).otherwise(F.col("homes") + hashed(F.col("guests"))))
+    # a home block meets all blocks, a block of guests the home blocks
+    last = F.when(F.col("whole"), 0).when(F.col("home"), F.col("homes") + F.col("guests") - 1).otherwise(F.col("homes") - 1)
+    pairs = cut.withColumn("j", F.explode(F.sequence(F.lit(0), last))).withColumn("lo", F.least("k", "j")).withColumn("hi", F.greatest("k", "j"))
+    pairs = pairs.select(*key, "lo", "hi", "k", "home", "cid", "id", "c", "v")
+
+    def link(rows: pa.Table) -> pa.Table:
+        home, cid = rows.column("home").to_numpy(), rows.column("cid").to_numpy()
+        order = np.lexsort((cid, ~home))
+        rows = rows.take(pa.array(order))
+        home, cid, c, k = (rows.column(x).to_numpy() for x in ("home", "cid", "c", "k"))
+        one = rows.column("lo")[0] == rows.column("hi")[0]
+        x, own = _unit(rows.column("v")), np.count_nonzero(home)
+        n = np.zeros(len(x), np.int64)
+
+        def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            step = max(1, PRODUCT // len(x))
+            for i in range(0, own, step):
+                near = x[i : min(own, i + step)] @ x[i:].T
+                a, b = np.nonzero(near >= cosine - 1e-12)
+                close = np.abs(near[a, b] - cosine) < 1e-12
+                a, b = a + i, b + i
+                good = (a < b) & (one | (k[a] != k[b]))  # pairs within a block have a group of their own
+                for e in np.flatnonzero(close & good).tolist():  # the plain formula decides at the edge
+                    p, q = (np.asarray(rows.column("v")[int(r)].as_py(), float) for r in (a[e], b[e]))
+                    good[e] = float(p @ q) / (float(np.linalg.norm(p)) * float(np.linalg.norm(q))) >= cosine
+                a, b = a[good], b[good]
+                np.add(n, np.bincount(a, c[b], len(x)).astype(np.int64), out=n)
+                np.add(n, np.bincount(b, c[a], len(x)).astype(np.int64), out=n)
+                yield a, b
+
+        root = forest(len(x), linked())
+        keep = (n > 0) | (root != np.arange(len(x)))
+        key = rows.column("id").combine_chunks() if rows.num_rows else rows.column("id")
+        return pa.table({"cid": cid[keep], "id": key.take(pa.array(np.flatnonzero(keep))), "n": n[keep], "other": cid[root[keep]], "other_id": key.take(pa.array(root[keep]))})
+
+    return pairs.groupBy(*key, "lo", "hi").applyInArrow(link, "cid long, id long, n long, other long, other_id long")
+
+
+def route(classes: DataFrame, cosine: float, cell_rows: int, wide_rows: int, max_pivots: int) -> DataFrame:
+    """``classes`` with ``cell`` and ``home``: a row for the home of each vector and for each cell before it that it visits."""
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-7
+    pivots = _pivots(classes, radius, cell_rows, wide_rows, max_pivots)
+    columns = classes.select("label", "dims", "v", "cid", "id", "c")
+    if not pivots:
+        return columns.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
     sc = classes.sparkSession.sparkContext
-    shared = sc.broadcast(_pivots(classes, cell_rows, max_pivots))
-    columns = classes.select("cid", "c", "label", "dims", "v")
+    shared = sc.broadcast(pivots)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, dims = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(labels, dims, strict=True)):
-                groups.setdefault(key, []).append(i)
-            for key, rows in groups.items():
-                own = batch.take(pa.array(rows, pa.int64()))
-                pivots = shared.value.get(key)
-                if pivots is None:
-                    at, cell, home = np.arange(len(rows)), np.zeros(len(rows), np.int32), np.ones(len(rows), bool)
-                else:
-                    x = _unit(own.column(4).to_pylist())
-                    square = np.maximum(0, 2 - 2 * x @ pivots.T)
-                    nearest = square.argmin(axis=1)
-                    least = square[np.arange(len(x)), nearest][:, None]
-                    between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))[nearest]
-                    visits = (np.sqrt(square) <= np.sqrt(least) + 2 * radius) & (square - least <= 2 * radius * between + 1e-9)
-                    visits[np.arange(len(x)), nearest] = True
-                    at, cell = np.nonzero(visits)
-                    home = nearest[at] == cell
-                yield pa.RecordBatch.from_arrays([*own.take(pa.array(at)).columns, pa.array(cell.astype(np.int32)), pa.array(home)], names=["cid", "c", "label", "dims", "v", "cell", "home"])
-
-    schema = T.StructType([*columns.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())])
-    members = durable(columns.mapInArrow(route, schema))
-    key = ["label", "dims", "cell"]
-    sizes = members.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    cut = members.join(sizes, key).withColumn("k", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    pairs = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("k", "j")).withColumn("hi", F.greatest("k", "j"))
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid", kind="stable").reset_index(drop=True)
-        x = _unit(pdf.v.tolist())
-        near = x @ x.T
-        unsure = np.argwhere(np.triu(np.abs(near - cosine) < 1e-12, 1))
-        for a, b in unsure:  # the plain formula decides at the edge
-            p, q = np.asarray(pdf.v[a], float), np.asarray(pdf.v[b], float)
-            near[a, b] = near[b, a] = float(p @ q) / (float(np.linalg.norm(p)) * float(np.linalg.norm(q)))
-        linked = near >= cosine
-        np.fill_diagonal(linked, False)
-        lo, hi, k = pdf.lo.iat[0], pdf.hi.iat[0], pdf.k.to_numpy()
-        if lo != hi:
-            linked &= k[:, None] != k[None, :]  # pairs within a block have a group of their own
-        home = pdf.home.to_numpy()
-        n = np.where(home, linked @ pdf.c.to_numpy(), 0)
-        root = forest(len(pdf), iter([np.nonzero(np.triu(linked & (home[:, None] | home[None, :])))]))
-        joined = root != np.arange(len(pdf))
-        keep = (n > 0) | joined
-        cid = pdf.cid.to_numpy()
-        return pd.DataFrame({"cid": cid[keep], "n": n[keep], "other": cid[root][keep]})
-
-    return pairs.groupBy(*key, "lo", "hi").applyInPandas(link, "cid long, n long, other long")
+            for key, _, own in _by_label(batch):
+                if (p := shared.value.get(key)) is not None:
+                    square = np.maximum(0, 2 - 2 * _unit(own.column(2)) @ p.T)
+                    home = square.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(home.astype(np.int32)), pa.array(np.sqrt(square.min(axis=1)))], names=["label", "dims", "cell", "d"])
+
+    keys = columns.select("label", "dims").schema.fields
+    reach = {k: np.zeros(len(p)) for k, p in pivots.items()}
+    by_cell = columns.select("label", "dims", "v").mapInArrow(farthest, T.StructType([*keys, T.StructField("cell", T.IntegerType()), T.StructField("d", T.DoubleType())])).groupBy("label", "dims", "cell").agg(F.max("d").alias("d"))
+    for r in by_cell.collect():  # a row for each pivot
+        reach[r.label, r.dims][r.cell] = r.d
+    reached = sc.broadcast(reach)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, _, own in _by_label(batch):
+                at, cell, home = np.arange(len(own)), np.zeros(len(own), np.int64), np.ones(len(own), bool)
+                if (p := shared.value.get(key)) is not None:
+                    cell, cells = visited(_unit(own.column(2)), p, radius, reached.value[key])
+                    guest, to = np.nonzero(cells & (np.arange(len(p)) < cell[:, None]))
+                    at, cell, home = np.concatenate((at, guest)), np.concatenate((cell, to)), np.arange(len(at) + len(guest)) < len(at)
+                yield pa.RecordBatch.from_arrays([*own.take(pa.array(at)).columns, pa.array(cell.astype(np.int32)), pa.array(home)], names=["label", "dims", "v", "cid", "id", "c", "cell", "home"])
+
+    return columns.mapInArrow(send, T.StructType([*columns.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())]))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id`` and ``kept``."""
     v = F.col(vector_col)
     finite = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = durable(vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"), (finite & F.col(label_col).isNotNull()).alias("valid")))
+    rows = durable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"), (finite & F.col(label_col).isNotNull()).alias("valid")))
     valid = rows.where("valid")
-    classes = valid.groupBy("label", "v").agg(F.count("*").alias("c"), F.min("id").alias("least"))
+    classes = valid.groupBy("label", "v").agg(F.count("*").alias("c"), F.min("id").alias("id"))
     classes = durable(classes.withColumn("dims", F.size("v")).withColumn("cid", F.monotonically_increasing_id()))
     links = durable(range_links(classes, **options))
-    joined = components(links.where("other <> cid").select(F.col("cid").alias("a"), F.col("other").alias("b")))
+    vertex = lambda cid, key: F.struct(F.col(key).isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.col(cid).alias("cid"))  # noqa: E731  classes without id come last
+    joined = components(links.where("other <> cid").select(vertex("cid", "id").alias("a"), vertex("other", "other_id").alias("b")))
+    joined = joined.select(F.col("id.cid").alias("cid"), F.when(~F.col("label.none"), F.col("label.id")).alias("to"), F.lit(True).alias("linked"))
     counts = links.groupBy("cid").agg(F.sum("n").alias("n"))
-    of = classes.drop("v", "dims").join(counts, "cid", "left").join(joined, F.col("cid") == F.col("id"), "left")
-    of = of.select("cid", "least", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce(joined["label"], F.col("cid")).alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "root").select("cid", "n_links", "component_id")
-    named = classes.select("label", "v", "cid").join(of, "cid").drop("cid")
+    of = classes.select("label", "v", "cid", "id", "c").join(counts, "cid", "left").join(joined, "cid", "left")
+    named = of.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.when(F.col("linked"), F.col("to")).otherwise(F.col("id")).alias("component_id"))
     linked = valid.join(named, ["label", "v"]).select("id", "n_links", "component_id")
     alone = rows.where(~F.col("valid")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -44,7 +44,7 @@ def cloud(seed, dims, n, spread):
     return [(int(i), [float(np.float32(c)) for c in v], int(k)) for i, v, k in zip(rng.permutation(n), x, rng.integers(0, 2, n), strict=True)]
 
 
-@pytest.mark.parametrize(("dims", "spread", "options"), [(3, 0.25, dict(cell_rows=20, block_rows=16)), (16, 0.25, dict(cell_rows=20, block_rows=1000)), (16, 0.3, {}), (2, 0.1, dict(cell_rows=10, block_rows=7, max_pivots=6))])
+@pytest.mark.parametrize(("dims", "spread", "options"), [(3, 0.25, dict(cell_rows=20, block_rows=16)), (16, 0.25, dict(cell_rows=20, block_rows=1000)), (16, 0.3, {}), (2, 0.1, dict(cell_rows=10, block_rows=7, max_pivots=6)), (16, 0.25, dict(cell_rows=20, wide_rows=10, block_rows=30))])
 def test_against_all_pairs(spark, dims, spread, options):
     check(spark, cloud(dims, dims, 300, spread), **options)
 
@@ -63,3 +63,26 @@ def test_repeated_rows_empty_table_and_clashing_names(spark):
     rows = metric_join.digest(df).collect()
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in sorted(rows)] == [(1, 3, 1, True)] * 3 + [(2, 3, 1, False)]
     assert metric_join.digest(df.where("1 = 0")).count() == 0
+
+
+def test_cells_hold_all_partners():
+    """Every vector within the radius is in the home cell or in a visited one, with and without the radii of the cells."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 5))
+    x = np.concatenate((x, x[:100] + 0.1 * rng.normal(size=(100, 5))))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, radius = x[:30], 0.37
+    apart = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+    home = apart.argmin(axis=1)
+    reach = np.array([apart[home == q, q].max(initial=0) for q in range(30)])
+    partners = np.linalg.norm(x[:, None] - x[None], axis=2) <= radius
+    for r in (None, reach):
+        got, cells = metric_join.visited(x, pivots, radius, r)
+        assert (got == home).all() and cells.mean() < 0.5
+        cells[np.arange(len(x)), home] = True
+        assert all(cells[i, home[j]] for i, j in zip(*np.nonzero(partners), strict=True))
+
+
+def test_vectors_without_id(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0], 0), (4, [1.0, 0.1], 0), (3, [1.0, 0.2], 0), (None, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in metric_join.digest(df).collect()), key=str) == sorted([(None, 2, 3), (4, 2, 3), (3, 2, 3), (None, 0, None)], key=str)
