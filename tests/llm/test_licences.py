@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from lumisheet.llm import licences
 from lumisheet.llm.common import table
 
@@ -53,6 +55,40 @@ def test_documents(spark, sf_dir):
         assert ("apache" in r.labels.split(",")) == ("Licensed under the Apache License, Version 2.0." in t)
 
 
+def test_key_phrases_stand_near_the_aligned_place(spark):
+    """A key phrase far away from the notice does not verify it, and letters beyond ASCII fold into none of its words."""
+    notice = "you may not use this file except in compliance with the license you may obtain a copy of the license at"
+    rows = [f"Apache {notice}", f"{notice} apache", "apache " + "far away " * 100 + notice, f"{notice}", "this wor\u212a is licensed under the gnu general public license version 3", "This WORK is licensed under the GNU General Public License version 3"]
+    docs = spark.createDataFrame([*enumerate(rows), *((i, f"plain {i}") for i in range(10, 60))], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.digest(docs).collect()}
+    assert [got[i].labels for i in range(6)] == ["apache", "apache", "", "", "gpl", "gpl"]
+
+
+def test_clauses_of_whole_licences(spark):
+    for label, text, key in licences.TEMPLATES:
+        assert f" {key} " in f" {text} " or (label, key) == ("apache", "apache")
+    docs = spark.createDataFrame([(i, f"x y z {t.upper()} and more") for i, (_, t, _) in enumerate(licences.TEMPLATES)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licences.digest(docs).collect()}
+    assert all(label in got[i].split(",") for i, (label, _, key) in enumerate(licences.TEMPLATES) if key != "apache")
+
+
+def test_any_word_pattern():
+    for w in licences.VOCABULARY:
+        assert re.search(licences._ANY, f"x {w.upper()}.") and not re.search(licences._ANY, f"x{w}é {w}qq")
+    assert not re.search(licences._ANY, "plain texts about cats")
+
+
+def test_sql(spark, sf_dir, odd_docs):
+    duckdb = pytest.importorskip("duckdb")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([*TEXTS, *(t for _, t, _ in licences.TEMPLATES)])], "doc_id long, text string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(extra)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    expected = con.execute(f"SELECT {', '.join(names)} FROM ({licences.oracle()}) ORDER BY doc_id").fetchall()
+    assert list(map(tuple, licences.digest(docs).select(*names).orderBy("doc_id").collect())) == expected
+
+
 def test_plan_has_no_python(spark, sf_dir):
     plan = licences.digest(table(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
