@@ -262,6 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = [c for c in docs.columns if c not in ("fp_", "component_id", "head_fp")]
     prints = durable(fingerprints(docs.select(*rest), text_col))
     heads = near_components(prints, id_col, **options).select(F.col("fp").alias("fp_"), F.col("head_id").alias("component_id"), "head_fp")
+    heads = durable(heads)  # so that both sides of the join are dealt anew, and adaptive execution may split a hot fingerprint
     return prints.join(heads, F.col("fp") == F.col("fp_")).drop("fp_")
 
 
