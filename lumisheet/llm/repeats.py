@@ -13,8 +13,10 @@ anchor; the bytes of these strings are its context.
    sort whose characters are words of eight bytes (a word is read only where those before it tie), once
    forwards and once by the bytes before the anchor, read backwards. Common prefixes of neighbours in the
    two orders give the classes of equal strings; all but the first of a class are repeats.
-3. Strings of grams at the edge of a bucket may stand in other buckets as well: the first of each class in
-   a bucket, at most one row of a string and bucket, meet in a window by their bytes.
+3. Strings whose bytes from the anchor on lead to the edge of a bucket may stand in other buckets as well. Contexts with
+   such strings are range-partitioned once more, by gram and the bytes before the anchor, and of their strings those stay
+   whose bytes before it stand there twice. The first of each class in a bucket, at most one row of a string
+   and bucket, meet in a window by their bytes.
 4. Each document loses the bytes that its repeats cover.
 
 Scale: a hot passage is no hot key, as splitters cut through ties, and a hot string is one row a bucket
@@ -219,6 +221,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return out, size
 
 
+def _common(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bytes that rows have in common with another row, or each with its own."""
+    differ = rows != other
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+
+
 def _ordered(rows: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of bytes (those of equal ``before`` together), and what each has in common with its neighbour: bytes, or -1."""
     keys = list(rows.view(">u8").astype(np.uint64).T)
@@ -226,8 +234,7 @@ def _ordered(rows: np.ndarray, before: np.ndarray | None = None) -> tuple[np.nda
     common = np.full(len(order), -1, np.int64)
     for a in range(1, len(order), 1 << 16):
         part = rows[order[a - 1 : a + (1 << 16)]]
-        differ = part[1:] != part[:-1]
-        common[a : a + (1 << 16)] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        common[a : a + (1 << 16)] = _common(part[1:], part[:-1])
     if before is not None:
         common[1:][before[order[1:]] != before[order[:-1]]] = -1
     return order, common
@@ -288,31 +295,56 @@ def repeated_strings(docs: DataFrame, runs: DataFrame, length: int, buckets: int
         order = order[~_same([key[order], h[order], place[order]])]
         key, h, place = key[order], h[order], place[order]
         (suffix, size), (ahead, room) = (_matrix(rows.column(c).take(pa.array(order)), w) for c, w in zip(names[:2], widths, strict=True))
-        head = suffix[:, :GRAM].copy().view(">u8")
-        by_head = np.lexsort(head.T[::-1])
-        at_edge = (head == head[by_head[0]]).all(axis=1) | (head == head[by_head[-1]]).all(axis=1)
+        # a string of r bytes from its anchor on may stand in another bucket only if they lead to this bucket's edge
+        by_bytes = np.lexsort(suffix.view(">u8").T[::-1])
+        reach = np.maximum(_common(suffix, suffix[by_bytes[0]]), _common(suffix, suffix[by_bytes[-1]]))
         out: list[list[np.ndarray]] = []
+        asks = np.zeros((len(key), length - GRAM + 1), bool)
         for o, own, again in string_classes(suffix, size, ahead, room, length):
             gone = own[again]
             out.append([key[gone], h[gone], place[gone] - o])
-            ask = own[~again & at_edge[own]]
-            if len(ask):
-                strings = np.concatenate((ahead[ask, :o][:, ::-1], suffix[ask, : length - o]), axis=1)
-                offsets = pa.py_buffer(np.arange(0, (len(ask) + 1) * length, length, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[ask]), pa.array(h[ask]), pa.array(place[ask] - o), pa.Array.from_buffers(pa.binary(), len(ask), [None, offsets, pa.py_buffer(np.ascontiguousarray(strings))])],
-                    names=["id", "h", "run", "string"],
-                )
+            asks[own[~again & (reach[own] >= length - o)], o] = True
+        edge = np.flatnonzero(asks.any(axis=1))
+        at = pa.array(order[edge])
+        masks = pa.array([m.tobytes() for m in np.packbits(asks[edge], axis=1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(rows.column(c).take(at).combine_chunks() for c in names), masks], names=[*names, "ask"])
         key, h, start = (np.concatenate(x) for x in zip(*out, strict=True))
         (key, h), run = _joined_runs([key, h], start, np.ones(len(start), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(run), pa.nulls(len(run), pa.binary())], names=["id", "h", "run", "string"])
+        none = pa.nulls(len(run), pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(h), pa.array(run), none], names=[*names, "ask"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the strings asked for, those whose bytes before the anchor stand before the same gram elsewhere, or may."""
+        first = next(batches, None)
+        if first is None:
+            return
+        rows = pa.Table.from_batches([first, *batches])
+        key, h, place = (rows.column(c).to_numpy() for c in names[2:])
+        (suffix, _), (ahead, room) = (_matrix(rows.column(c), w) for c, w in zip(names[:2], widths, strict=True))
+        asks = np.unpackbits(_matrix(rows.column("ask"), -(-(length - GRAM + 1) // 8))[0], axis=1).view(bool)
+        by_gram, common = _ordered(suffix[:, :GRAM].copy())
+        group = np.zeros(len(key), np.int64)
+        group[by_gram] = np.cumsum(common < GRAM)
+        order, common = _ordered(ahead, group)
+        both = np.maximum(common, np.append(common[1:], -1))
+        both[[0, -1]] = length  # of neighbours in other buckets nothing is known
+        most = np.zeros(len(key), np.int64)
+        most[order] = both
+        for o in range(asks.shape[1]):
+            ask = np.flatnonzero(asks[:, o] & (most >= o)) if o <= length - GRAM else []
+            for part in np.array_split(ask, -(-len(ask) // 8192)) if len(ask) else ():
+                strings = np.concatenate((ahead[part, :o][:, ::-1], suffix[part, : length - o]), axis=1)
+                offsets = pa.py_buffer(np.arange(0, (len(part) + 1) * length, length, dtype=np.int32))
+                binary = pa.Array.from_buffers(pa.binary(), len(part), [None, offsets, pa.py_buffer(np.ascontiguousarray(strings))])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(h[part]), pa.array(place[part] - o), binary], names=["id", "h", "run", "string"])
 
     rows = docs.join(runs.where(F.size("open") > 0).select("id", "h", "open"), ["id", "h"]).select("id", "h", "text", "open").mapInArrow(contexts, schema)
-    found = durable(rows.repartitionByRange(buckets, *names).mapInArrow(compare, "id long, h long, run long, string binary"))
+    found = durable(rows.repartitionByRange(buckets, *names).mapInArrow(compare, schema + ", ask binary"))
+    edges = found.where("ask IS NOT NULL").repartitionByRange(buckets, F.substring("suffix", 1, GRAM), "ahead", "id", "h", "place")
     first = Window.partitionBy("string").orderBy("id", "h", "run")
-    across = found.where("string IS NOT NULL").withColumn("k", F.row_number().over(first)).where("k > 1")
+    across = edges.mapInArrow(shared, "id long, h long, run long, string binary").withColumn("k", F.row_number().over(first)).where("k > 1")
     across = across.select("id", "h", (F.shiftleft("run", 31) + 1).alias("run"))
-    return found.where("string IS NULL").select("id", "h", "run").union(across).groupBy("id", "h").agg(F.collect_list("run").alias("single"))
+    return found.where("ask IS NULL").select("id", "h", F.col("place").alias("run")).union(across).groupBy("id", "h").agg(F.collect_list("run").alias("single"))
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
