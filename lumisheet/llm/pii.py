@@ -3,9 +3,9 @@
 Proposers (regexes, wide on purpose) name candidate spans. Seven labelers vote for, against or not at
 all on each: strict form, checksum, gazetteer, cue words to the left, cue words against, clean edges
 and placeholder shapes. Expectation-maximisation over the counts of vote patterns estimates, without
-labels, how often each labeler votes each way on personal data and on other text. The posteriors are
+labels, how often each labeler votes each way on personal data of a kind and on other text. The posteriors are
 the soft labels of the final classifier, a naive Bayes model over votes, neighbouring words, shape
-and length. Base spans (exact rules per kind) always stay; others need a probability over ``threshold``.
+and length of each kind. Base spans (exact rules per kind) always stay; others need a probability over ``threshold``.
 
 Scale: tasks emit counts of (kind, votes, feature), a table with a bound of its own (kinds x 3^7
 patterns x 256 feature buckets, in practice a few thousand rows), summed by Spark over all
@@ -13,7 +13,8 @@ documents. Only that table and the model, as small, pass through the driver. Doc
 twice and never shuffled.
 
 Defined results: a null or empty text has no span; repeated rows are judged alike; an empty table
-learns nothing and returns nothing; offsets count code points, end exclusive; other columns are kept.
+learns nothing and returns nothing; very long texts are read whole; offsets count code points, end exclusive;
+other columns are kept.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Proposers beyond the base: kind, a text without which it cannot match, pattern.
 _MORE = (
-    (EMAIL, "at", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]{1,63}+(?: ?[(\[ ]dot[)\] ] ?[A-Za-z0-9-]{2,63}+){1,4}")),
+    (EMAIL, "at", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++ ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]++(?: ?[(\[ ]dot[)\] ] ?[A-Za-z0-9-]{2,}+)+")),
     (IP, "::", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")),
     (IP, ":", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     (PHONE, "-", re.compile(r"(?<![\w+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])")),
@@ -192,7 +193,7 @@ def features(text: str, c: Candidate) -> tuple[int, ...]:
     """A bucket for each slot: left word, right word, shape, length."""
     left = text[max(0, c.start - 24) : c.start].lower().split()
     right = text[c.end : c.end + 24].lower().split()
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", text[c.start : min(c.end, c.start + 64)]))))
+    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", text[c.start : c.end]))))
     bucket = lambda s: crc32(s.encode("utf-8", "surrogatepass")) % BUCKETS
     return bucket(left[-1] if left else ""), bucket(right[0] if right else ""), bucket(shape), min(BUCKETS - 1, c.end - c.start)
 
@@ -218,49 +219,64 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 class Model(NamedTuple):
     prior: np.ndarray  # log odds by kind
-    vote: np.ndarray  # log ratios by labeler and vote (-1, 0, 1)
-    context: np.ndarray  # log ratios by slot and bucket
+    vote: np.ndarray  # log ratios by kind, labeler and vote (-1, 0, 1)
+    context: np.ndarray  # log ratios by kind, slot and bucket
     accuracy: np.ndarray  # how often each labeler's votes agree with the posterior
 
     def probability(self, kind: int, vote: tuple[int, ...], feats: tuple[int, ...]) -> float:
-        z = self.prior[kind] + sum(self.vote[j, v + 1] for j, v in enumerate(vote)) + sum(self.context[s, b] for s, b in enumerate(feats))
+        z = self.prior[kind] + sum(self.vote[kind, j, v + 1] for j, v in enumerate(vote)) + sum(self.context[kind, s, b] for s, b in enumerate(feats))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+#: What a labeler is believed to say of other text and of personal data (-1, 0, 1), as factors of how often it votes
+#: so within a kind, and the weight of that belief: a share of the candidates of the kind, and some.
+BELIEF = np.array([[0.35, 0.5, 0.15], [0.15, 0.5, 0.35]])
+BELIEF_SHARE, BELIEF_ROWS = 0.5, 5.0
+
+
 def fit(kind: np.ndarray, vote: np.ndarray, slot: np.ndarray, bucket: np.ndarray, n: np.ndarray, rounds: int = 100) -> Model | None:
-    """EM over vote patterns, then the classifier from the posteriors; None without candidates."""
+    """EM over vote patterns by kind, then the classifier from the posteriors; None without candidates.
+
+    Labelers vote differently on different kinds, so their tables are by kind; the belief that they mostly mean what they
+    say keeps the two classes from becoming any two clusters.
+    """
     if not len(n):
         return None
+    kinds_n = len(KINDS)
     first = slot == 0  # every candidate has each slot once
     patterns, of = np.unique(np.column_stack([kind, vote]), axis=0, return_inverse=True)
     of = of.ravel()
     count = np.bincount(of[first], n[first], len(patterns))
     kinds, v = patterns[:, 0], patterns[:, 1:] + 1
+    size = np.bincount(kinds, count, kinds_n)
+    by_kind = lambda j, w: np.bincount(kinds * 3 + v[:, j], w, 3 * kinds_n).reshape(kinds_n, 3)
+    belief = np.zeros((2, kinds_n, LABELERS, 3))
+    for j in range(LABELERS):
+        rate = (by_kind(j, count) + 1.0) * BELIEF[:, None]
+        belief[:, :, j] = rate / rate.sum(axis=2, keepdims=True) * (BELIEF_ROWS + BELIEF_SHARE * size)[:, None]
     p = 1 / (1 + np.exp(-(v - 1).sum(axis=1)))  # to begin with, the majority
-    table = np.zeros((2, LABELERS, 3))
-    prior = np.zeros(len(KINDS))
     for _ in range(rounds):
-        for y, w in ((0, count * (1 - p)), (1, count * p)):
-            for j in range(LABELERS):
-                got = np.bincount(v[:, j], w, 3) + 1.0
-                table[y, j] = got / got.sum()
-        yes, no = np.bincount(kinds, count * p, len(KINDS)) + 1.0, np.bincount(kinds, count * (1 - p), len(KINDS)) + 1.0
-        prior = np.log(yes / no)
-        z = prior[kinds] + sum(np.log(table[1, j, v[:, j]] / table[0, j, v[:, j]]) for j in range(LABELERS))
+        table = belief.copy()
+        for j in range(LABELERS):
+            table[0, :, j] += by_kind(j, count * (1 - p))
+            table[1, :, j] += by_kind(j, count * p)
+        ratio = np.log(table[1] / table[1].sum(axis=2, keepdims=True)) - np.log(table[0] / table[0].sum(axis=2, keepdims=True))
+        prior = np.log(np.bincount(kinds, count * p, kinds_n) + 1.0) - np.log(np.bincount(kinds, count * (1 - p), kinds_n) + 1.0)
+        z = prior[kinds] + sum(ratio[kinds, j, v[:, j]] for j in range(LABELERS))
         new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         done, p = np.abs(new - p).max() < 1e-6, new
         if done:
             break
-    context = np.zeros((SLOTS, BUCKETS))
+    context = np.zeros((kinds_n, SLOTS, BUCKETS))
     for s in range(SLOTS):
         own = slot == s
-        yes = np.bincount(bucket[own], n[own] * p[of[own]], BUCKETS) + 1.0
-        no = np.bincount(bucket[own], n[own] * (1 - p[of[own]]), BUCKETS) + 1.0
-        context[s] = np.log(yes / yes.sum()) - np.log(no / no.sum())
+        shape = (kinds_n, BUCKETS)
+        yes, no = (np.bincount(kind[own] * BUCKETS + bucket[own], n[own] * q[of[own]], kinds_n * BUCKETS).reshape(shape) + 1.0 for q in (p, 1 - p))
+        context[:, s] = np.log(yes / yes.sum(axis=1, keepdims=True)) - np.log(no / no.sum(axis=1, keepdims=True))
     said = (v != 1) * count[:, None]
     right = np.where(v == 2, p[:, None], 1 - p[:, None]) * said
     accuracy = right.sum(axis=0) / np.maximum(1, said.sum(axis=0))
-    return Model(prior, np.log(table[1] / table[0]), context, accuracy)
+    return Model(prior, ratio, context, accuracy)
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> Model | None:
