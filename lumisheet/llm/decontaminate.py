@@ -2,11 +2,12 @@
 
 The automaton of a block of items is built once on the driver and broadcast; tasks stream the
 words of their documents through it and track the longest match that ends at each word. A block
-holds at most ``max_block_words`` words, so what is broadcast has a fixed bound: a larger
-benchmark is dealt into more blocks, and the documents pass through one automaton after another.
-There is no shuffle of documents and no join.
+holds at most ``max_block_words`` words (a longer item is cut, with an overlap of a window), so what is
+broadcast has a fixed bound: the documents pass through a few automata at a time, and what those find is
+written before the next. There is no shuffle of documents and no join.
 
-Defined results: a null or empty text has no words and no hits; a null or empty item is ignored;
+Defined results: a null or empty text has no words and no hits; a null or empty item is ignored; an item without id
+is named by the empty string; very long texts are read whole;
 repeated documents are judged each on their own, repeated items count once by ``item_id``; an
 empty benchmark leaves all documents clean; other columns of either table are ignored.
 """
@@ -14,8 +15,8 @@ empty benchmark leaves all documents clean; other columns of either table are ig
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, unpacked
+from .common import durable, packed, unpacked
 
 #: A-Z to a-z; every ASCII character that is neither a letter nor a digit to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
@@ -162,14 +163,21 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Lists of (item, words), each of about ``max_block_words`` words at most (one item at least)."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(chars / (2 * max_block_words)))  # a word and its space take two characters at least
-    for k in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        yield [(r.item, words(r.text)) for r in block.toLocalIterator()]
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Lists of (item, words), of ``max_block_words`` and a window at most; longer items are cut so that no window is lost."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    block, size, none = [], 0, True
+    for r in items.toLocalIterator():
+        ws = words(r.text)
+        for a in range(0, max(1, len(ws) - window + 1), max_block_words):
+            part = ws[a : a + max_block_words + window - 1]
+            if block and size + len(part) > max_block_words:
+                yield block
+                block, size, none = [], 0, False
+            block.append((r.item, part))
+            size += len(part)
+    if block or none:
+        yield block
 
 
 def benchmark_hits(
@@ -181,32 +189,42 @@ def benchmark_hits(
     item_text_col: str = "text",
     window: int = WINDOW,
     max_block_words: int = 200_000,
+    blocks_at_once: int = 4,
 ) -> DataFrame:
-    """``docs`` with ``n_words``, ``hit_spans`` (word offsets, end exclusive, merged) and ``hit_items`` (sorted)."""
+    """``docs`` with ``n_words``, ``hit_spans`` (word offsets, end exclusive, merged) and ``hit_items`` (sorted).
+
+    A stage holds ``blocks_at_once`` automata; what it finds is written before the next one starts.
+    """
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     names = ["n_words", "hit_spans", "hit_items"]
     kept = [c for c in docs.columns if c not in names]
     out = docs.select(*kept)
     sc = docs.sparkSession.sparkContext
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, max_block_words)):
-        out = _scan(out, sc.broadcast(SuffixAutomaton(block, window)), text_col, span, first=k == 0)
+    blocks = _blocks(benchmark, item_col, item_text_col, window, max_block_words)
+    first = True
+    while held := [sc.broadcast(SuffixAutomaton(block, window)) for block in islice(blocks, blocks_at_once)]:
+        out = _scan(out if first else durable(out), held, text_col, span, first)
+        first = False
     return out
 
 
-def _scan(docs: DataFrame, automaton, text_col: str, span: T.ArrayType, first: bool) -> DataFrame:
+def _scan(docs: DataFrame, automata: list, text_col: str, span: T.ArrayType, first: bool) -> DataFrame:
     base = docs.schema if first else T.StructType(docs.schema.fields[:-3])
     schema = T.StructType([*base.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", span), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     at, width = base.fieldNames().index(text_col), len(base.fields)
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = automaton.value
+        sams = [a.value for a in automata]
         for batch in batches:
             n_words, spans, items = [], [], []
             before = zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True) if not first else None
             for text in batch.column(at).cast(pa.binary()):
                 ws = words(text.as_py())
-                own, found = sam.scan(ws)
+                own, found = sams[0].scan(ws)
+                for sam in sams[1:]:
+                    more, items_ = sam.scan(ws)
+                    own, found = _merged(own + more) if more else own, found | items_
                 if before is not None:
                     was, had = next(before)
                     own, found = _merged(own + [(x["start"], x["end"]) for x in was]), found | set(had)
@@ -274,7 +292,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 #: DuckDB: every window of 13 words by equality, short items by their own length.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item, w, least(13, len(w)) AS n, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),

@@ -52,6 +52,22 @@ def test_blocks_and_odd_rows(spark, odd_docs, max_block_words):
     assert clean.where("doc_id = 5").first().text == "Le chat est sur la  et les oiseaux."
 
 
+def test_long_items_and_hot_ids_are_cut_into_blocks(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    texts = [" ".join(word() for _ in range(n)) for n in (500, 300, 200, 30, 5)]
+    bench = spark.createDataFrame([(1, t) for t in texts] + [(1, texts[0])], "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 13, 100))
+    assert len(blocks) > 8 and all(sum(len(w) for _, w in b) <= 112 for b in blocks)
+    ws = texts[0].split()
+    docs = spark.createDataFrame([(0, " ".join(["x", *ws[93:120], "y"])), (1, texts[1]), (2, f"x {texts[4]} y"), (3, "x " * 50)], "doc_id long, text string")
+    for at_once in (1, 100):
+        got = {r.doc_id: r for r in decontaminate.contaminated(docs, bench, max_block_words=100, blocks_at_once=at_once).collect()}
+        for i, text in ((r.doc_id, r.text) for r in docs.collect()):
+            n, hit, found = brute(text, [("1", t) for t in texts])
+            assert (got[i].n_words, got[i].n_hit, set(got[i].hit_items)) == (n, hit, found)
+
+
 def rows_text(docs, key):
     return docs.where(f"doc_id = {key}").first().text
 
