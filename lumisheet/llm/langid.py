@@ -12,7 +12,8 @@ broadcast. Bundles are sums of integers: the result does not depend on the parti
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; ties go to the
 language that sorts first; null languages teach nothing; without any training row all documents
-get ``und``; repeated rows count as often as they occur; other columns are ignored.
+get ``und``; repeated rows count as often as they occur; very long texts are read whole, a slice of a million
+characters at a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,9 +110,32 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[own], of[own]
 
 
+def long_trigrams(text: str, chars: int = SLICE_CHARS) -> Iterator[np.ndarray]:
+    """The codes that ``trigrams`` gives for one text, a slice at a time."""
+    low = text.lower() + "\n"
+    last, kept = 0, np.zeros(1, np.int64)
+    for a in range(0, len(low), chars):
+        points = np.frombuffer(low[a : a + chars].encode("utf-32-le", "surrogatepass"), np.uint32)
+        classes = np.where(_alphabet()[points], points, 0).astype(np.int64)
+        keep = classes > 0
+        keep[1:] |= classes[:-1] > 0
+        keep[0] |= last > 0
+        last = int(classes[-1])
+        s = np.concatenate((kept, classes[keep]))
+        kept = s[-2:]
+        yield (s[:-2] << BITS | s[1:-1]) << BITS | s[2:]
+
+
 def _slices(values: list, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of values of about ``chars`` characters; one with more stands alone."""
     start = total = 0
     for i, v in enumerate(values):
+        if len(v or "") > chars:
+            if start < i:
+                yield start, i
+            yield i, i + 1
+            start, total = i + 1, 0
+            continue
         total += len(v or "")
         if total >= chars:
             yield start, i + 1
@@ -141,6 +165,15 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", dims
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _slices(texts):
+                if len(texts[a]) > SLICE_CHARS:
+                    held.setdefault(langs[a], [])
+                    sums.setdefault(langs[a], np.zeros(dims))
+                    for code in long_trigrams(texts[a]):
+                        own = held[langs[a]]
+                        own.append(np.unique(code, return_counts=True))
+                        if sum(len(c) for c, _ in own) > 2 * held_grams:
+                            settle(langs[a], held_grams)
+                    continue
                 code, of = trigrams(texts[a:b])
                 names = sorted(set(langs[a:b]))
                 lang_of = np.array([names.index(x) for x in langs[a:b]])[of]
@@ -190,7 +223,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
 
 def _bundles(texts: list[str], dims: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Index and vector of each text that has a letter."""
+    """Index and vector of each text that has a letter; a long text comes alone."""
+    if len(texts[0]) > SLICE_CHARS:
+        v, some = np.zeros(dims), False
+        for code in long_trigrams(texts[0]):
+            some |= len(code) > 0
+            v += _bundle(*np.unique(code, return_counts=True), dims, seed)
+        if some:
+            yield 0, v
+        return
     code, of = trigrams(texts)
     if not len(code):
         return

@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 
 from lumisheet.llm import langid
@@ -83,3 +84,27 @@ def test_large_alphabets_in_parts(spark, monkeypatch):
     got = langid.learn(docs.repartition(1), held_grams=100)
     assert got.keys() == expected.keys() and all(np.array_equal(got[k], expected[k]) for k in expected)
     assert all(np.array_equal(v, brute_vector(texts[i], 1024, 1)) for i, v in langid._bundles(texts, 1024, 1))
+
+
+@pytest.mark.parametrize("chars", [1, 2, 7, 1000])
+def test_long_texts_in_slices(chars):
+    for text in ("", "a", "  ab c,d  Éf? 日本 x1y", "word " * 50 + "ΑΣ ΣΑ", "12 34"):
+        whole, _ = langid.trigrams([text])
+        sliced = [c for part in langid.long_trigrams(text, chars) for c in part.tolist()]
+        assert sliced == whole.tolist()
+
+
+def test_long_texts_teach_and_are_judged_alike(spark, monkeypatch):
+    rows = [(1, "the cat sat on the mat and the dogs " * 30, "en"), (2, "le chat est sur la table avec les oiseaux " * 30, "fr"), (5, "the dogs and the cat", None), (7, "12 " * 900, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = langid.learn(docs)
+    plain = [tuple(r) for r in langid.predict(docs, model).orderBy("doc_id").collect()]
+    monkeypatch.setattr(langid, "SLICE_CHARS", 100)
+    batch = [t for _, t, _ in rows]
+    assert list(langid._slices(batch, 100)) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    for text in batch:
+        short, long_ = (dict(langid._bundles([text], 1024, 1)) for _ in range(2))
+        assert short.keys() == long_.keys() and len(plain) == 4
+    v = dict(langid._bundles([batch[0]], 1024, 1))[0]
+    monkeypatch.setattr(langid, "SLICE_CHARS", 1 << 20)
+    assert (v == dict(langid._bundles([batch[0]], 1024, 1))[0]).all()
