@@ -12,7 +12,7 @@ the vocabulary become the bytes of their UTF-8 form. Workers keep the tokens of
 ``cache`` entries.
 
 Scale: one pass, no shuffle; the vocabulary (32,000 pieces) is broadcast. Defined results: null and empty texts
-have no tokens; repeated rows are encoded alike; an empty table gives an empty result; other columns are kept.
+have no tokens; repeated rows are encoded alike; very long texts are read whole; an empty table gives an empty result; other columns are kept.
 Decoding gives the text back, but for U+2581, which the model itself equates with a space.
 """
 
@@ -207,10 +207,13 @@ class Vocabulary:
         symbols = self.symbol[points]
         sizes = np.array([len(c) for c in chunks])
         starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        offset = np.arange(len(points)) - np.repeat(starts, sizes + 1)
         inside = np.ones(len(points), bool)
         inside[starts + sizes] = False
         start, piece = self.edges(symbols)
+        # no merge runs over a place that no piece crosses, so what lies between such places is on its own
+        crossed = np.cumsum(np.bincount(start + 1, minlength=len(points) + 2) - np.bincount(start + self.size[piece], minlength=len(points) + 2))[: len(points)]
+        free = inside & (crossed == 0)
+        offset = np.arange(len(points)) - np.maximum.accumulate(np.where(free, np.arange(len(points)), 0))
         token, end = self.token[piece], start + self.size[piece]
         strange = np.flatnonzero(inside & (symbols == 0))
         start, token, end = np.concatenate((start, strange)), np.concatenate((token, np.full(len(strange), self.unknown, np.int32))), np.concatenate((end, strange + 1))
@@ -226,8 +229,8 @@ class Vocabulary:
                 ok[rest] = self.may_follow(last[s[rest]], t[rest])
             last[e[ok]] = t[ok]
         ends = np.zeros(len(points) + 1, bool)
-        at = starts + sizes
-        at = at[sizes > 0]
+        free[starts] = False
+        at = np.concatenate(((starts + sizes)[sizes > 0], np.flatnonzero(free)))
         while len(at):
             ends[at] = True
             at = at - self.length[last[at]]

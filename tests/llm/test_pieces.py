@@ -57,3 +57,15 @@ def test_odd_rows(odd_docs, empty_docs):
     by = {r.doc_id: r for r in rows}
     assert len(rows) == odd_docs.count() and all(r.exact for r in rows) and by[1].ids == by[2].ids == [] and by[7].n_tokens > 10_000
     assert pieces.digest(empty_docs).count() == 0 and pieces.encoded(odd_docs).count() == odd_docs.count()
+
+
+def test_text_without_spaces_is_cut_where_no_piece_crosses():
+    import time
+
+    text = "".join(chr(0x4E00 + k * 7 % 2000) for k in range(60_000)) + "日本語のテキスト" * 2000
+    vocabulary = pieces._vocabulary(tuple(pieces.load()))
+    vocabulary.clear()
+    began = time.perf_counter()
+    tokens, n = vocabulary.encode([text], 10)
+    assert time.perf_counter() - began < 4
+    assert tokens.tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text) and n.tolist() == [len(tokens)]
