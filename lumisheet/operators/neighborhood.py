@@ -1,19 +1,29 @@
 """Box windows, the guided filter, and local contrast.
 
-Three physical forms of the same result (windows are cut at the image border; means use the true area):
+One rule for all forms: a window is cut at the image border and sums its present pixels; means divide by their
+number. A NULL pixel is not present, and has no result of its own. A NaN, or infinities of both signs, make the sums of
+the windows that hold them NaN, an infinity makes them infinite, and no other window is touched.
+
+Three physical forms of the same result:
 
-* ``sliding``: framed sums along x, then along y. Partitions are single rows and columns, so one huge image
-  spreads over the cluster; the work of a pixel grows with the radius.
-* ``running``: running sums and their differences, for large radii. Needs dense grids; a NaN or an infinity
-  spoils the rest of its line.
 * ``tiles``: pixels go to square tiles with a margin of two radii, and NumPy filters each tile. One shuffle,
-  memory by tile whatever the image size; the fastest form, and the default of the pipeline.
+  memory by tile whatever the image size, work independent of the radius; the default of local contrast. Absent
+  rows are pixels that are not present.
+* ``sliding``: framed sums along x, then along y, in the JVM. Partitions are single rows and columns, so one huge image
+  spreads over the cluster; the work of a pixel grows with the radius. The default of box sums of small radius.
+* ``running``: differences of running sums, for large radii.
+
+``sliding`` and ``running`` sum over rows first, so each line of the image must have a row for each column: give
+sparse images to ``completed`` before, which adds the absent pixels as NULL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,30 +64,40 @@ def _sliding(df: DataFrame, values: dict[str, str], radius: int, line: str, alon
     return df.withColumns({out: F.sum(F.col(c).cast("double")).over(frame) for c, out in values.items()})
 
 
-def _running(df: DataFrame, values: dict[str, str], radius: int, line: str, along: str) -> DataFrame:
-    """On a dense line the running sum ``radius`` ahead (or the last) less the one before the window (or none)."""
-    order = Window.partitionBy("image_id", line).orderBy(along)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.withColumns({f"_s_{out}": F.sum(F.col(c).cast("double")).over(upto) for c, out in values.items()})
-    out_columns = {}
-    for out in values.values():
-        s = f"_s_{out}"
-        end = F.coalesce(F.lead(s, radius).over(order), F.last(s).over(whole))
-        out_columns[out] = end - F.coalesce(F.lag(s, radius + 1).over(order), F.lit(0.0))
-    return sums.withColumns(out_columns).drop(*[f"_s_{out}" for out in values.values()])
+#: Fields of a number that counts NaN, infinities and negative infinities of a window.
+_NAN, _PLUS, _MINUS = 1, 1 << 21, 1 << 42
 
 
-def _boxed(df: DataFrame, values: dict[str, str], radius: int, method: str | None, rows_first: bool = True) -> DataFrame:
-    """``box_sum`` with the count of the window's cells as ``_n``."""
-    return box_sum(df.withColumn("_one", lit32(1.0)), values | {"_one": "_n"}, radius, method, rows_first).drop("_one")
+def _running(df: DataFrame, values: dict[str, str], radius: int, line: str, along: str) -> DataFrame:
+    """The running sum up to the end of a window less that before it, of finite values; the others are counted beside."""
+    order = Window.partitionBy("image_id", line).orderBy(along)
+    upto, before = (order.rangeBetween(Window.unboundedPreceding, at) for at in (radius, -radius - 1))
+    inf = float("inf")
+    split, out = {}, {}
+    for c, name in values.items():
+        x = F.col(c).cast("double")
+        split[f"_s_{name}"] = F.when(F.isnan(x), _NAN).when(x == inf, _PLUS).when(x == -inf, _MINUS).otherwise(0).cast("long")
+        split[f"_f_{name}"] = F.when(F.isnan(x) | (F.abs(x) == inf), 0.0).otherwise(x)
+        split[f"_p_{name}"] = x.isNotNull().cast("long")
+        window = lambda part: F.sum(part).over(upto) - F.coalesce(F.sum(part).over(before), F.lit(0))
+        strange = window(f"_s_{name}")
+        plus, minus = F.shiftright(strange, 21).bitwiseAND(F.lit(_PLUS - 1)) > 0, F.shiftright(strange, 42) > 0
+        total = F.when(strange == 0, window(f"_f_{name}")).when((strange.bitwiseAND(F.lit(_PLUS - 1)) > 0) | (plus & minus), float("nan")).when(plus, inf).otherwise(-inf)
+        out[name] = F.when(window(f"_p_{name}") > 0, total)
+    return df.withColumns(split).withColumns(out).drop(*split)
+
+
+def _boxed(df: DataFrame, values: dict[str, str], radius: int, method: str | None, present: str, rows_first: bool = True) -> DataFrame:
+    """``box_sum`` with the count of the window's present pixels as ``_n``."""
+    one = F.when(F.col(present).isNotNull(), lit32(1.0))
+    return box_sum(df.withColumn("_one", one), values | {"_one": "_n"}, radius, method, rows_first).drop("_one")
 
 
 def box_mean_var(df: DataFrame, radius: int, l: str = "l", method: str | None = None) -> DataFrame:
     """``mean`` and ``variance`` of the window, the latter as mean of squares less squared mean (squares in FLOAT)."""
     require_channels(df, l)
     squared = df.withColumn("_square", F.col(l) * F.col(l))
-    sums = _boxed(squared, {l: "_sum", "_square": "_sum2"}, radius, method)
+    sums = _boxed(squared, {l: "_sum", "_square": "_sum2"}, radius, method, l)
     mean = F.col("_sum") / F.col("_n")
     return sums.withColumn("mean", mean).withColumn("variance", F.col("_sum2") / F.col("_n") - F.col("mean") * F.col("mean")).drop("_square", "_sum", "_sum2", "_n")
 
@@ -87,18 +107,19 @@ def guided_coefficients(df: DataFrame, params: GuidedFilterParams, l: str = "l",
     eps = F.lit(float(np.float32(params.eps)))
     v = F.col("variance")
     model = box_mean_var(df, params.radius, l, method).withColumn("_a", F.when(v + eps > 0, v / (v + eps)).otherwise(F.lit(0.0)))
-    return model.withColumn("b", (F.col("mean") * (1.0 - F.col("_a"))).cast("float")).withColumn("a", F.col("_a").cast("float")).drop("_a", "mean", "variance")
+    own = lambda c: F.when(F.col(l).isNotNull(), c.cast("float"))
+    return model.withColumn("b", own(F.col("mean") * (1.0 - F.col("_a")))).withColumn("a", own(F.col("_a"))).drop("_a", "mean", "variance")
 
 
 def guided_filter(df: DataFrame, params: GuidedFilterParams, l: str = "l", out: str = "q", method: str | None = None) -> DataFrame:
     """Edge-preserving smoothing of the luminance by itself."""
-    sums = _boxed(guided_coefficients(df, params, l, method), {"a": "_a", "b": "_b"}, params.radius, method, rows_first=False)
+    sums = _boxed(guided_coefficients(df, params, l, method), {"a": "_a", "b": "_b"}, params.radius, method, l, rows_first=False)
     q = F.col("_a") / F.col("_n") * F.col(l).cast("double") + F.col("_b") / F.col("_n")
     return sums.withColumn(out, q.cast("float")).drop("a", "b", "_a", "_b", "_n")
 
 
-def local_contrast(df: DataFrame, params: GuidedFilterParams, strength: float, l: str = "l", method: str | None = None, tile: int = 256) -> DataFrame:
-    """Luminance plus ``strength`` times what the guided filter takes away. ``method`` is sliding, running or tiles."""
+def local_contrast(df: DataFrame, params: GuidedFilterParams, strength: float, l: str = "l", method: str = "tiles", tile: int = 256) -> DataFrame:
+    """Luminance plus ``strength`` times what the guided filter takes away. ``method`` is tiles, sliding or running."""
     require_channels(df, l)
     if method == "tiles":
         return _tiled(df, params, strength, l, tile)
@@ -106,35 +127,61 @@ def local_contrast(df: DataFrame, params: GuidedFilterParams, strength: float, l
 
 
 def _tiled(df: DataFrame, params: GuidedFilterParams, strength: float, l: str, tile: int) -> DataFrame:
-    """Tiles with a margin of two radii: the filter averages coefficients that themselves come from windows."""
+    """Tiles with a margin of two radii: the filter averages coefficients that themselves come from windows.
+
+    The pixels of a batch that go to one tile are one row of lists, so the shuffle has few and compact rows.
+    """
     margin = 2 * params.radius
     tile = max(tile, margin, 1)
-
-    def touched(at: str) -> Column:
-        return F.sequence(F.floor((F.greatest(F.col(at) - margin, F.lit(0))) / tile).cast("int"), F.floor((F.col(at) + margin) / tile).cast("int"))
-
-    spread = df.withColumn("_ty", F.explode(touched("y"))).withColumn("_tx", F.explode(touched("x")))
-    schema = T.StructType(df.schema.fields)
     radius, eps, k = params.radius, float(np.float32(params.eps)), np.float32(strength)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(pdf["_ty"].iat[0]), int(pdf["_tx"].iat[0])
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        own = (y // tile == ty) & (x // tile == tx)
-        out = pdf.loc[own, schema.fieldNames()]
-        if not own.any():  # a margin beyond the image
-            return out
-        y0, x0 = y.min(), x.min()
-        plane = np.full((y.max() - y0 + 1, x.max() - x0 + 1), np.nan, np.float32)
-        plane[y - y0, x - x0] = pdf[l].to_numpy(np.float32)
-        q = _guided(plane, radius, eps)[y[own] - y0, x[own] - x0]
-        lum = plane[y[own] - y0, x[own] - x0]
-        return out.assign(**{l: lum + k * (lum - q)})
-
-    return spread.groupBy("image_id", "_ty", "_tx").applyInPandas(run, schema)
-
-
-def _box(plane: np.ndarray, radius: int) -> np.ndarray:
+    rest = [f for f in df.schema.fields if f.name != "image_id"]
+    keys = [df.schema["image_id"], T.StructField("_ty", T.IntegerType()), T.StructField("_tx", T.IntegerType())]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            image, y, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("image_id", "y", "x"))
+            (y0, y1), (x0, x1) = ((np.maximum(at - margin, 0) // tile, (at + margin) // tile) for at in (y, x))
+            parts = []
+            for a in range(int((y1 - y0).max(initial=-1)) + 1):
+                for b in range(int((x1 - x0).max(initial=-1)) + 1):
+                    own = np.flatnonzero((y0 + a <= y1) & (x0 + b <= x1))
+                    parts.append((own, y0[own] + a, x0[own] + b))
+            if not parts:
+                continue
+            row, ty, tx = (np.concatenate(p) for p in zip(*parts, strict=True))
+            order = np.lexsort((tx, ty, image[row]))
+            row, ty, tx = row[order], ty[order], tx[order]
+            key = image[row]
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1]))))
+            offsets, at = pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(row)
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(f.name).take(at)) for f in rest]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(row[first])), pa.array(ty[first].astype(np.int32)), pa.array(tx[first].astype(np.int32)), *lists], names=[f.name for f in (*keys, *rest)])
+
+    def run(rows: pa.Table) -> pa.Table:
+        ty, tx, image = (rows.column(c)[0].as_py() for c in ("_ty", "_tx", "image_id"))
+        flat = {f.name: pc.list_flatten(rows.column(f.name)) for f in rest}
+        y, x = flat["y"].to_numpy(), flat["x"].to_numpy()
+        own = np.flatnonzero((y // tile == ty) & (x // tile == tx))
+        out = {c: v.take(pa.array(own)) for c, v in flat.items()} | {"image_id": pa.array([image] * len(own), rows.column("image_id").type)}
+        if len(own):  # else a margin beyond the image
+            has = flat[l].is_valid().to_numpy()
+            y, x, shape = y - y.min(), x - x.min(), (int(np.ptp(y)) + 1, int(np.ptp(x)) + 1)
+            plane, present = np.zeros(shape, np.float32), np.zeros(shape, bool)
+            present[y, x] = has
+            plane[y, x] = np.where(has, flat[l].fill_null(0).to_numpy(), 0)
+            y, x = y[own], x[own]
+            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+                lum = plane[y, x]
+                new = lum + k * (lum - _guided(plane, present, radius, eps)[y, x])
+            out[l] = pa.array(new.astype(np.float32), mask=~has[own])
+        return pa.table([out[c] for c in df_names], names=df_names)
+
+    df_names = df.columns
+    packed = T.StructType([*keys, *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in rest]])
+    return df.mapInArrow(pack, packed).groupBy("image_id", "_ty", "_tx").applyInArrow(run, T.StructType(df.schema.fields))
+
+
+def _sums(plane: np.ndarray, radius: int) -> np.ndarray:
     """Window sums cut at the border, in double."""
     out = plane.astype(np.float64)
     for axis in (1, 0):
@@ -144,11 +191,24 @@ def _box(plane: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def _guided(plane: np.ndarray, radius: int, eps: float) -> np.ndarray:
-    n = _box(np.ones_like(plane), radius)
+def _box(plane: np.ndarray, radius: int) -> np.ndarray:
+    """``_sums`` of finite values; the others are counted beside, so that they stay within the windows that hold them."""
+    strange = ~np.isfinite(plane)
+    if not strange.any():
+        return _sums(plane, radius)
+    out = _sums(np.where(strange, 0, plane), radius)
+    nan, plus, minus = (_sums(x, radius) > 0.5 for x in (np.isnan(plane), plane == np.inf, plane == -np.inf))
+    out[plus], out[minus] = np.inf, -np.inf
+    out[nan | (plus & minus)] = np.nan
+    return out
+
+
+def _guided(plane: np.ndarray, present: np.ndarray, radius: int, eps: float) -> np.ndarray:
+    n = _sums(present, radius)
     mean = _box(plane, radius) / n
     variance = _box(plane * plane, radius) / n - mean * mean
     room = variance + eps
     a = np.divide(variance, room, out=np.zeros_like(room), where=~(room <= 0))
     b = mean * (1.0 - a)
-    return (_box(a.astype(np.float32), radius) / n * plane.astype(np.float64) + _box(b.astype(np.float32), radius) / n).astype(np.float32)
+    a, b = (np.where(present, x, 0).astype(np.float32) for x in (a, b))
+    return (_box(a, radius) / n * plane.astype(np.float64) + _box(b, radius) / n).astype(np.float32)

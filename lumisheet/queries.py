@@ -16,7 +16,7 @@ from .operators import (
 from .plans import Development
 from .presets import ColorFilter, GuidedFilterParams, LuminanceStandard, ZoneParams
 from .schema import grid_faults
-from .sources import color_chart, embeddings_images, events_image, orders_image, pixels_of, scanlines_of
+from .sources import color_chart, constant_image, embeddings_images, events_image, orders_image, pixels_of, ppm_bytes, ramp_image, scanlines_of
 from .sources.synthetic import CHART
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,10 +77,12 @@ _add(
 
 def filter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All filters under all standards, from one scan of the image."""
-    cells = [F.struct(F.lit(f.name).alias("filter"), F.lit(s.name).alias("standard"), *[lit32(v).alias(c) for v, c in zip(products(f.transmission(), s.weights()), ("wr", "wg", "wb"), strict=True)]) for f in ColorFilter for s in LuminanceStandard]
-    mixed = orders_image(spark, sf_dir).withColumn("w", F.explode(F.array(*cells)))
-    l = F.col("w.wr") * F.col("r") + F.col("w.wg") * F.col("g") + F.col("w.wb") * F.col("b")
-    return mixed.select("image_id", "y", "x", "w.filter", "w.standard", (F.round(l.cast("double"), 5) + 0.0).alias("l"))
+    dot = lambda w: lit32(w[0]) * F.col("r") + lit32(w[1]) * F.col("g") + lit32(w[2]) * F.col("b")
+    pairs = [(f, s) for f in ColorFilter for s in LuminanceStandard]
+    mixed = orders_image(spark, sf_dir).select("image_id", "y", "x", F.array(*[dot(products(f.transmission(), s.weights())) for f, s in pairs]).alias("all"))
+    names = F.array(*[F.struct(F.lit(f.name).alias("filter"), F.lit(s.name).alias("standard")) for f, s in pairs])
+    cells = mixed.select("image_id", "y", "x", F.posexplode("all").alias("k", "l")).withColumn("name", F.get(names, "k"))
+    return cells.select("image_id", "y", "x", "name.filter", "name.standard", (F.round(F.col("l").cast("double"), 5) + 0.0).alias("l"))
 
 
 _add(
@@ -201,7 +203,7 @@ _add("guided_coefficients", lambda spark, d: _out(guided_coefficients(events_ima
 _add("guided_filter", lambda spark, d: _out(guided_filter(events_image(spark, d), _P8), "q"), _with(*_guided("f2", 8, 0.01)) + _select("g_f2", q="q"))
 _add("guided_radius0", lambda spark, d: _out(guided_filter(events_image(spark, d), GuidedFilterParams(0, 0.0)), "q"), _with(*_guided("f2", 0, 0.0)) + _select("g_f2", q="q"))
 _CONTRAST = "l + 0.5::FLOAT * (l - q)"
-for _name, _method in (("local_contrast", None), ("local_contrast_running", "running"), ("local_contrast_tiles", "tiles")):
+for _name, _method in (("local_contrast", "sliding"), ("local_contrast_running", "running"), ("local_contrast_tiles", "tiles")):
     _add(_name, lambda spark, d, m=_method: _out(local_contrast(events_image(spark, d), _P8, 0.5, method=m), "l"), _with(*_guided("f2", 8, 0.01)) + _select("g_f2", l=_CONTRAST))
 _add("local_contrast_strength0", lambda spark, d: _out(local_contrast(events_image(spark, d), _P4, 0.0), "l"), _with() + _select("f2", l="l"))
 _add("local_contrast_multi_image", lambda spark, d: _out(local_contrast(embeddings_images(spark, d), _P2, 1.0), "l"), _with(*_guided("f3", 2, 0.001)) + _select("g_f3", l="l + 1.0::FLOAT * (l - q)"))
@@ -209,6 +211,28 @@ _add("local_contrast_multi_image", lambda spark, d: _out(local_contrast(embeddin
 # sources and layouts
 _CHART = "chart AS (SELECT 0::BIGINT AS image_id, CAST(i // 384 AS INT) AS y, CAST(i % 384 AS INT) AS x, r, g, b FROM (SELECT range AS i FROM range(98304)), (VALUES " + ", ".join(f"({i}, {r!r}::FLOAT, {g!r}::FLOAT, {b!r}::FLOAT)" for i, (r, g, b) in enumerate(CHART)) + ") p(patch, r, g, b) WHERE patch = (i // 384 // 64) * 6 + (i % 384) // 64)"
 _add("color_chart_luminance", lambda spark, d: _out(luminance_bw(color_chart(spark)), "l"), _with(_CHART) + _select("chart", l=_dot(LuminanceStandard.Bt709.weights())))
+_CHART_LUMA = "lu AS (SELECT image_id, y, x, " + _dot(LuminanceStandard.Bt709.weights()) + " AS l FROM chart)"
+for _r in (8, 16):
+    _add(f"color_chart_contrast{_r}", lambda spark, d, r=_r: _out(local_contrast(luminance_bw(color_chart(spark)), GuidedFilterParams(r, 0.01), 0.5), "l"), _with(_CHART, _CHART_LUMA, *_guided("lu", _r, 0.01)) + _select("g_lu", l=_CONTRAST))
+for _n, _map in (("lift", {5: 0.5}), ("darken", {5: -1.0}), ("split", {7: 1.0, 3: -0.5})):
+    _add(f"color_chart_zones_{_n}", lambda spark, d, m=_map: _out(zone_system(luminance_bw(color_chart(spark)), ZoneParams(m)), "l"), _with(_CHART, _CHART_LUMA) + _select("lu", l=_zoned("l", _map)))
+_GRID = "SELECT 0::BIGINT AS image_id, CAST(range // {w} AS INT) AS y, CAST(range % {w} AS INT) AS x, {v} AS l FROM range({n})"
+_add("constant_image", lambda spark, d: _out(constant_image(spark, 48, 64, l=0.18), "l"), _with("c AS (" + _GRID.format(w=64, n=48 * 64, v="0.18::FLOAT") + ")") + _select("c", l="l"))
+_add("ramp_image", lambda spark, d: _out(encode_srgb(ramp_image(spark, 1, 10001, 10000), "l"), "l"), _with("c AS (" + _GRID.format(w=10001, n=10001, v="CAST(CAST(range AS DOUBLE) / 10000.0::DOUBLE AS FLOAT)") + ")") + _select("c", l=_srgb("l")))
+
+
+def ppm_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and checksum of the chart as a PPM file."""
+    raw = spark.createDataFrame([(ppm_bytes(encode_srgb(color_chart(spark), "r", "g", "b")),)], "file binary")
+    return raw.select(F.octet_length("file").cast("long").alias("n_bytes"), F.sha2("file", 256).alias("sha256"))
+
+
+_add(
+    "ppm_file",
+    ppm_file,
+    _with(_CHART, "e AS (SELECT y, x, " + ", ".join(f"{_srgb(c)} AS {c}" for c in "rgb") + " FROM chart)", "q AS (SELECT y, x, " + ", ".join(_U8.format(c) for c in "rgb") + " FROM e)")
+    + "SELECT CAST(15 + 3 * count(*) AS BIGINT) AS n_bytes, sha256(unhex(hex(encode('P6' || chr(10) || '384 256' || chr(10) || '255' || chr(10))) || string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x))) AS sha256 FROM q",
+)
 _add("scanlines", lambda spark, d: _out(pixels_of(scanlines_of(orders_image(spark, d), "r", "g", "b"), "r", "g", "b"), "r", "g", "b"), _with() + _select("f1", r="r", g="g", b="b"))
 _add(
     "grid_faults",

@@ -38,3 +38,11 @@ def grid_faults(df: DataFrame) -> DataFrame:
     )
     area = (F.col("y1").cast("long") + 1) * (F.col("x1").cast("long") + 1)
     return per.where((F.col("pixels") != area) | (F.col("cells") != area) | (F.col("y0") != 0) | (F.col("x0") != 0))
+
+
+def completed(df: DataFrame) -> DataFrame:
+    """Sparse images with a row for each cell from 0, 0 to the last row and column that hold a pixel; new ones are NULL in all but the keys."""
+    size = df.groupBy("image_id").agg(F.max("y").alias("_y"), F.max("x").alias("_x"))
+    lines = size.select("image_id", F.explode(F.sequence(F.lit(0), "_y")).alias("y"), "_x")
+    cells = lines.select("image_id", "y", F.explode(F.sequence(F.lit(0), "_x")).alias("x"))
+    return cells.join(df, list(KEYS), "left").select(*df.columns)

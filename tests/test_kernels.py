@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumisheet.errors import ShapeError
-from lumisheet.operators import channel_mixer_bw, color_filter_bw, encode_srgb, exposure, guided_filter, local_contrast, luminance_bw, quantize_u8, zone_system
+from lumisheet.operators import box_sum, channel_mixer_bw, color_filter_bw, encode_srgb, exposure, guided_filter, local_contrast, luminance_bw, quantize_u8, zone_system
 from lumisheet.presets import ColorFilter, GuidedFilterParams, LuminanceStandard, ZoneParams, filters, standards
-from lumisheet.schema import as_linear_f32, grid_faults
+from lumisheet.schema import as_linear_f32, completed, grid_faults
 from lumisheet.sources import constant_image, from_numpy, ramp_image, to_numpy
 
 
@@ -150,6 +150,62 @@ def test_images_do_not_meet(spark, method):
         assert to_numpy(out.where(F.col("image_id") == k), "l")[:, :, 0] == pytest.approx(brute_contrast(planes[k], 2, 0.01, 1.0), abs=2e-5)
 
 
+STRANGE = {(3, 4): "nan", (10, 2): "inf", (11, 15): "-inf", (11, 17): "inf", (5, 18): None, (6, 18): None}
+
+
+def contrast_with_holes(plane, present, r, eps, strength):
+    """Means over the present pixels of each window, with the rules of IEEE."""
+    h, w = plane.shape
+
+    def box(p):
+        out = np.full(p.shape, np.nan)
+        for y in range(h):
+            for x in range(w):
+                near = np.s_[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1]
+                own = p[near][present[near]].astype(float)
+                out[y, x] = own.sum() / len(own) if len(own) else np.nan
+        return out
+
+    with np.errstate(invalid="ignore"):
+        mean = box(plane)
+        var = box(plane * plane) - mean**2
+        a = np.where(var + eps <= 0, 0, var / (var + eps))
+        q = box(a.astype(np.float32)) * plane + box((mean * (1 - a)).astype(np.float32))
+        return plane + strength * (plane - q)
+
+
+@pytest.mark.parametrize("method", ["sliding", "running", "tiles"])
+@pytest.mark.parametrize("sparse", [False, True])
+def test_strange_and_missing_pixels(spark, method, sparse):
+    plane = np.random.default_rng(1).random((16, 20), np.float32)
+    image = from_numpy(spark, plane[:, :, None])
+    present = np.ones(plane.shape, bool)
+    for (y, x), v in STRANGE.items():
+        image = image.withColumn("l", F.when((F.col("y") == y) & (F.col("x") == x), F.lit(v).cast("float")).otherwise(F.col("l")))
+        plane[y, x] = np.nan if v is None else float(v)
+        present[y, x] = v is not None
+    if sparse:
+        image = image.where("l IS NOT NULL")
+        image = image if method == "tiles" else completed(image)
+    got = local_contrast(image, GuidedFilterParams(2, 0.01), 0.7, method=method, tile=6)
+    found = {(r.y, r.x): r.l for r in got.collect() if r.l is not None}
+    expected = contrast_with_holes(plane, present, 2, 0.01, 0.7)
+    assert found.keys() == {(y, x) for y, x in np.ndindex(plane.shape) if present[y, x]}
+    for at, v in found.items():
+        assert v == pytest.approx(expected[at], abs=2e-5, nan_ok=True), at
+    far = [v for (y, x), v in found.items() if y > 8 and 7 < x < 11]
+    assert far and all(map(math.isfinite, far))
+
+
+def test_window_sums_keep_infinities_apart(spark):
+    row = [1.0, 2.0, math.inf, 4.0, 5.0, 6.0, -math.inf, 8.0, math.nan, 10.0, 11.0, 12.0]
+    image = spark.createDataFrame([(0, 0, x, v) for x, v in enumerate(row)], "image_id long, y int, x int, l float")
+    expected = [sum(row[max(0, x - 1) : x + 2]) for x in range(len(row))]
+    for method in ("sliding", "running"):
+        got = [r.s for r in box_sum(image, {"l": "s"}, 1, method).orderBy("x").collect()]
+        assert got == pytest.approx(expected, nan_ok=True)
+
+
 def test_shape_errors(spark):
     with pytest.raises(ShapeError, match="shape error"):
         luminance_bw(grey(spark, 1.0))
