@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
 return the columns of ``documents``.
+
+Defined results: null and empty texts, and those without a letter, go in the first stage; of repeated rows (equal id
+and text) one stays; unlike texts under one id are judged each on its own; rows without id pass the second stage as
+they are; very long texts are read whole; extra columns come along, whatever their names, but for ``n_chars``, ``ids``
+and ``exact``, which the last stage drops or sets; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id stays."""
+    """Of each component of near copies the document with the least id stays, told by its id and text."""
     return simhash.keep_first(docs)
 
 
