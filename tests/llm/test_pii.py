@@ -134,3 +134,23 @@ def test_weak_supervision_beats_the_majority_vote(spark):
         f1[name] = 2 * hit / (said + true)
     print(f1)
     assert f1["model"] > f1["majority"] + 0.01 and f1["model"] > 0.9
+
+
+def test_base_counts_in_sql(spark, sf_dir):
+    """The counts of the base rules, told by DuckDB's own expressions."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = {kind: f"regexp_extract_all(coalesce(text, ''), '{rule}')" for kind, rule in RULES.items()}
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({digits}[-i] AS INT) ELSE CAST({digits}[-i] AS INT) * 2 // 10 + CAST({digits}[-i] AS INT) * 2 % 10 END)) % 10 = 0"
+    kept = {
+        "email": "true",
+        "ip": "list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255",
+        "card": f"CASE WHEN len({digits}) BETWEEN 12 AND 19 THEN {luhn} ELSE false END",
+        "phone": f"len({digits}) BETWEEN 9 AND 15",
+    }
+    columns = ", ".join(f"(SELECT count(*) FROM (SELECT unnest({found[k]}) AS m) WHERE {kept[k]}) AS n_{k}" for k in RULES)
+    expected = con.execute(f"SELECT doc_id, {columns} FROM documents ORDER BY doc_id").fetchall()
+    got = pii.digest(table(spark, sf_dir, "documents")).select("doc_id", *[f"n_{k}" for k in RULES]).orderBy("doc_id").collect()
+    assert list(map(tuple, got)) == expected and sum(sum(r[1:]) for r in expected) > 0
