@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, licences, metric_join, pieces, pii, repeats, sharding, simhash
+from . import decontaminate, html_text, langid, licences, metric_join, pieces, pii, repeats, sharding, simhash, whitening
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op5_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str) -> DataFram
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan, op7_html_tag_paths, op4_metric_join, op8_suffix_array, op5_sentencepiece_suffix_array)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan, op7_html_tag_paths, op4_metric_join, op8_suffix_array, op5_sentencepiece_suffix_array, op13_whitening)}
 
 ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE, "op4_metric_join": metric_join.ORACLE, "op9_licence_scan": licences.oracle(), "op8_suffix_array": repeats.ORACLE}
