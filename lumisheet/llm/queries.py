@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, licences, metric_join, pieces, pii, repeats, sharding, simhash, spelling, whitening
+from . import decontaminate, html_text, langid, licences, metric_join, pieces, pii, quality, repeats, sharding, simhash, spelling, whitening
 from .common import table
 
 
@@ -54,10 +54,14 @@ def op11_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan, op7_html_tag_paths, op4_metric_join, op8_suffix_array, op5_sentencepiece_suffix_array, op11_spelling_trie, op13_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_decontaminate, op3_language_id, op2_simhash_vptree, op6_label_sharding, op1_pii_weak_supervision, op9_licence_scan, op7_html_tag_paths, op4_metric_join, op8_suffix_array, op5_sentencepiece_suffix_array, op11_spelling_trie, op12_byte_cnn_quality, op13_whitening)}
 
 ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE, "op4_metric_join": metric_join.ORACLE, "op9_licence_scan": licences.oracle(), "op8_suffix_array": repeats.ORACLE, "op11_spelling_trie": spelling.ORACLE}
