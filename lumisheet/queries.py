@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import box_area
 from .functions import filtered_weights as products
 from .functions import lit32
 from .operators import (
-    box_mean_var, box_sum, channel_mixer_bw, color_filter_bw, encode_srgb, exposure, grey_to_rgb, guided_coefficients, guided_filter, local_contrast, luminance_bw, quantize_u8, sat, zone_system,
+    ToneCurve, asof_join, box_mean_var, box_sum, channel_mixer_bw, color_filter_bw, encode_srgb, equalize, exposure, film_grain, grey_to_rgb, guided_coefficients, guided_filter, hsl_bw,
+    local_contrast, luminance_bw, percent_ranks, quantize_u8, range_join, sat, tile_pyramid, tone_curve, zone_system,
 )
+from .operators import grain
 from .plans import Development
 from .presets import ColorFilter, GuidedFilterParams, LuminanceStandard, ZoneParams
 from .schema import grid_faults
@@ -260,3 +263,135 @@ _add(
     )
     + _select("lc", l=_srgb("l")),
 )
+
+
+# extensions: grain
+def _mixed(h: str) -> str:
+    a = f"xor({h}, ({h}) >> 16)"
+    b = f"(({a} * {grain.MIX[0]}) & {grain.MASK})"
+    c = f"xor({b}, {b} >> 15)"
+    d = f"(({c} * {grain.MIX[1]}) & {grain.MASK})"
+    return f"xor({d}, {d} >> 16)"
+
+
+def _grained(source: str, strength: float, seed: int, size: int) -> list[str]:
+    corners = range(2 if size > 1 else 1)
+    times = lambda v, k: f"((CAST({v} AS BIGINT) & {grain.MASK}) * {grain.SPREAD[k]}) & {grain.MASK}"
+    base = (seed & grain.MASK) * grain.SPREAD[0] + (seed >> 32 & grain.MASK) * grain.SPREAD[4] & grain.MASK
+    line = lambda i: f"(({base} + ({times('image_id', 1)}) + ({times('image_id >> 32', 2)}) + ({times(f'(y // {size} + {i})', 3)})) & {grain.MASK})"
+    gauss = lambda i, j: f"sqrt(-2.0::DOUBLE * ln((h{i}{j} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos(CAST(k{i}{j} AS DOUBLE) * (2 * pi() / 4294967296.0::DOUBLE))"
+    wy, wx = ([f"(1.0::DOUBLE - CAST({c} % {size} AS DOUBLE) / {size}.0::DOUBLE)", f"(CAST({c} % {size} AS DOUBLE) / {size}.0::DOUBLE)"] for c in "yx")
+    both = " + ".join(f"{wy[i]} * {wx[j]} * {gauss(i, j)}" for i in corners for j in corners)
+    norm = " * ".join(f"({w[0]} * {w[0]} + {w[1]} * {w[1]})" for w in (wy, wx))
+    t = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(l AS DOUBLE)))"
+    pairs = [(i, j) for i in corners for j in corners]
+    return [
+        f"gl AS (SELECT *, {', '.join(f'{line(i)} AS b{i}' for i in corners)} FROM {source})",
+        f"gm AS (SELECT *, {', '.join(f'{_mixed(f"b{i}")} AS n{i}' for i in corners)} FROM gl)",
+        f"gc AS (SELECT *, {', '.join(f'((n{i} + ({times(f"(x // {size} + {j})", 4)})) & {grain.MASK}) AS c{i}{j}' for i, j in pairs)} FROM gm)",
+        f"gh AS (SELECT *, {', '.join(f'{_mixed(f"c{i}{j}")} AS h{i}{j}' for i, j in pairs)} FROM gc)",
+        f"gk AS (SELECT *, {', '.join(f'{_mixed(f"xor(h{i}{j}, {grain.SECOND})")} AS k{i}{j}' for i, j in pairs)} FROM gh)",
+        f"gr AS (SELECT image_id, y, x, CAST(CAST(l AS DOUBLE) + {strength!r}::DOUBLE * sqrt(4.0::DOUBLE * {t} * (1.0::DOUBLE - {t})) * ({both if size == 1 else f'({both}) / sqrt({norm})'}) AS FLOAT) AS l FROM gk)",
+    ]
+
+
+_SEED = 2**40 + 20240117
+_add("film_grain", lambda spark, d: _out(film_grain(events_image(spark, d), 0.1, _SEED, 3), "l"), _with(*_grained("f2", 0.1, _SEED, 3)) + _select("gr", l="l"))
+_add("film_grain_fine", lambda spark, d: _out(film_grain(embeddings_images(spark, d), 0.2, -5), "l"), _with(*_grained("f3", 0.2, -5, 1)) + _select("gr", l="l"))
+
+# extensions: ranks
+_RANKED = "pr AS (SELECT *, percent_rank() OVER (PARTITION BY image_id ORDER BY l) AS rank FROM {0})"
+_add("percent_ranks", lambda spark, d: _out(percent_ranks(events_image(spark, d)), "l", "rank"), _with(_RANKED.format("f2")) + _select("pr", l="l", rank="rank"))
+_add(
+    "equalize_images",
+    lambda spark, d: _out(equalize(embeddings_images(spark, d), 0.75, 0.9), "l"),
+    _with(_RANKED.format("f3")) + _select("pr", l="CAST(CAST(l AS DOUBLE) + 0.75::DOUBLE * (0.9::DOUBLE * rank - CAST(l AS DOUBLE)) AS FLOAT)"),
+)
+
+
+# extensions: a tone curve from a table
+def curve_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knots are the years of orders and the squared share of orders up to each; the curve develops the events image."""
+    years = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    share = F.sum("n").over(Window.orderBy("year")) / F.sum("n").over(Window.partitionBy())  # a row for each year
+    knots = years.select(((F.col("year") - 1994) / F.lit(7.0)).alias("x"), F.pow(share, F.lit(2.0)).alias("y"))
+    curve = ToneCurve(((0.0, 0.0), *ToneCurve.from_table(knots).knots))
+    return _out(tone_curve(events_image(spark, sf_dir), curve), "l")
+
+
+_add(
+    "tone_curve",
+    curve_from_orders,
+    _with(
+        "yr AS (SELECT year(o_orderdate) AS yr, CAST(count(*) AS DOUBLE) AS c FROM orders GROUP BY 1)",
+        "kn AS (SELECT CAST(yr - 1994 AS DOUBLE) / 7.0::DOUBLE AS x, pow(sum(c) OVER (ORDER BY yr) / sum(c) OVER (), 2.0::DOUBLE) AS y FROM yr UNION ALL SELECT 0.0::DOUBLE, 0.0::DOUBLE)",
+        "ch AS (SELECT x, y, x - lag(x) OVER w AS h0, lead(x) OVER w - x AS h1, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS d0, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS d1 FROM kn WINDOW w AS (ORDER BY x))",
+        "sl AS (SELECT x, y, h1, d1, CASE WHEN d0 IS NULL THEN d1 WHEN d1 IS NULL THEN d0 WHEN d0 * d1 <= 0 THEN 0 ELSE (3 * h0 + 3 * h1) / ((h0 + 2 * h1) / d0 + (2 * h0 + h1) / d1) END AS m FROM ch)",
+        "pc AS (SELECT *, lead(x) OVER (ORDER BY x) AS x1, lead(m) OVER (ORDER BY x) AS m1, max(x) OVER () AS x9, min(x) OVER () AS x0 FROM sl)",
+        "cv AS (SELECT image_id, f2.y, f2.x, greatest(x0, least(x9, CAST(l AS DOUBLE))) - pc.x AS u, pc.y AS c0, m AS c1, (3 * d1 - 2 * m - m1) / h1 AS c2, (m + m1 - 2 * d1) / (h1 * h1) AS c3 FROM f2 JOIN pc ON greatest(x0, least(x9, CAST(l AS DOUBLE))) >= pc.x AND (greatest(x0, least(x9, CAST(l AS DOUBLE))) < x1 OR x1 = x9) WHERE h1 IS NOT NULL)",
+    )
+    + _select("cv", l="CAST(((c3 * u + c2) * u + c1) * u + c0 AS FLOAT)"),
+)
+
+
+# extensions: joins
+def exposure_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the exposure that the last purchase of its user has set, applied to its value."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    settings = events.where("event_type = 'purchase'").select("user_id", "ts", (F.col("value") / 10.0).alias("stops"))
+    found = asof_join(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts", "value"), settings, "user_id", "ts", "stops")
+    gap = F.timestamp_diff("MICROSECOND", F.col("stops_ts"), F.col("ts"))
+    return found.select("event_id", "user_id", gap.alias("age"), F.round(F.col("stops"), 5).alias("stops"), F.round(F.col("value") * F.pow(F.lit(2.0), F.coalesce("stops", F.lit(0.0)) / 10.0), 4).alias("exposed"))
+
+
+_add(
+    "asof_exposure",
+    exposure_asof,
+    """WITH st AS (SELECT user_id, ts, max(value / 10.0::DOUBLE) AS stops FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), ev AS (SELECT * FROM events WHERE event_type <> 'purchase')
+SELECT event_id, ev.user_id, epoch_us(ev.ts) - epoch_us(st.ts) AS age, round(stops, 5) AS stops, round(value * pow(2.0::DOUBLE, coalesce(stops, 0.0::DOUBLE) / 10.0::DOUBLE), 4) AS exposed FROM ev ASOF LEFT JOIN st ON ev.user_id = st.user_id AND ev.ts >= st.ts""",
+)
+
+
+def luminance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the events image in the luminance band of each supplier; bands overlap, and one in seven is empty."""
+    low, width = F.col("s_acctbal") / 10000.0, (F.col("s_suppkey") % 7) * F.lit(0.01)
+    bands = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", low.alias("low"), (low + width).alias("high"))
+    held = range_join(events_image(spark, sf_dir), "l", bands, "low", "high", 0.01).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.avg(F.col("l").cast("double")).alias("mean"))
+    return bands.select("s_suppkey").join(held, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0).cast("long")).alias("n"), (F.round("mean", 5) + 0.0).alias("mean"))
+
+
+_add(
+    "luminance_bands",
+    luminance_bands,
+    _with("bd AS (SELECT s_suppkey, s_acctbal / 10000.0::DOUBLE AS low, s_acctbal / 10000.0::DOUBLE + CAST(s_suppkey % 7 AS DOUBLE) * 0.01::DOUBLE AS high FROM supplier)")
+    + "SELECT s_suppkey, count(l) AS n, round(avg(CAST(l AS DOUBLE)), 5) + 0.0 AS mean FROM bd LEFT JOIN f2 ON CAST(l AS DOUBLE) >= low AND CAST(l AS DOUBLE) < high GROUP BY s_suppkey",
+)
+
+# extensions: a pyramid of tiles
+_add(
+    "tile_pyramid",
+    lambda spark, d: tile_pyramid(events_image(spark, d), 8, 4).select("image_id", "level", "ty", "tx", "n", *[(F.round(F.col(c).cast("double"), 5) + 0.0).alias(c) for c in ("mean", "variance", "low", "high")]),
+    _with(
+        "lv AS (SELECT image_id, CAST(level AS INT) AS level, CAST(y // (8 << level) AS INT) AS ty, CAST(x // (8 << level) AS INT) AS tx, CAST(l AS DOUBLE) AS v FROM f2, range(4) r(level))",
+        "ag AS (SELECT image_id, level, ty, tx, count(*) AS n, avg(v) AS mean, var_pop(v) AS variance, min(v) AS low, max(v) AS high FROM lv GROUP BY ALL)",
+    )
+    + "SELECT image_id, level, ty, tx, n, "
+    + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("mean", "variance", "low", "high"))
+    + " FROM ag",
+)
+
+# extensions: hue bands
+_HUES = (0.5, -0.25, 1.0, 0.0, -1.0, 0.75, 0.2, -0.6)
+_HELD = {c: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST({c} AS DOUBLE)))" for c in "rgb"}
+_add(
+    "hsl_bw",
+    lambda spark, d: _out(hsl_bw(orders_image(spark, d), _HUES), "l"),
+    _with(
+        "hs AS (SELECT image_id, y, x, " + _dot(LuminanceStandard.Bt709.weights()) + " AS l, " + ", ".join(f"{v} AS {c}" for c, v in _HELD.items()) + " FROM f1)",
+        "he AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM hs)",
+        "hw AS (SELECT *, CASE WHEN top = low THEN NULL WHEN top = r THEN (g - b) / (top - low) WHEN top = g THEN (b - r) / (top - low) + 2 ELSE (r - g) / (top - low) + 4 END AS side, (top - low) / nullif(1 - abs(top + low - 1), 0) AS s FROM he)",
+        "hp AS (SELECT *, (CASE WHEN side < 0 THEN side + 6 ELSE side END) * (8.0::DOUBLE / 6.0::DOUBLE) AS hue FROM hw)",
+        f"hg AS (SELECT *, [{', '.join(f'{v!r}::DOUBLE' for v in _HUES)}] AS t, hue - floor(hue) AS f, CAST(floor(hue) AS INT) AS i FROM hp)",
+    )
+    + _select("hg", l="CASE WHEN side IS NULL THEN l ELSE CAST(CAST(l AS DOUBLE) * pow(2.0::DOUBLE, s * (t[i % 8 + 1] * (1 - f) + t[(i + 1) % 8 + 1] * f)) AS FLOAT) END"),
+)
