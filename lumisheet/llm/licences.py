@@ -19,6 +19,8 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,8 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words by which a key phrase may miss the aligned place.
 NEAR = 40
+#: Words of a stretch in which alignments meet key phrases.
+SPAN = 256
 
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -106,11 +110,11 @@ def _anchor(phrase: str) -> tuple[str, int]:
 def _starts(phrase: str) -> Column:
     """Positions at which a phrase stands, from the columns ``hits`` and ``words``."""
     word, at = _anchor(phrase)
-    size = len(phrase.split())
 
     def stands(hit: Column) -> Column:
-        own = F.slice("words", F.greatest(hit["pos"] - at + 1, F.lit(1)), F.lit(size))
-        return (hit["word"] == word) & (hit["pos"] >= at) & (F.translate(F.array_join(own, " "), _UPPER, _LOWER) == phrase)
+        # word by word: each look-up takes one step, however long the text is
+        rest = [F.translate(F.get("words", hit["pos"] - at + k), _UPPER, _LOWER) == w for k, w in enumerate(phrase.split()) if k != at]
+        return reduce(Column.__and__, [hit["word"] == word, *[F.coalesce(r, F.lit(False)) for r in rest]])
 
     return F.transform(F.filter("hits", stands), lambda hit: hit["pos"] - at)
 
@@ -158,10 +162,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rar
     even = F.lit(1.0) / F.count("*").over(own)  # where all documents hold all indexed words, none is rarer
     index = index.withColumn("weight", F.coalesce(F.try_divide("idf", F.sum("idf").over(own)), even)).select("template", "label", "key", "size", "tpos", "word", "weight")
 
-    hits = report.where(F.size("keys") > 0).select("row", "keys", F.explode("hits").alias("hit")).select("row", "keys", "hit.pos", "hit.word")
-    aligned = hits.join(F.broadcast(index), "word").groupBy("row", "template", "label", "key", "size", (F.col("pos") - F.col("tpos")).alias("offset")).agg(F.sum("weight").alias("share"), F.first("keys").alias("keys"))
-    near = F.exists("keys", lambda x: (x["key"] == F.col("key")) & x["start"].between(F.col("offset") - NEAR, F.col("offset") + F.col("size") + NEAR))
-    found = aligned.where((F.col("share") >= coverage) & near).groupBy("row").agg(F.max("share").alias("share"), F.collect_set("label").alias("own"))
+    keyed = report.where(F.size("keys") > 0)
+    hits = keyed.select("row", F.explode("hits").alias("hit")).select("row", "hit.pos", "hit.word")
+    aligned = hits.join(F.broadcast(index), "word").groupBy("row", "template", "label", "key", "size", (F.col("pos") - F.col("tpos")).alias("offset")).agg(F.sum("weight").alias("share")).where(F.col("share") >= coverage)
+    # key phrases near an alignment: an interval join by stretches of SPAN words, so that a text of many licences takes steps in proportion
+    low, high = F.col("offset") - NEAR, F.col("offset") + F.col("size") + NEAR
+    spans = aligned.select("*", F.explode(F.sequence(F.floor(low / SPAN), F.floor(high / SPAN))).alias("span"))
+    starts = keyed.select("row", F.explode("keys").alias("at")).select("row", "at.key", F.floor(F.col("at.start") / SPAN).alias("span"), "at.start")
+    near = (spans["row"] == starts["row"]) & (spans["key"] == starts["key"]) & (spans["span"] == starts["span"]) & starts["start"].between(low, high)
+    found = spans.join(starts, near, "left_semi").groupBy("row").agg(F.max("share").alias("share"), F.collect_set("label").alias("own"))
 
     both = report.join(found, "row", "left")
     every = F.flatten(F.array(*[F.coalesce(f"base{k}", F.array().cast("array<int>")) for k in range(len(BASE))]))

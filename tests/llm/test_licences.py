@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -103,3 +104,13 @@ def test_odd_rows(odd_docs, empty_docs):
 def test_all_documents_carry_the_notice(spark):
     docs = spark.createDataFrame([(i, "Released under the MIT License.") for i in range(3)], "doc_id long, text string")
     assert [(r.labels, r.score) for r in licences.digest(docs).collect()] == [("mit", 1.0)] * 3
+
+
+def test_a_text_of_very_many_licences(spark):
+    clauses = [t for _, t, _ in licences.TEMPLATES]
+    docs = spark.createDataFrame([(0, " ".join(clauses[i % len(clauses)] for i in range(800))), (1, " ".join(clauses * 200)), (2, "mit license")], "doc_id long, text string")
+    licences.digest(docs.where("doc_id = 2")).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in licences.digest(docs).collect()}
+    assert time.perf_counter() - began < 30
+    assert got[0].labels == got[1].labels and set(got[0].labels.split(",")) >= {label for label, _, key in licences.TEMPLATES if key != "apache"}
