@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -286,6 +287,19 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model | None:
     return fit(t.kind.to_numpy(np.int64), vote, t.slot.to_numpy(np.int64), t.bucket.to_numpy(np.int64), t.n.to_numpy(float))
 
 
+def _runs(found: list[Candidate]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of text that candidates cover, in order and apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for c in sorted(found, key=lambda c: c.start):
+        if ends and c.start < ends[-1]:
+            ends[-1] = max(ends[-1], c.end)
+        else:
+            starts.append(c.start)
+            ends.append(c.end)
+    return starts, ends
+
+
 def spans(text: str | None, model: Model | None, threshold: float = 0.5) -> list[Candidate]:
     """All spans by start, then kind: base ones, and those that the classifier takes and that touch no other."""
     if not text:
@@ -295,9 +309,13 @@ def spans(text: str | None, model: Model | None, threshold: float = 0.5) -> list
     rest = [c for c in found if not c.base]
     if model and rest:
         scored = [(model.probability(c.kind, votes(text, c), features(text, c)), c) for c in rest]
+        starts, ends = _runs(out)
         for _, c in sorted(((p, c) for p, c in scored if p > threshold), key=lambda x: (-x[0], x[1].start, x[1].kind)):
-            if all(c.end <= o.start or c.start >= o.end for o in out):
+            k = bisect_left(starts, c.end)  # runs before k start before the candidate ends
+            if k == 0 or ends[k - 1] <= c.start:
                 out.append(c)
+                starts.insert(k, c.start)
+                ends.insert(k, c.end)
     return sorted(out, key=lambda c: (c.start, c.kind, c.end))
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -154,3 +156,35 @@ def test_base_counts_in_sql(spark, sf_dir):
     expected = con.execute(f"SELECT doc_id, {columns} FROM documents ORDER BY doc_id").fetchall()
     got = pii.digest(table(spark, sf_dir, "documents")).select("doc_id", *[f"n_{k}" for k in RULES]).orderBy("doc_id").collect()
     assert list(map(tuple, got)) == expected and sum(sum(r[1:]) for r in expected) > 0
+
+
+def test_many_spans_in_one_text(monkeypatch):
+    class Fair:
+        def probability(self, kind, votes, features):
+            return 0.9
+
+    monkeypatch.setattr(pii, "votes", lambda text, c: None)
+    monkeypatch.setattr(pii, "features", lambda text, c: None)
+    text = " ".join(f"ssn {i % 899 + 100:03d}-{i % 89 + 10}-{i % 8999 + 1000}" for i in range(100_000))
+    began = time.perf_counter()
+    found = pii.spans(text, Fair())
+    assert time.perf_counter() - began < 10 and len(found) > 90_000
+
+
+def test_taken_spans_touch_no_other(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(pii, "votes", lambda text, c: None)
+    monkeypatch.setattr(pii, "features", lambda text, c: (c.start * 31 + c.end * 17) % 13)
+
+    class Odd:
+        def probability(self, kind, votes, features):
+            return features / 13
+
+    for _ in range(60):
+        found = [pii.Candidate(rng.randint(0, 5), a, a + rng.randint(1, 12), rng.random() < 0.2) for a in (rng.randint(0, 120) for _ in range(40))]
+        monkeypatch.setattr(pii, "candidates", lambda text, found=found: found)
+        want = [c for c in found if c.base]
+        for c in sorted((c for c in found if not c.base and ((c.start * 31 + c.end * 17) % 13) / 13 > 0.5), key=lambda c: (-((c.start * 31 + c.end * 17) % 13), c.start, c.kind)):
+            if all(c.end <= o.start or c.start >= o.end for o in want):
+                want.append(c)
+        assert pii.spans("x", Odd()) == sorted(want, key=lambda c: (c.start, c.kind, c.end))
