@@ -8,8 +8,8 @@ taken (two pieces may follow each other if no merge across their border comes be
 them), so the result is that of the merges themselves, without running them.
 
 Pieces hold no space mark after another character, so chunks are independent. Characters outside
-the vocabulary become the bytes of their UTF-8 form. Workers keep the tokens of chunks they have seen, up to
-``cache`` entries.
+the vocabulary become the bytes of their UTF-8 form. Workers keep the tokens of short chunks they have seen, up to ``cache``
+tokens; longer chunks are encoded anew, so memory does not grow with texts that have no spaces.
 
 Scale: one pass, no shuffle; the vocabulary (32,000 pieces) is broadcast. Defined results: null and empty texts
 have no tokens; repeated rows are encoded alike; very long texts are read whole; an empty table gives an empty result; other columns are kept.
@@ -34,6 +34,7 @@ from .repeats import multikey_order
 #: The model of the public tokenizers; any BPE model with byte fallback, identity normalisation and a dummy prefix will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+KEPT_CHARS = 64  # of a chunk whose tokens a worker keeps
 SLICE_CHARS = 1 << 20  # of text that a worker holds as chunks at once
 INDEX_CHARS = 1 << 18  # of new chunks under one suffix array
 _NONE = np.iinfo(np.int64).max
@@ -252,27 +253,34 @@ class Vocabulary:
         self.store, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str], cache: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts, end to end, and the number of each."""
+        """Tokens of all texts, end to end, and the number of each. Chunks of up to ``KEPT_CHARS`` stay known until there are ``cache`` tokens of them."""
         parts = [self.chunks.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh = list(dict.fromkeys(c for p in parts for c in p if c not in self.cache))
+        first, count, store, known = self.first, self.count, self.store, self.cache
         if fresh:
+            fresh.sort(key=lambda c: len(c) > KEPT_CHARS)  # those to keep come first
+            kept = sum(len(c) <= KEPT_CHARS for c in fresh)
             plain = [c for c in fresh if c[:2] != SPACE * 2]
             done = [self.encode_chunks(p) for p in _grouped(plain, INDEX_CHARS)] or [(self.store[:0], self.count[:0])]
             tokens, n = (np.concatenate(x) for x in zip(*done, strict=True))
-            spaced = [self._spaced(c) for c in fresh if c[:2] == SPACE * 2]
-            names = plain + [c for c in fresh if c[:2] == SPACE * 2]
-            n = np.concatenate((n, np.array([len(s) for s in spaced], np.int64)))
-            tokens = np.concatenate([tokens, *spaced]).astype(np.int32)
-            self.first = np.concatenate((self.first, len(self.store) + np.cumsum(n) - n))
-            self.count, self.store = np.concatenate((self.count, n)), np.concatenate((self.store, tokens))
-            for c in names:
-                self.cache[c] = len(self.cache)
-        get = self.cache.__getitem__
+            own = iter(np.split(tokens, np.cumsum(n)[:-1]) if len(n) else ())
+            coded = [self._spaced(c) if c[:2] == SPACE * 2 else next(own) for c in fresh]
+            n = np.array([len(x) for x in coded], np.int64)
+            ends = len(store) + np.cumsum(n)
+            first, count, store = np.concatenate((first, ends - n)), np.concatenate((count, n)), np.concatenate([store, *coded]).astype(np.int32)
+            old = len(self.cache)
+            self.cache.update((c, old + k) for k, c in enumerate(fresh[:kept]))
+            known = self.cache
+            if kept < len(fresh):
+                known = known | {c: old + kept + k for k, c in enumerate(fresh[kept:])}
+            self.first, self.count = first[: old + kept].copy(), count[: old + kept].copy()
+            self.store = store[: int(ends[kept - 1]) if kept else len(self.store)].copy()
+        get = known.__getitem__
         of = np.fromiter((get(c) for p in parts for c in p), np.int64)
-        n = self.count[of]
-        tokens = self.store[np.repeat(self.first[of] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        n = count[of]
+        tokens = store[np.repeat(first[of] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         bounds = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, parts)])]
-        if len(self.cache) > cache:
+        if len(self.store) > cache:
             self.clear()
         return tokens, np.diff(bounds)
 
@@ -328,7 +336,7 @@ def _vocabulary(pieces: tuple[tuple[str, float, bool], ...]) -> Vocabulary:
     return Vocabulary(list(pieces))
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, cache: int = 200_000, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, cache: int = 1 << 19, check: bool = False) -> DataFrame:
     """``docs`` with ``ids`` instead of the text; ``check`` adds ``exact``, whether decoding gives the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(load(model)))
     rest = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "exact")]

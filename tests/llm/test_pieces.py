@@ -69,3 +69,13 @@ def test_text_without_spaces_is_cut_where_no_piece_crosses():
     tokens, n = vocabulary.encode([text], 10)
     assert time.perf_counter() - began < 4
     assert tokens.tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text) and n.tolist() == [len(tokens)]
+
+
+def test_memory_stays_flat_over_long_chunks(model):
+    vocabulary, rng = pieces.Vocabulary(pieces.load()), random.Random(3)
+    fresh = lambda: ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2000)) for _ in range(10)]
+    for _ in range(30):
+        texts = [*fresh(), "a few plain words"]
+        assert encode(vocabulary, texts, 1000)[-1] == model.encode(texts[-1])
+        assert len(vocabulary.store) < 1100 and len(vocabulary.cache) < 1100 and len(vocabulary.first) == len(vocabulary.count) == len(vocabulary.cache)
+    assert encode(vocabulary, fresh() + ["word " * 30] + [" " * 80 + "x"]) and sum(map(len, vocabulary.cache)) < 1000
