@@ -43,17 +43,21 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose whole content is no text of the page.
 _RAW = frozenset("script style title textarea noscript template svg iframe math object video audio canvas xmp noembed noframes".split())
-_DROP = frozenset("nav footer aside head menu dialog select button".split())
+_DROP = frozenset("nav footer aside head menu dialog".split())
+#: Controls of forms; what stands up to their own end tag is no text of the page.
+_CONTROLS = frozenset("button datalist label meter output progress select".split())
 #: Elements that count as marked.
 _DOUBT = frozenset(("form", "fieldset"))
 #: Start tags that end an open element of these names, up to the nearest of the limits.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id or role that mark what is no article.
 _AWAY = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pagination paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer discussion disqus feedback footer form login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pagination paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
 #: Words that may stand beside those in a name without changing what it names.
 _PLAIN = frozenset("area bar block bottom box button buttons container group holder inner item items left link links list main module outer page panel post right row section site slot top wrap wrapper".split())
+#: Those of them that name no wrapper of an article: such an element is no content wherever anything else is.
+_NEVER = frozenset("breadcrumb breadcrumbs cookie cookies consent copyright disqus footer login masthead nav navbar navigation signup sidebar".split())
 _HEADS = frozenset(("header", "hgroup"))
 _ROOTS = frozenset(("article", "main"))
 #: Elements that are part of a text; the root is what holds them.
@@ -63,6 +67,8 @@ _PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd ul ol dl blockquote pre caption
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Factors of a path score: for each marked element on the path, and for an article or main.
 MARKED, ROOTED = 0.1, 2.0
+#: Characters beside its headings (those in links count five times) up to which an element with an h1 is a headline as a whole.
+TITLE_CHARS = 200
 _KERNEL = (4.0, 2.0, 1.0)  # weight by distance in page order
 _NEAR = 8  # steps up the tree after which two blocks are strangers
 
@@ -88,14 +94,18 @@ class Page(NamedTuple):
     priors: list[float]  # by path
 
 
-def read(page: str) -> Page:
-    """Elements and blocks of text of the page in order, white space folded, character references decoded."""
+def read(page: str, hard: bool = True) -> Page:
+    """Elements and blocks of text of the page in order, white space folded, character references decoded.
+
+    ``hard``: whether names of footers, sidebars and the like count as such elements do.
+    """
     out: list[Block] = []
     elements: list[Element] = [Element(-1, "", 0, False, False, False)]  # the page itself
     paths: dict[tuple[int, str, bool, bool], int] = {}
     priors = [1.0]
     stack = [0]
-    open_: dict[str, int] = {}
+    open_: dict[str, list[int]] = {}  # depths at which elements of a tag are open
+    unended: set[str] = set()  # tags of controls without an end tag further on
     parts: list[str] = []
     links = anchors = 0
 
@@ -109,20 +119,23 @@ def read(page: str) -> Page:
 
     def close(depth: int) -> None:
         for e in stack[depth:]:
-            open_[elements[e].tag] -= 1
+            open_[elements[e].tag].pop()
         del stack[depth:]
 
-    def push(tag: str, marked: bool) -> None:
+    def deepest(tags: set[str]) -> int:
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=0)
+
+    def push(tag: str, marked: bool, never: bool) -> None:
         above = elements[stack[-1]]
         rooted = above.rooted or tag in _ROOTS
-        away = above.away or tag in _DROP or (tag in _HEADS and not rooted)
+        away = above.away or tag in _DROP or never or (tag in _HEADS and not rooted)
         key = (above.path, tag, marked, away)
         if key not in paths:
             paths[key] = len(priors)
             priors.append(priors[above.path] * (MARKED if marked else 1.0) * (ROOTED if rooted and not above.rooted else 1.0))
         elements.append(Element(stack[-1], tag, paths[key], away, marked, rooted))
+        open_.setdefault(tag, []).append(len(stack))
         stack.append(len(elements) - 1)
-        open_[tag] = open_.get(tag, 0) + 1
 
     at = 0
     while at < len(page):
@@ -144,22 +157,26 @@ def read(page: str) -> Page:
                 end = re.compile(rf"(?i)</{tag}[^>]*>?").search(page, at)
                 at = end.end() if end else len(page)
                 parts.append(" ")
+            elif tag in _CONTROLS:
+                end = None if tag in unended else re.compile(rf"(?i)</{tag}[^>]*>?").search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    unended.add(tag)
+                parts.append(" ")
             elif tag == "br" or tag in _VOID and tag != "hr":
                 parts.append(" ")
             elif tag in _BLOCK:
                 flush()
-                if tag in _CLOSES and any(open_.get(t) for t in _CLOSES[tag][0]):
+                if tag in _CLOSES:
                     own, limits = _CLOSES[tag]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if elements[stack[k]].tag in limits:
-                            break
-                        if elements[stack[k]].tag in own:
-                            close(k)
-                            break
+                    if (depth := deepest(own)) > deepest(limits):
+                        close(depth)
                 if elements[stack[-1]].tag == "p":
                     close(len(stack) - 1)
                 if tag != "hr":
-                    push(tag, tag in _DOUBT or (tag not in ("html", "body") and _marked(m[3])))
+                    names = () if tag in ("html", "body") else _marks(m[3])
+                    push(tag, tag in _DOUBT or bool(names), hard and any(w in _NEVER for w in names))
             elif tag == "a":
                 anchors = 1
         elif tag == "a":
@@ -167,19 +184,20 @@ def read(page: str) -> Page:
         elif tag in _BLOCK:
             flush()
             if open_.get(tag):
-                close(max(k for k in range(len(stack)) if elements[stack[k]].tag == tag) if elements[stack[-1]].tag != tag else len(stack) - 1)
+                close(open_[tag][-1])
     flush()
     return Page(elements, out, priors)
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role hold a whole name for what is no article."""
+def _marks(attributes: str) -> list[str]:
+    """The words of class, id or role by which a whole name says that this is no article."""
+    out: list[str] = []
     for m in _NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             words = [w for w in _WORD.findall(name) if len(w) > 1]
             if any(w in _AWAY for w in words) and all(w in _AWAY or w in _PLAIN for w in words):
-                return True
-    return False
+                out += words
+    return out
 
 
 def _steps(elements: list[Element], a: int, b: int) -> int:
@@ -234,8 +252,11 @@ def path_scores(page: Page) -> dict[int, float]:
 def main_text(source: str | None, strength: float = 0.5, share: float = 0.75) -> str:
     """The article of a page: its blocks, joined by an empty line."""
     page = read(source or "")
+    kept = [b for b in page.blocks if not page.elements[b.element].away]
+    if not kept and page.blocks:  # all of it lies in something named like a footer
+        page = read(source or "", False)
+        kept = [b for b in page.blocks if not page.elements[b.element].away]
     elements = page.elements
-    kept = [b for b in page.blocks if not elements[b.element].away]
     if not kept:
         return ""
     scores = path_scores(page)
@@ -262,7 +283,8 @@ def main_text(source: str | None, strength: float = 0.5, share: float = 0.75) ->
         branch[e] = e if up == root else branch[up]
     own = [b for b in kept if under[b.element]]
     if not elements[root].rooted:
-        prose = {branch[b.element] for b in own if len(b.text) > b.links or id(b) in content}
+        # a list or box of links is a menu; a paragraph or a heading that is one is part of the text
+        prose = {branch[b.element] for b in own if len(b.text) > b.links or id(b) in content or elements[b.element].tag == "p" or elements[b.element].tag in _HEADINGS}
         own = [b for b in own if branch[b.element] in prose]
     return "\n\n".join(b.text for b in own)
 
@@ -288,15 +310,28 @@ def _root(page: Page, kept: list[Block], mass: list[float], direct: list[float],
         root = elements[root].parent
     if elements[root].rooted:
         return [e for e in _above(elements, root) if elements[e].rooted][-1]
-    # blocks and headings below each element that no marked one below it holds
-    count, headings = [0] * len(elements), [0] * len(elements)
-    for b in kept:
-        count[b.element] += 1
-        headings[b.element] += elements[b.element].tag in _HEADINGS
+    # blocks below each element that no marked one below it holds, and those of them that belong to headings
+    count, headings, first = [0] * len(elements), [0] * len(elements), [len(kept)] * len(elements)
+    chars, title = [0] * len(elements), [False] * len(elements)
+    for i, b in enumerate(kept):
+        e = b.element
+        count[e] += 1
+        headings[e] += elements[e].tag in _HEADINGS
+        title[e] |= elements[e].tag == "h1"
+        chars[e] += 0 if elements[e].tag in _HEADINGS else len(b.text) + 4 * b.links
+        first[e] = min(first[e], i)
+    titled = [False] * len(elements)
     for e in range(len(elements) - 1, 0, -1):
-        if not elements[e].marked:
-            count[elements[e].parent] += count[e]
-            headings[elements[e].parent] += headings[e]
+        up = elements[e].parent
+        first[up] = min(first[up], first[e])
+        if elements[e].marked:
+            continue
+        if title[e] and chars[e] <= TITLE_CHARS:  # a headline with its byline: all of it counts as a heading
+            titled[e], headings[e] = True, count[e]
+        count[up] += count[e]
+        headings[up] += headings[e]
+        chars[up] += 0 if titled[e] else chars[e]
+        title[up] |= title[e]
     e = root
     while e:
         up, own = elements[e].parent, not elements[e].marked

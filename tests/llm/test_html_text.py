@@ -165,3 +165,31 @@ def test_ratios_open_marked_wrappers(page):
 )
 def test_all_blocks_of_the_lowest_element(page, text):
     assert html_text.main_text(page) == text
+
+
+PARA = "<p>" + "This is a sentence of the article, with some words. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>x</p><select><option>A</option></select><button>Share this</button><label>L</label></article>", ["x"]),
+        (f"<body><nav><a href=#>m</a></nav><div class='head'><h1>Headline</h1><span>By someone</span></div><div class='body'>{PARA * 4}</div></body>", ["Headline", "By someone", *["P"] * 4]),
+        ("<div><p>Short.</p></div><nav>..</nav><div class='footer'><p>Copyright 2020, all rights reserved, by the company, of the land.</p></div>", ["Short."]),
+        (f"<body>{PARA}<p><a href=x>A paragraph that is one link</a></p>{PARA}<ul><li><a>m1</a></li><li><a>m2</a></li></ul></body>", ["P", "A paragraph that is one link", "P"]),
+        (f"<body><div>{PARA * 3}</div><div class='discussion'><p>I think, this is so nice, thanks.</p></div></body>", ["P"] * 3),
+        ("<div class='footer'><p>All there is.</p></div>", ["All there is."]),
+        ("<p>a <label>n b</p><p>c</p>", ["a n b", "c"]),
+        (f"<div class='related'><h1>More</h1><a href=x>{'other story ' * 9}</a></div><div>{PARA * 3}</div>", ["P"] * 3),
+    ],
+)
+def test_contract_cases(page, text):
+    prose = PARA[3:-4].strip()
+    assert html_text.main_text(page) == "\n\n".join(prose if t == "P" else t for t in text)
+
+
+@pytest.mark.parametrize("page", ["<div><section>" * 16_000 + "x" + "</div>" * 16_000, "<label>" * 20_000 + "x", "<ul>" + "<li><div>" * 20_000, "<dl><dd>" + "<div>" * 20_000 + "<dt>x" * 20_000])
+def test_unclosed_elements_take_linear_time(page):
+    began = time.perf_counter()
+    html_text.read(page)
+    assert time.perf_counter() - began < 1
