@@ -12,7 +12,7 @@ from .functions import box_area
 from .functions import filtered_weights as products
 from .functions import lit32
 from .operators import (
-    ToneCurve, asof_join, box_mean_var, box_sum, channel_mixer_bw, color_filter_bw, encode_srgb, equalize, exposure, film_grain, grey_to_rgb, guided_coefficients, guided_filter, hsl_bw,
+    ToneCurve, asof_join, box_mean_var, box_sum, brightest, channel_mixer_bw, color_filter_bw, encode_srgb, equalize, exposure, film_grain, grey_to_rgb, guided_coefficients, guided_filter, hsl_bw,
     local_contrast, luminance_bw, percent_ranks, quantize_u8, range_join, sat, tile_pyramid, tone_curve, zone_system,
 )
 from .operators import grain
@@ -82,10 +82,9 @@ def filter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All filters under all standards, from one scan of the image."""
     dot = lambda w: lit32(w[0]) * F.col("r") + lit32(w[1]) * F.col("g") + lit32(w[2]) * F.col("b")
     pairs = [(f, s) for f in ColorFilter for s in LuminanceStandard]
-    mixed = orders_image(spark, sf_dir).select("image_id", "y", "x", F.array(*[dot(products(f.transmission(), s.weights())) for f, s in pairs]).alias("all"))
-    names = F.array(*[F.struct(F.lit(f.name).alias("filter"), F.lit(s.name).alias("standard")) for f, s in pairs])
-    cells = mixed.select("image_id", "y", "x", F.posexplode("all").alias("k", "l")).withColumn("name", F.get(names, "k"))
-    return cells.select("image_id", "y", "x", "name.filter", "name.standard", (F.round(F.col("l").cast("double"), 5) + 0.0).alias("l"))
+    cell = lambda f, s: F.struct(F.lit(f.name).alias("filter"), F.lit(s.name).alias("standard"), dot(products(f.transmission(), s.weights())).alias("l"))
+    cells = orders_image(spark, sf_dir).select("image_id", "y", "x", F.inline(F.array(*[cell(f, s) for f, s in pairs])))
+    return cells.select("image_id", "y", "x", "filter", "standard", (F.round(F.col("l").cast("double"), 5) + 0.0).alias("l"))
 
 
 _add(
@@ -395,3 +394,11 @@ _add(
     )
     + _select("hg", l="CASE WHEN side IS NULL THEN l ELSE CAST(CAST(l AS DOUBLE) * pow(2.0::DOUBLE, s * (t[i % 8 + 1] * (1 - f) + t[(i + 1) % 8 + 1] * f)) AS FLOAT) END"),
 )
+
+# extensions: the brightest pixels
+_add(
+    "brightest_pixels",
+    lambda spark, d: brightest(events_image(spark, d), 5, 8).withColumn("l", F.round(F.col("l").cast("double"), 5) + 0.0),
+    _with("rk AS (SELECT image_id, CAST(y // 8 AS INT) AS ty, CAST(x // 8 AS INT) AS tx, row_number() OVER (PARTITION BY image_id, y // 8, x // 8 ORDER BY l DESC, y, x) AS place, y, x, l FROM f2)")
+    + "SELECT image_id, ty, tx, CAST(place AS INT) AS place, y, x, round(CAST(l AS DOUBLE), 5) + 0.0 AS l FROM rk WHERE place <= 5",
+)

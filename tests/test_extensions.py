@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumisheet.errors import ShapeError
-from lumisheet.operators import ToneCurve, asof_join, equalize, film_grain, hsl_bw, luminance_bw, percent_ranks, range_join, tile_pyramid, tone_curve
+from lumisheet.operators import ToneCurve, asof_join, brightest, equalize, film_grain, hsl_bw, luminance_bw, percent_ranks, range_join, tile_pyramid, tone_curve
 from lumisheet.operators.ranks import radix
 from lumisheet.sources import constant_image, events_image, from_numpy, to_numpy
 
@@ -218,3 +218,45 @@ def test_pyramid_reads_pixels_once(spark, sf_dir):
     assert len(per) == 5 and len(set(per.values())) == 1
     small = tile_pyramid(pixels(spark, [1.0, None, 3.0]), 2, 2).orderBy("level", "tx").collect()
     assert [(r.level, r.tx, r.n, r.mean, r.variance, r.low, r.high) for r in small] == [(0, 0, 1, 1.0, 0.0, 1.0, 1.0), (0, 1, 1, 3.0, 0.0, 3.0, 3.0), (1, 0, 2, 2.0, 1.0, 1.0, 3.0)]
+
+
+# brightest pixels
+def test_brightest_against_sorting(spark):
+    rng = random.Random(9)
+    rows = [(i, y, x, rng.choice([None, NAN, INF, -INF, 0.5, 0.5, rng.random()])) for i in (0, 1, 2**40) for y in range(13) for x in range(9)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, l float").repartition(5)
+    for k, tile in ((1, 4), (3, 4), (50, 3), (7, 100)):
+        got = {}
+        for r in brightest(df, k, tile).collect():
+            got.setdefault((r.image_id, r.ty, r.tx), {})[r.place] = (r.y, r.x)
+        want = {}
+        for i, y, x, v in rows:
+            if v is not None:
+                want.setdefault((i, y // tile, x // tile), []).append(((0, 0) if math.isnan(v) else (1, -np.float32(v)), y, x))
+        assert got == {t: {n + 1: (y, x) for n, (_, y, x) in enumerate(sorted(v)[:k])} for t, v in want.items()}
+    assert brightest(df.where("1 = 0"), 2).count() == 0
+
+
+def test_brightest_sends_k_rows_of_a_tile(spark):
+    df = spark.range(40_000).select(F.lit(0).cast("long").alias("image_id"), (F.col("id") / 200).cast("int").alias("y"), (F.col("id") % 200).cast("int").alias("x"), F.rand(3).cast("float").alias("l")).coalesce(3)
+    out = brightest(df, 4, 100)
+    assert out.count() == 4 * 4
+    sent = out._jdf.queryExecution().optimizedPlan()
+    assert "MapInArrow" in sent.toString()
+    per_task = brightest.__globals__["_first"]
+    import pyarrow as pa
+
+    rows = pa.table({"image_id": np.zeros(1000, np.int64), "y": np.arange(1000, dtype=np.int32) // 50, "x": np.arange(1000, dtype=np.int32) % 50, "l": np.random.default_rng(1).random(1000).astype(np.float32)})
+    assert per_task(rows, 4, 100).num_rows == 4
+
+
+# the bench times arithmetic, not a folded literal
+def test_bench_images_are_no_literals(spark):
+    import bench
+
+    work = {"full_luminance": r"0\.7152 \* r?", "full_channel_mixer": r"0\.72 \* ", "full_color_filter": r"0\.07152 \* ", "full_zone_system": "EXP", "full_local_contrast": "MapInArrow", "full_encode_srgb": "POWER"}
+    made = bench.full_size(spark, 40, 50)
+    assert made.keys() == work.keys()
+    for name, make in made.items():
+        plan = make()._jdf.queryExecution().executedPlan().toString()
+        assert re.search(work[name], plan) and "* 0.0)" in plan, (name, plan)
