@@ -258,23 +258,23 @@ class Vocabulary:
         fresh = list(dict.fromkeys(c for p in parts for c in p if c not in self.cache))
         first, count, store, known = self.first, self.count, self.store, self.cache
         if fresh:
-            fresh.sort(key=lambda c: len(c) > KEPT_CHARS)  # those to keep come first
-            kept = sum(len(c) <= KEPT_CHARS for c in fresh)
-            plain = [c for c in fresh if c[:2] != SPACE * 2]
-            done = [self.encode_chunks(p) for p in _grouped(plain, INDEX_CHARS)] or [(self.store[:0], self.count[:0])]
-            tokens, n = (np.concatenate(x) for x in zip(*done, strict=True))
-            own = iter(np.split(tokens, np.cumsum(n)[:-1]) if len(n) else ())
-            coded = [self._spaced(c) if c[:2] == SPACE * 2 else next(own) for c in fresh]
-            n = np.array([len(x) for x in coded], np.int64)
-            ends = len(store) + np.cumsum(n)
-            first, count, store = np.concatenate((first, ends - n)), np.concatenate((count, n)), np.concatenate([store, *coded]).astype(np.int32)
+            short, long = [c for c in fresh if len(c) <= KEPT_CHARS], [c for c in fresh if len(c) > KEPT_CHARS]
+            names, parted = [], []
+            for part in (short, long):  # those to keep come first
+                plain, spaced = [c for c in part if c[:2] != SPACE * 2], [c for c in part if c[:2] == SPACE * 2]
+                names += plain + spaced
+                parted += [self.encode_chunks(p) for p in _grouped(plain, INDEX_CHARS)]
+                parted += [(np.array(t, np.int32), np.array([len(t)], np.int64)) for t in map(self._spaced, spaced)]
+            coded, sizes = (np.concatenate(x) for x in zip(*parted, strict=True))
+            kept, ends = len(short), len(store) + np.cumsum(sizes)
+            first, count, store = np.concatenate((first, ends - sizes)), np.concatenate((count, sizes)), np.concatenate((store, coded)).astype(np.int32)
             old = len(self.cache)
-            self.cache.update((c, old + k) for k, c in enumerate(fresh[:kept]))
+            self.cache.update((c, old + k) for k, c in enumerate(names[:kept]))
             known = self.cache
-            if kept < len(fresh):
-                known = known | {c: old + kept + k for k, c in enumerate(fresh[kept:])}
-            self.first, self.count = first[: old + kept].copy(), count[: old + kept].copy()
-            self.store = store[: int(ends[kept - 1]) if kept else len(self.store)].copy()
+            self.first, self.count, self.store = first, count, store
+            if long:
+                known = known | {c: old + k for k, c in enumerate(names[kept:], kept)}
+                self.first, self.count, self.store = first[: old + kept].copy(), count[: old + kept].copy(), store[: int(ends[kept - 1]) if kept else len(self.store)].copy()
         get = known.__getitem__
         of = np.fromiter((get(c) for p in parts for c in p), np.int64)
         n = count[of]
@@ -336,7 +336,7 @@ def _vocabulary(pieces: tuple[tuple[str, float, bool], ...]) -> Vocabulary:
     return Vocabulary(list(pieces))
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, cache: int = 1 << 19, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, cache: int = 1 << 20, check: bool = False) -> DataFrame:
     """``docs`` with ``ids`` instead of the text; ``check`` adds ``exact``, whether decoding gives the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(load(model)))
     rest = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "exact")]
