@@ -6,12 +6,15 @@ within r. By the triangle inequality that is a cell q with d(x, q) <= R + r, R b
 for none of the pivots s near x does x lie farther than r behind the plane midway between q and s, as
 all of the cell lies before it. Cells then join on their own: a link is found once, in the lower of the two homes.
 
-Scale: equal vectors of a label are one class with a count, so copies cost nothing. There are at most
-``max_pivots`` pivots in all, chosen by hash; of ``PROBES`` vectors of a label it is measured how many cells a
-vector visits, and the number of pivots with the least work among those with few visits is taken (cells hold ``wide_rows``
-at most, whatever the visits). Pivots set the cost, never the result. A cell of any size is cut into
-blocks of ``block_rows`` members; home blocks meet all blocks in groups of their own, in products of bounded
-size. A group emits counts and a spanning forest of its links, not the links, and classes carry their least id,
+Scale: equal vectors of a label are one class with a count, so copies cost nothing. The first level has at most
+``max_pivots`` pivots in all, chosen by hash, which all tasks share; of ``PROBES`` vectors of a label it is measured how
+many cells a vector visits, and the number of pivots with the least work among those with few visits is taken. Each
+further level takes the cells with more than ``wide_rows`` members at home and parts each by pivots of its own, at most
+``max_pivots`` a cell, fitted cell by cell in tasks: they travel to the blocks of their cell by a shuffle, and the
+driver sees none. A label that got no pivots at first is one cell, so every large label is served. There a member at
+home visits the cells before its new home as above, and a guest each cell that may hold a partner at home; guests
+never meet each other. Pivots set the cost, never the result. A cell of any size is cut into blocks of ``block_rows``
+members; home blocks meet all blocks in groups of their own, in products of bounded size. A group emits counts and a spanning forest of its links, not the links, and classes carry their least id,
 so no component is gathered. Where vectors spread evenly over many dimensions every cell is visited by most
 vectors, and the join nears the blocked comparison of a label with itself; that is the nature of the metric, not
 a limit on rows. Pairs in a cell are compared by one matrix product, which costs less than bounds by further pivots.
@@ -24,7 +27,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +70,19 @@ def visited(x: np.ndarray, pivots: np.ndarray, radius: float, reach: np.ndarray
     return home, out
 
 
+def _number(pivots: np.ndarray, probes: np.ndarray, radius: float, good: Callable[[int, float], bool]) -> int:
+    """How many of the pivots make the least work, of those numbers that are ``good`` by the cells a probe visits; 0 if none is."""
+    best, least, n = 0, None, len(pivots)
+    while n >= 2 and len(probes):
+        home, cells = visited(probes, pivots[:n], radius)
+        visits = 1 + float((cells & (np.arange(n) < home[:, None])).sum(axis=1).mean())
+        work = visits / n  # compared rows are the members of a cell times its own
+        if good(n, visits) and (least is None or work < least):
+            best, least = n, work
+        n //= 2
+    return best
+
+
 def _pivots(classes: DataFrame, radius: float, cell_rows: int, wide_rows: int, max_pivots: int) -> dict[tuple, np.ndarray]:
     """Pivots of each large label and vector length; ``max_pivots`` in all at most."""
     sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).orderBy(F.desc("n"), "label", "dims").limit(max_pivots // 2).collect()
@@ -89,18 +105,7 @@ def _pivots(classes: DataFrame, radius: float, cell_rows: int, wide_rows: int, m
     for key, rows in found.items():
         x = _unit(pa.array(rows))
         pivots, probes = x[: quota[key]], x[quota[key] :]
-        best, least = len(pivots), None
-        n = len(pivots)
-        while n >= 2 and len(probes):
-            home, cells = visited(probes, pivots[:n], radius)
-            visits = 1 + float((cells & (np.arange(n) < home[:, None])).sum(axis=1).mean())
-            work = visits / n  # compared rows are the members of a cell times its own
-            if (visits <= VISITS or size[key] > n * wide_rows) and (least is None or work < least):
-                best, least = n, work
-            elif least is None:
-                best = n
-            n //= 2
-        out[key] = pivots[:best]
+        out[key] = pivots[: _number(pivots, probes, radius, lambda n, visits, at=key: visits <= VISITS or size[at] > n * wide_rows) or 1]
     return out
 
 
@@ -113,10 +118,14 @@ def _by_label(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, pa.Rec
         yield key, np.array(rows), batch.take(pa.array(rows, pa.int64()))
 
 
-def range_links(classes: DataFrame, cosine: float = COSINE, cell_rows: int = 1024, wide_rows: int = 1 << 15, block_rows: int = 1 << 14, max_pivots: int = 512) -> DataFrame:
+def range_links(classes: DataFrame, cosine: float = COSINE, cell_rows: int = 1024, wide_rows: int = 1 << 15, block_rows: int = 1 << 14, max_pivots: int = 512, levels: int = 3) -> DataFrame:
     """Links between classes (label, dims, v, cid, id, c): rows (cid, id, n, other, other_id), n partial counts of linked vectors of
     other classes, ``other`` an edge of the spanning forest (itself: none)."""
     members = durable(route(classes, cosine, cell_rows, wide_rows, max_pivots))
+    for level in range(2, levels + 1):
+        if (finer := _refined(members, cosine, cell_rows, wide_rows, block_rows, max_pivots, level)) is None:
+            break
+        members = finer
     key = ["label", "dims", "cell"]
     count = lambda home: F.ceil(F.count(F.when(F.col("home") == home, True)) / block_rows).cast("int")
     sizes = members.groupBy(*key).agg(count(True).alias("homes"), count(False).alias("guests"), (F.count("*") <= block_rows).alias("whole"))
@@ -161,13 +170,81 @@ def range_links(classes: DataFrame, cosine: float = COSINE, cell_rows: int = 102
     return pairs.groupBy(*key, "lo", "hi").applyInArrow(link, "cid long, id long, n long, other long, other_id long")
 
 
+def _radius(cosine: float) -> float:
+    return float(np.sqrt(2 - 2 * cosine)) + 1e-7
+
+
+def _refined(members: DataFrame, cosine: float, cell_rows: int, wide_rows: int, block_rows: int, max_pivots: int, level: int) -> DataFrame | None:
+    """``members`` with the cells above ``wide_rows`` parted by pivots of their own; None if no cell is parted.
+
+    A cell stays whole where its vectors would visit so many parts that the blocks of the cell are the lesser copies.
+    """
+    radius, key = _radius(cosine), ["label", "dims", "cell"]
+    sizes = durable(members.groupBy(*key).agg(F.count(F.when(F.col("home"), True)).alias("rows"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where(F.col("rows") > wide_rows))
+    if sizes.isEmpty():
+        return None
+    want = F.least(F.ceil(F.col("rows") / cell_rows), F.lit(max_pivots)).cast("int")
+    # a thin hash sample of each cell (about two rows for each one wanted), of which the first by hash are taken
+    u = F.pmod(F.xxhash64(F.lit(level), "cid"), F.lit(1 << 30)) / float(1 << 30)
+    thin = members.where("home").join(sizes.withColumn("want", want), key).withColumn("u", u).where(F.col("u") * F.col("rows") <= 2 * (F.col("want") + PROBES))
+    first = thin.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("u", "cid"))).where(F.col("k") <= F.col("want") + PROBES)
+
+    def fit(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("k")
+        x, quota, rows = _unit(sample.column("v")), sample.column("want")[0].as_py(), sample.column("rows")[0].as_py()
+        n = _number(x[:quota], x[quota:], radius, lambda n, visits: visits <= max(VISITS, rows / block_rows))
+        return sample.slice(0, n).select([*key, "k", "v"])
+
+    fields = {f.name: f for f in members.schema.fields}
+    pivots = durable(first.select(*key, "k", "v", "want", "rows").groupBy(*key).applyInArrow(fit, T.StructType([*(fields[c] for c in key), T.StructField("k", T.IntegerType()), fields["v"]])))
+    parted = durable(sizes.join(pivots.select(*key).distinct(), key).select(*key, "blocks"))
+    if parted.isEmpty():
+        return None
+    names = members.columns
+
+    def send(rows: pa.Table, own: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(names)
+        p = _unit(own.sort_by("k").column("v"))
+        x, at_home, step = _unit(rows.column("v")), rows.column("home").to_numpy(), max(1, PRODUCT // 4 // len(p))
+        at, to, home = [], [], []
+        for i in range(0, len(x), step):
+            mine = at_home[i : i + step]
+            nearest, cells = visited(x[i : i + step], p, radius)
+            cells &= ~mine[:, None] | (np.arange(len(p)) < nearest[:, None])
+            cells[np.arange(len(mine)), nearest] = True
+            a, b = np.nonzero(cells)
+            at.append(a + i)
+            to.append(b)
+            home.append(mine[a] & (b == nearest[a]))
+        at, to, home = (np.concatenate(c) for c in (at, to, home))
+        sent = rows.select(names).take(pa.array(at))
+        cell = rows.column("cell")[0].as_py() * (max_pivots + 1) + 1 + to
+        sent = sent.set_column(names.index("cell"), "cell", pa.array(cell.astype(np.int64)))
+        return sent.set_column(names.index("home"), "home", pa.array(home))
+
+    block = F.pmod(F.xxhash64(F.lit(-level), "cid"), F.col("blocks")).cast("int")
+    inside = members.join(parted, key).withColumn("block", block)
+    copies = pivots.join(parted, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, "block", "k", "v")
+    sent = inside.select(*names, "block").groupBy(*key, "block").cogroup(copies.groupBy(*key, "block")).applyInArrow(send, members.schema)
+    whole = members.join(parted, key, "left_anti").withColumn("cell", F.col("cell") * (max_pivots + 1))
+    return durable(whole.select(*names).union(sent))
+
+
+def compared(members: DataFrame) -> DataFrame:
+    """One row: ``pairs`` that the cells of routed members compare."""
+    homes = F.count(F.when(F.col("home"), True)).cast("double")
+    cells = members.groupBy("label", "dims", "cell").agg(homes.alias("h"), F.count("*").cast("double").alias("n"))
+    return cells.agg(F.sum(F.col("h") * (F.col("h") - 1) / 2 + F.col("h") * (F.col("n") - F.col("h"))).alias("pairs"))
+
+
 def route(classes: DataFrame, cosine: float, cell_rows: int, wide_rows: int, max_pivots: int) -> DataFrame:
     """``classes`` with ``cell`` and ``home``: a row for the home of each vector and for each cell before it that it visits."""
-    radius = float(np.sqrt(2 - 2 * cosine)) + 1e-7
+    radius = _radius(cosine)
     pivots = _pivots(classes, radius, cell_rows, wide_rows, max_pivots)
     columns = classes.select("label", "dims", "v", "cid", "id", "c")
     if not pivots:
-        return columns.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
+        return columns.withColumn("cell", F.lit(0).cast("long")).withColumn("home", F.lit(True))
     sc = classes.sparkSession.sparkContext
     shared = sc.broadcast(pivots)
 
@@ -194,9 +271,9 @@ def route(classes: DataFrame, cosine: float, cell_rows: int, wide_rows: int, max
                     cell, cells = visited(_unit(own.column(2)), p, radius, reached.value[key])
                     guest, to = np.nonzero(cells & (np.arange(len(p)) < cell[:, None]))
                     at, cell, home = np.concatenate((at, guest)), np.concatenate((cell, to)), np.arange(len(at) + len(guest)) < len(at)
-                yield pa.RecordBatch.from_arrays([*own.take(pa.array(at)).columns, pa.array(cell.astype(np.int32)), pa.array(home)], names=["label", "dims", "v", "cid", "id", "c", "cell", "home"])
+                yield pa.RecordBatch.from_arrays([*own.take(pa.array(at)).columns, pa.array(cell.astype(np.int64)), pa.array(home)], names=["label", "dims", "v", "cid", "id", "c", "cell", "home"])
 
-    return columns.mapInArrow(send, T.StructType([*columns.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())]))
+    return columns.mapInArrow(send, T.StructType([*columns.schema.fields, T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType())]))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:

@@ -44,7 +44,8 @@ def cloud(seed, dims, n, spread):
     return [(int(i), [float(np.float32(c)) for c in v], int(k)) for i, v, k in zip(rng.permutation(n), x, rng.integers(0, 2, n), strict=True)]
 
 
-@pytest.mark.parametrize(("dims", "spread", "options"), [(3, 0.25, dict(cell_rows=20, block_rows=16)), (16, 0.25, dict(cell_rows=20, block_rows=1000)), (16, 0.3, {}), (2, 0.1, dict(cell_rows=10, block_rows=7, max_pivots=6)), (16, 0.25, dict(cell_rows=20, wide_rows=10, block_rows=30))])
+@pytest.mark.parametrize(("dims", "spread", "options"), [(3, 0.25, dict(cell_rows=20, block_rows=16)), (16, 0.25, dict(cell_rows=20, block_rows=1000)), (16, 0.3, {}), (2, 0.1, dict(cell_rows=10, block_rows=7, max_pivots=6)), (16, 0.25, dict(cell_rows=20, wide_rows=10, block_rows=30)),
+    (3, 0.25, dict(cell_rows=8, wide_rows=16, block_rows=40, max_pivots=4)), (16, 0.3, dict(cell_rows=8, wide_rows=16, block_rows=16, max_pivots=4)), (2, 0.3, dict(cell_rows=4, wide_rows=8, block_rows=16, max_pivots=1))])
 def test_against_all_pairs(spark, dims, spread, options):
     check(spark, cloud(dims, dims, 300, spread), **options)
 
@@ -86,3 +87,18 @@ def test_cells_hold_all_partners():
 def test_vectors_without_id(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 0), (4, [1.0, 0.1], 0), (3, [1.0, 0.2], 0), (None, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int")
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in metric_join.digest(df).collect()), key=str) == sorted([(None, 2, 3), (4, 2, 3), (3, 2, 3), (None, 0, None)], key=str)
+
+
+def test_further_levels_part_cells(spark):
+    """Pivots of cells: fewer pairs are compared with each level, and a label without pivots of its own is served."""
+    rows = [(0, 3, v, i, i, 1) for i, v, _ in cloud(9, 3, 600, 0.4)]
+    classes = spark.createDataFrame(rows, "label int, dims int, v array<float>, cid long, id long, c long")
+    members = metric_join.route(classes, 0.93, 8, 16, 4)
+    pairs = [metric_join.compared(members).first().pairs]
+    for level in (2, 3):
+        members = metric_join._refined(members, 0.93, 8, 16, 40, 4, level)
+        pairs.append(metric_join.compared(members).first().pairs)
+        assert members.where("home").count() == 600
+    assert pairs[2] < pairs[1] < pairs[0] < 600 * 599 / 2
+    one = metric_join.route(classes, 0.93, 1 << 20, 16, 4)
+    assert metric_join.compared(metric_join._refined(one, 0.93, 8, 16, 40, 64, 2)).first().pairs < pairs[0]
