@@ -6,8 +6,8 @@ the windows that hold them NaN, an infinity makes them infinite, and no other wi
 
 Three physical forms of the same result:
 
-* ``tiles``: pixels go to square tiles with a margin of two radii, and NumPy filters each tile. One shuffle,
-  memory by tile whatever the image size, work independent of the radius; the default of local contrast. Absent
+* ``tiles``: pixels go to square tiles with a margin of two radii, and NumPy filters the tiles, small ones of a
+  shape together. One shuffle, memory by tile (its side grows with the radius) whatever the image size, work independent of the radius; the default of local contrast. Absent
   rows are pixels that are not present.
 * ``sliding``: framed sums along x, then along y, in the JVM. Partitions are single rows and columns, so one huge image
   spreads over the cluster; the work of a pixel grows with the radius. The default of box sums of small radius.
@@ -35,6 +35,8 @@ from ..schema import require_channels
 
 #: Radius from which running sums are taken where the caller does not say.
 RUNNING_FROM = 32
+#: Pixels in a list that travels to a tile, and pixels that go through NumPy at a time (or one tile).
+LIST, STACK = 256, 1 << 18
 
 
 def sat(df: DataFrame, value: str = "l", out: str = "sat") -> DataFrame:
@@ -129,11 +131,13 @@ def local_contrast(df: DataFrame, params: GuidedFilterParams, strength: float, l
 def _tiled(df: DataFrame, params: GuidedFilterParams, strength: float, l: str, tile: int) -> DataFrame:
     """Tiles with a margin of two radii: the filter averages coefficients that themselves come from windows.
 
-    The pixels of a batch that go to one tile are one row of lists, so the shuffle has few and compact rows.
+    The pixels of a batch that go to one tile are rows of lists (of ``LIST`` pixels at most, which bounds a batch of
+    them), so the shuffle has few and compact rows. A task goes through its tiles in order, many small ones at a time.
+    Memory is that of the tile, whose side is at least two radii.
     """
     margin = 2 * params.radius
     tile = max(tile, margin, 1)
-    radius, eps, k = params.radius, float(np.float32(params.eps)), np.float32(strength)
+    radius, eps, k32 = params.radius, float(np.float32(params.eps)), np.float32(strength)
     rest = [f for f in df.schema.fields if f.name != "image_id"]
     keys = [df.schema["image_id"], T.StructField("_ty", T.IntegerType()), T.StructField("_tx", T.IntegerType())]
 
@@ -153,38 +157,73 @@ def _tiled(df: DataFrame, params: GuidedFilterParams, strength: float, l: str, t
             row, ty, tx = row[order], ty[order], tx[order]
             key = image[row]
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1]))))
+            within = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+            first = np.flatnonzero(within % LIST == 0)
             offsets, at = pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(row)
             lists = [pa.ListArray.from_arrays(offsets, batch.column(f.name).take(at)) for f in rest]
             yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(row[first])), pa.array(ty[first].astype(np.int32)), pa.array(tx[first].astype(np.int32)), *lists], names=[f.name for f in (*keys, *rest)])
 
-    def run(rows: pa.Table) -> pa.Table:
-        ty, tx, image = (rows.column(c)[0].as_py() for c in ("_ty", "_tx", "image_id"))
-        flat = {f.name: pc.list_flatten(rows.column(f.name)) for f in rest}
+    names = df.columns
+
+    def develop(rows: pa.Table) -> pa.RecordBatch:
+        """The pixels of whole tiles (sorted by tile); tiles of one shape, as small images are, go through NumPy together."""
+        flat = {f.name: pc.list_flatten(rows.column(f.name).combine_chunks()) for f in rest}
+        length = pc.list_value_length(rows.column("y")).to_numpy()
+        at = np.repeat(np.arange(rows.num_rows), length)
         y, x = flat["y"].to_numpy(), flat["x"].to_numpy()
-        own = np.flatnonzero((y // tile == ty) & (x // tile == tx))
-        out = {c: v.take(pa.array(own)) for c, v in flat.items()} | {"image_id": pa.array([image] * len(own), rows.column("image_id").type)}
-        if len(own):  # else a margin beyond the image
-            has = flat[l].is_valid().to_numpy()
-            y, x, shape = y - y.min(), x - x.min(), (int(np.ptp(y)) + 1, int(np.ptp(x)) + 1)
-            plane, present = np.zeros(shape, np.float32), np.zeros(shape, bool)
-            present[y, x] = has
-            plane[y, x] = np.where(has, flat[l].fill_null(0).to_numpy(), 0)
-            y, x = y[own], x[own]
-            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
-                lum = plane[y, x]
-                new = lum + k * (lum - _guided(plane, present, radius, eps)[y, x])
-            out[l] = pa.array(new.astype(np.float32), mask=~has[own])
-        return pa.table([out[c] for c in df_names], names=df_names)
-
-    df_names = df.columns
+        own = (y // tile == rows.column("_ty").to_numpy()[at]) & (x // tile == rows.column("_tx").to_numpy()[at])
+        lum, has, new = flat[l].fill_null(0).to_numpy(), flat[l].is_valid().to_numpy(zero_copy_only=False), np.zeros(len(y), np.float32)
+        first = np.append(0, np.cumsum(length))[np.append(_starts(rows), rows.num_rows)]
+        first = first[np.append(True, first[1:] > first[:-1])]
+        top, bottom, left, right = (f.reduceat(c, first[:-1]) if len(y) else y for c in (y, x) for f in (np.minimum, np.maximum))
+        shapes: dict[tuple[int, int], list[int]] = {}
+        for i, shape in enumerate(zip((bottom - top + 1).tolist(), (right - left + 1).tolist(), strict=True)):
+            if own[first[i] : first[i + 1]].any():  # else a margin beyond the image
+                shapes.setdefault(shape, []).append(i)
+        for (height, width), tiles in shapes.items():
+            step = max(1, STACK // (height * width))
+            for k in range(0, len(tiles), step):
+                some = tiles[k : k + step]
+                px = np.concatenate([np.arange(first[i], first[i + 1]) for i in some])
+                n = np.repeat(np.arange(len(some)), [first[i + 1] - first[i] for i in some])
+                cell = (n, y[px] - top[some][n], x[px] - left[some][n])
+                plane, present = np.zeros((len(some), height, width), np.float32), np.zeros((len(some), height, width), bool)
+                plane[cell], present[cell] = np.where(has[px], lum[px], 0), has[px]
+                with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+                    new[px] = lum[px] + k32 * (lum[px] - _guided(plane, present, radius, eps)[cell])
+        mine = np.flatnonzero(own)
+        out = {c: v.take(pa.array(mine)) for c, v in flat.items()} | {l: pa.array(new[mine], mask=~has[mine])}
+        out["image_id"] = rows.column("image_id").combine_chunks().take(pa.array(at[mine]))
+        return pa.RecordBatch.from_arrays([out[c] for c in names], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = int(_starts(rows)[-1]) if rows.num_rows else 0
+            if last:
+                yield develop(rows.slice(0, last))
+            held = rows.slice(last)  # the next batch may go on with this tile
+        if held is not None and held.num_rows:
+            yield develop(held)
+
     packed = T.StructType([*keys, *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in rest]])
-    return df.mapInArrow(pack, packed).groupBy("image_id", "_ty", "_tx").applyInArrow(run, T.StructType(df.schema.fields))
+    tiles = df.mapInArrow(pack, packed).repartition("image_id", "_ty", "_tx").sortWithinPartitions("image_id", "_ty", "_tx")
+    return tiles.mapInArrow(run, T.StructType(df.schema.fields))
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """The first row of each tile."""
+    image = rows.column("image_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    key = np.stack((image, rows.column("_ty").to_numpy(), rows.column("_tx").to_numpy()))
+    return np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if rows.num_rows else np.zeros(0, np.int64)
 
 
 def _sums(plane: np.ndarray, radius: int) -> np.ndarray:
-    """Window sums cut at the border, in double."""
+    """Window sums of a plane or a stack of planes, cut at the border, in double."""
     out = plane.astype(np.float64)
-    for axis in (1, 0):
+    for axis in (-1, -2):
         s = np.concatenate((np.zeros_like(out.take([0], axis)), out.cumsum(axis)), axis)
         at = np.arange(out.shape[axis])
         out = s.take(np.minimum(at + radius, len(at) - 1) + 1, axis) - s.take(np.maximum(at - radius, 0), axis)
