@@ -21,6 +21,8 @@ from .presets import ColorFilter, GuidedFilterParams, LuminanceStandard, ZonePar
 from .schema import grid_faults
 from .sources import color_chart, constant_image, embeddings_images, events_image, orders_image, pixels_of, ppm_bytes, ramp_image, scanlines_of
 from .sources.synthetic import CHART
+from .streaming import assembled
+from .streaming.assembly import PROVIDER, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 Source = Callable[[SparkSession, str], DataFrame]
@@ -402,3 +404,33 @@ _add(
     _with("rk AS (SELECT image_id, CAST(y // 8 AS INT) AS ty, CAST(x // 8 AS INT) AS tx, row_number() OVER (PARTITION BY image_id, y // 8, x // 8 ORDER BY l DESC, y, x) AS place, y, x, l FROM f2)")
     + "SELECT image_id, ty, tx, CAST(place AS INT) AS place, y, x, round(CAST(l AS DOUBLE), 5) + 0.0 AS l FROM rk WHERE place <= 5",
 )
+
+
+# extensions: images that arrive in parts
+def assembled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of pixels: sixteen fill an image of 2 x 3 cells at the place of their user, so cells are doubled, absent or sent anew."""
+    session = spark.newSession()  # its settings are its own
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    path = f"{sf_dir}/events.parquet"
+    key, cell = F.col("event_id"), F.col("user_id") % 6
+    stream = session.readStream.schema(session.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream takes no path of one file
+    pixels = stream.select(
+        F.floor(key / 16).alias("image_id"), F.floor(cell / 3).cast("int").alias("y"), (cell % 3).cast("int").alias("x"), (F.col("value") / 100.0).cast("float").alias("l"),
+        F.lit(2).alias("height"), F.lit(3).alias("width"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    assembled(pixels, folder := shared_folder(spark, "assembled"), "l", wait="2 hours", delay="1 day")
+    since = lambda c: F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp"), F.col(c)).alias(c)
+    return spark.read.parquet(f"{folder}/out").select("image_id", "y", "x", since("opened"), since("closed"), "whole", (F.round(F.col("l").cast("double"), 5) + 0.0).alias("l"))
+
+
+_add(
+    "assembled_images",
+    assembled_images,
+    """WITH RECURSIVE ev AS (SELECT event_id // 16 AS image_id, CAST(user_id % 6 // 3 AS INT) AS y, CAST(user_id % 3 AS INT) AS x, CAST(value / 100.0::DOUBLE AS FLOAT) AS l, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS t FROM events),
+op AS (SELECT DISTINCT image_id, t AS opened FROM ev),
+ce AS (SELECT image_id, opened, y, x, min(t) AS t, arg_min(l, (t, l)) AS l FROM op JOIN ev USING (image_id) WHERE t BETWEEN opened AND opened + 7200000000 GROUP BY ALL),
+cl AS (SELECT image_id, opened, count(*) = 6 AS whole, CASE WHEN count(*) = 6 THEN max(t) ELSE opened + 7200000000 END AS closed FROM ce GROUP BY image_id, opened),
+nx AS (SELECT cl.*, (SELECT min(t) FROM ev WHERE ev.image_id = cl.image_id AND t > closed) AS next FROM cl),
+im AS (SELECT nx.* FROM nx JOIN (SELECT image_id, min(t) AS opened FROM ev GROUP BY image_id) USING (image_id, opened) UNION ALL SELECT nx.* FROM im JOIN nx ON nx.image_id = im.image_id AND nx.opened = im.next)
+SELECT image_id, y, x, opened, closed, whole, round(CAST(l AS DOUBLE), 5) + 0.0 AS l FROM im JOIN ce USING (image_id, opened) WHERE (closed + 999) // 1000 <= (SELECT max(t) FROM ev) // 1000 - 86400000""",
+)
