@@ -22,7 +22,7 @@ from .schema import grid_faults
 from .sources import color_chart, constant_image, embeddings_images, events_image, orders_image, pixels_of, ppm_bytes, ramp_image, scanlines_of
 from .sources.synthetic import CHART
 from .streaming import assembled
-from .streaming.assembly import PROVIDER, shared_folder
+from .streaming.assembly import shared_folder, state_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 Source = Callable[[SparkSession, str], DataFrame]
@@ -409,8 +409,7 @@ _add(
 # extensions: images that arrive in parts
 def assembled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of pixels: sixteen fill an image of 2 x 3 cells at the place of their user, so cells are doubled, absent or sent anew."""
-    session = spark.newSession()  # its settings are its own
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    session = state_session(spark)
     path = f"{sf_dir}/events.parquet"
     key, cell = F.col("event_id"), F.col("user_id") % 6
     stream = session.readStream.schema(session.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream takes no path of one file

@@ -34,6 +34,21 @@ def first_closed(t: np.ndarray, cell: np.ndarray, values: list[np.ndarray], cell
     return held, int(t[order[0]]) + wait, False
 
 
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams with state: state stores with timers that take no disk ahead, two a core.
+
+    A partition of a stateful stream is a state store for as long as the stream lives, with costs of its own in each
+    batch, so their number goes by the cores, not by the partitions of shuffles (of which it takes no more).
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return session
+
+
 class _Assembly(StatefulProcessor):
     """State of a key: chunks of pixels as bytes, and (pixels held, time of the timer, pixels from which the image may be whole)."""
 
@@ -126,8 +141,8 @@ def assemble(stream: DataFrame, *channels: str, wait: str = "1 hour", delay: str
 
     ``lines`` cuts images into parts of so many lines that are whole and leave each on its own: an image of any size is then
     spread over tasks, and a task holds a part only. None: whole images, one part. State is the pixels of the last
-    ``wait`` and ``delay``; a closed image leaves none. The session needs ``spark.sql.streaming.stateStore.providerClass``
-    = ``PROVIDER``.
+    ``wait`` and ``delay``; a closed image leaves none. The session is one of ``state_session``, or
+    has at least ``spark.sql.streaming.stateStore.providerClass`` = ``PROVIDER``.
     """
     require_channels(stream, *channels)
     for c in ("height", "width", ts):

@@ -7,7 +7,7 @@ import pytest
 
 from lumisheet.errors import ShapeError
 from lumisheet.streaming import assemble, assembled
-from lumisheet.streaming.assembly import PROVIDER
+from lumisheet.streaming.assembly import state_session
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "image_id long, y int, x int, l float, height int, width int, ts timestamp"
@@ -15,10 +15,7 @@ SCHEMA = "image_id long, y int, x int, l float, height int, width int, ts timest
 
 @pytest.fixture(scope="module")
 def state(spark):
-    session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    session.conf.set("spark.sql.shuffle.partitions", "2")
-    return session
+    return state_session(spark)
 
 
 def run(state, folder, batches, **options):
