@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..schema import require_channels
+from .ranks import TOP, radix
+
 
 def _bucket(df: DataFrame, ts: str, seconds: int) -> Column:
     """A number that never falls as time goes on: instants count from the epoch, times without a zone by their own calendar."""
@@ -84,3 +87,60 @@ def range_join(points: DataFrame, value: str, bands: DataFrame, low: str, high:
     places.append(F.struct(F.lit(LEVELS).alias("_level"), F.lit(0).cast("long").alias("_bucket")))
     stands = points.where(v.isNotNull() & ~F.isnan(v)).select("*", F.explode(F.array(*places)).alias("_place")).select(*points.columns, "_place._level", "_place._bucket")
     return stands.join(dealt, ["_level", "_bucket"]).where((v >= lo) & (v < hi)).drop("_level", "_bucket")
+
+
+def _step(v: Column) -> Column:
+    """The least FLOAT, as DOUBLE, that is not below the DOUBLE ``v``; beyond all finite ones 2^128 stands for them."""
+    size = F.abs(v)
+    two = lambda p: F.pow(F.lit(2.0), p.cast("double"))
+    guess = F.floor(F.log2(size))
+    power = guess + F.when(two(guess) > size, -1).when(two(guess + 1) <= size, 1).otherwise(0)
+    unit = two(F.greatest(power, F.lit(-126)) - 23)
+    return F.when(size == 0, F.lit(0.0)).when(size < 2.0**128, F.ceil(v / unit) * unit + 0.0).when(size < float("inf"), F.signum(v) * F.lit(2.0**128)).otherwise(v)
+
+
+def band_sums(points: DataFrame, value: str, bands: DataFrame, low: str, high: str) -> DataFrame:
+    """``bands`` with the number ``n`` and the sum ``total`` (DOUBLE, NULL if none) of ``value`` over the ``points`` in each.
+
+    The aggregates of ``range_join`` by its rules (``low <= value < high``, NULL bounds are open, NaN is above all, NULL and
+    NaN values are in none), without its pairs: work grows with the points plus the bands. Points and bounds are counted by
+    value, map-side, and what lies below a bound is the running sum of its radix bucket (65,536 unlike values at most), of the
+    buckets before it in its power of two (128 at most), and of the powers between the two bounds of a band (some
+    570, one row). ``value`` is FLOAT, so sums within a power of two are whole numbers of its last place: their
+    differences are exact, and no large value takes digits from bands that don't hold it.
+    """
+    require_channels(points, value, keys=False)
+    infinite = float("inf")
+    dealt = bands.withColumns({"_low": _step(F.coalesce(F.col(low).cast("double"), F.lit(-infinite))), "_high": _step(F.coalesce(F.col(high).cast("double"), F.lit(infinite)))})
+    v = F.col(value).cast("double") + 0.0  # one zero
+    asked = dealt.select(F.explode(F.array("_low", "_high")).alias("_v")).distinct()
+    rows = points.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("_v"), F.lit(1).alias("_n"), F.lit(False).alias("_asked")).unionByName(asked.select("_v", F.lit(0).alias("_n"), F.lit(True).alias("_asked")))
+    power = (F.signum("_bucket") * F.floor(F.abs("_bucket") / 128)).cast("int")
+    edge = TOP // 128  # infinite values count as one, times infinity
+    unit = lambda p: F.when(F.abs(p) >= edge, F.lit(infinite)).otherwise(F.pow(F.lit(2.0), F.abs(p) - F.lit(183.0)))
+    places = F.when(F.abs("_power") >= edge, F.signum("_power")).otherwise(F.col("_v") / unit(F.col("_power"))).cast("long")
+
+    cells = rows.groupBy("_v").agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked")).withColumn("_bucket", radix(F.col("_v"))).withColumn("_power", power)
+    cells = cells.withColumn("_s", F.when(F.col("_n") > 0, F.col("_n") * places).otherwise(0))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    inside = before.partitionBy("_bucket").orderBy("_v")
+    found = cells.select("_v", "_asked", "_bucket", below("_n", inside).alias("_n"), below("_s", inside).alias("_s")).where("_asked")
+    held = cells.groupBy("_bucket", "_power").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    earlier = before.partitionBy("_power").orderBy("_bucket")
+    offsets = held.select("_bucket", "_power", below("_n", earlier).alias("_n0"), below("_s", earlier).alias("_s0"))
+    found = found.join(offsets, "_bucket").select("_v", F.struct("_power", (F.col("_n") + F.col("_n0")).alias("n"), (F.col("_s") + F.col("_s0")).alias("s")).alias("_at"))
+    powers = held.groupBy("_power").agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")).agg(F.sort_array(F.collect_list(F.struct("_power", "n", "s"))).alias("_powers"))
+
+    ends = dealt.join(found.select(F.col("_v").alias("_low"), F.col("_at").alias("_from")), "_low").join(found.select(F.col("_v").alias("_high"), F.col("_at").alias("_to")), "_high").crossJoin(F.broadcast(powers))
+
+    def share(p: Column) -> Column:
+        """What a band holds of a power of two: its number and its sum."""
+        n, s = (F.when(p["_power"] < F.col("_to._power"), p[c]).otherwise(F.col(f"_to.{c}")) - F.when(p["_power"] == F.col("_from._power"), F.col(f"_from.{c}")).otherwise(0) for c in ("n", "s"))
+        return F.struct(n.alias("n"), F.when(n > 0, s * unit(p["_power"])).otherwise(0.0).alias("s"))
+
+    within = F.filter("_powers", lambda p: (p["_power"] >= F.col("_from._power")) & (p["_power"] <= F.col("_to._power")) & (F.col("_low") < F.col("_high")))
+    shares = ends.withColumn("_shares", F.transform(within, share))
+    n = F.aggregate("_shares", F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    total = F.aggregate("_shares", F.lit(0.0), lambda a, p: a + p["s"])
+    return shares.select(*bands.columns, n.alias("n"), total.alias("total")).withColumn("total", F.when(F.col("n") > 0, F.col("total")))

@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 from ..schema import require_channels
 
 HOT_VALUES = 1000
-_TOP = 1 << 20
+#: The bucket of infinity.
+TOP = 1 << 20
 
 
 def radix(v: Column) -> Column:
@@ -27,8 +28,8 @@ def radix(v: Column) -> Column:
     # a FLOAT below a power of two is 8e-8 below it in the logarithm, so the small push only mends rounding
     power = F.floor(F.log2(size) + F.lit(1e-9))
     place = (power + 160) * 128 + F.floor(size / F.pow(F.lit(2.0), power.cast("double")) * 128) - 128
-    held = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(_TOP).cast("long")).otherwise(place)
-    return F.when(F.isnan(wide), F.lit(2 * _TOP).cast("long")).when(wide < 0, -held).otherwise(held)
+    held = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(TOP).cast("long")).otherwise(place)
+    return F.when(F.isnan(wide), F.lit(2 * TOP).cast("long")).when(wide < 0, -held).otherwise(held)
 
 
 def value_ranks(df: DataFrame, l: str = "l") -> DataFrame:

@@ -12,8 +12,8 @@ from .functions import box_area
 from .functions import filtered_weights as products
 from .functions import lit32
 from .operators import (
-    ToneCurve, asof_join, box_mean_var, box_sum, brightest, channel_mixer_bw, color_filter_bw, encode_srgb, equalize, exposure, film_grain, grey_to_rgb, guided_coefficients, guided_filter, hsl_bw,
-    local_contrast, luminance_bw, percent_ranks, quantize_u8, range_join, sat, tile_pyramid, tone_curve, zone_system,
+    ToneCurve, asof_join, band_sums, box_mean_var, box_sum, brightest, channel_mixer_bw, color_filter_bw, encode_srgb, equalize, exposure, film_grain, grey_to_rgb, guided_coefficients, guided_filter, hsl_bw,
+    local_contrast, luminance_bw, percent_ranks, quantize_u8, sat, tile_pyramid, tone_curve, zone_system,
 )
 from .operators import grain
 from .plans import Development
@@ -357,8 +357,8 @@ def luminance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of the events image in the luminance band of each supplier; bands overlap, and one in seven is empty."""
     low, width = F.col("s_acctbal") / 10000.0, (F.col("s_suppkey") % 7) * F.lit(0.01)
     bands = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", low.alias("low"), (low + width).alias("high"))
-    held = range_join(events_image(spark, sf_dir), "l", bands, "low", "high", 0.01).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.avg(F.col("l").cast("double")).alias("mean"))
-    return bands.select("s_suppkey").join(held, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0).cast("long")).alias("n"), (F.round("mean", 5) + 0.0).alias("mean"))
+    held = band_sums(events_image(spark, sf_dir), "l", bands, "low", "high").groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return held.select("s_suppkey", "n", (F.round(F.try_divide("total", "n"), 5) + 0.0).alias("mean"))
 
 
 _add(

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumisheet.errors import ShapeError
-from lumisheet.operators import ToneCurve, asof_join, brightest, equalize, film_grain, hsl_bw, luminance_bw, percent_ranks, range_join, tile_pyramid, tone_curve
+from lumisheet.operators import ToneCurve, asof_join, band_sums, brightest, equalize, film_grain, hsl_bw, luminance_bw, percent_ranks, range_join, tile_pyramid, tone_curve
 from lumisheet.operators.ranks import radix
+from lumisheet.queries import QUERIES
 from lumisheet.sources import constant_image, events_image, from_numpy, to_numpy
 
 NAN, INF = float("nan"), float("inf")
@@ -210,6 +211,59 @@ def test_range_join_plan(spark, sf_dir):
     assert "SortMergeJoin" in shuffled
 
 
+# sums of bands
+def test_band_sums_against_all_pairs(spark):
+    rng = random.Random(8)
+    edges = [0.0, -0.0, 0.5, 1.0, -1.0, 1e-45, -1e-45, 2.0**-126, 3.4028234663852886e38, -3.4028234663852886e38]
+    values = [rng.choice([rng.uniform(-2, 2), rng.uniform(-1e6, 1e6), *edges, -1e30, INF, -INF, NAN, None]) for _ in range(400)]
+    f32 = [None if v is None else float(np.float32(v)) for v in values]
+    near = lambda: rng.choice([rng.choice([v for v in f32 if v is not None]) * rng.choice([1, 1, 1 - 1e-12, 1 + 1e-9]), rng.uniform(-3, 3), rng.choice(edges), 1e-60, -1e-60, 1e39, -1e39, 1e300, INF, -INF, NAN, None])
+    bands = [(k, near(), near()) for k in range(400)] + [(400, 0.5, 0.5), (401, None, None), (402, 1.0 - 1e-12, 1.0), (403, -1.0 + 1e-12, -0.99999994), (404, -1.0 + 1e-12, -0.9999999)]
+    points = spark.createDataFrame([(v,) for v in [*values, -0.99999994]], "l float")
+    got = {r.band: (r.n, r.total) for r in band_sums(points, "l", spark.createDataFrame(bands, "band int, low double, high double"), "low", "high").collect()}
+    assert len(got) == len(bands)
+    top = lambda x: (1, 0) if math.isnan(x) else (0, x)  # noqa: E731  NaN is the largest number
+    known = [v for v in [*f32, float(np.float32(-0.99999994))] if v is not None and not math.isnan(v)]
+    for k, low, high in bands:
+        held = [v for v in known if top(-INF if low is None else low) <= top(v) < top(INF if high is None else high)]
+        n, total = got[k]
+        assert n == len(held), (low, high)
+        if not held:
+            assert total is None
+        elif any(math.isinf(v) for v in held):
+            assert str(total) == str(sum(held)), (low, high)
+        else:  # a sum of powers of two, so digits are lost by size as in any sum of doubles
+            assert abs(total - math.fsum(held)) <= 1e-15 * math.fsum(map(abs, held)), (low, high)
+
+
+def test_band_sums_are_exact_above_large_values(spark):
+    points = spark.createDataFrame([(v,) for v in (-1e30, 0.25, 0.5, 0.5, 1e30)], "l float")
+    bands = spark.createDataFrame([(0, 0.2, 0.6), (0, 0.2, 0.6), (1, 0.6, 0.7), (2, 0.7, 0.6)], "band int, low double, high double")
+    assert sorted(tuple(r)[0:1] + tuple(r)[3:] for r in band_sums(points, "l", bands, "low", "high").collect()) == [(0, 3, 1.25), (0, 3, 1.25), (1, 0, None), (2, 0, None)]
+    assert [(r.n, r.total) for r in band_sums(points.where("1 = 0"), "l", bands, "low", "high").collect()] == [(0, None)] * 4
+    assert band_sums(points, "l", bands.where("1 = 0"), "low", "high").count() == 0
+
+
+def test_luminance_bands_makes_no_pairs(spark, tmp_path):
+    """2,000 overlapping bands over 2,000 pixels are 4 million pairs; no step of the plan makes more rows than a few for each of both."""
+    spark.range(2000).select(F.col("id").alias("event_id"), (F.col("id") % 50 + 40.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(0, 14000, 7).select((F.col("id") + 6).alias("s_suppkey"), F.lit(4350.0).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    out = QUERIES["luminance_bands"](spark, str(tmp_path))
+    got = out.collect()
+    assert len(got) == 2000 and {(r.n, r["mean"]) for r in got} == {(240, 0.465)}
+    counts, todo = [], [out._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            node = node.plan()
+        if node.metrics().contains("numOutputRows"):
+            counts.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert counts and max(counts) <= 3 * 4000
+
+
 # pyramid
 def test_pyramid_reads_pixels_once(spark, sf_dir):
     out = tile_pyramid(events_image(spark, sf_dir), 4, 5)
