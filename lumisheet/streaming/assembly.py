@@ -20,18 +20,25 @@ from ..schema import require_channels
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def first_closed(t: np.ndarray, cell: np.ndarray, values: list[np.ndarray], cells: int, wait: int) -> tuple[np.ndarray, int, bool]:
-    """Of pixels of one key: the places of those that the image opened first holds, the time when it closes, and if it is whole.
+#: Small images share a key and its state: as many ids in a row as have so many cells together.
+GROUP_CELLS = 1024
 
-    A cell takes its earliest pixel (ties: the least values, channel by channel). The image closes when its last cell
-    is taken, or ``wait`` after it has opened.
+
+def first_closed(image: np.ndarray, t: np.ndarray, cell: np.ndarray, cells: int, wait: int) -> tuple[np.ndarray, ...]:
+    """The images that are opened first, one for each id: the places of the pixels held, the image of each row, and when each
+    image opens and closes and if it is whole.
+
+    Rows are in order of id, time, cell and values, so a cell takes its earliest pixel (ties: the least values, channel by
+    channel). An image closes when its last cell is taken, or ``wait`` after it has opened.
     """
-    order = np.lexsort((*values[::-1], cell, t))
-    order = order[t[order] <= t[order[0]] + wait]
-    held = order[np.unique(cell[order], return_index=True)[1]]  # of equal cells the first in this order
-    if len(held) == cells:
-        return held, int(t[held].max()), True
-    return held, int(t[order[0]]) + wait, False
+    new = np.r_[True, image[1:] != image[:-1]]
+    which, opened = np.cumsum(new) - 1, t[new]
+    near = np.flatnonzero(t <= opened[which] + wait)
+    near = near[np.lexsort((cell[near], which[near]))]  # stable: of equal cells the first in this order
+    held = near[np.r_[True, (which[near][1:] != which[near][:-1]) | (cell[near][1:] != cell[near][:-1])]]
+    starts = np.flatnonzero(np.r_[True, which[held][1:] != which[held][:-1]])
+    whole = np.diff(np.r_[starts, len(held)]) == cells
+    return held, which, opened, np.where(whole, np.maximum.reduceat(t[held], starts), opened + wait), whole
 
 
 def state_session(spark: SparkSession) -> SparkSession:
@@ -50,7 +57,7 @@ def state_session(spark: SparkSession) -> SparkSession:
 
 
 class _Assembly(StatefulProcessor):
-    """State of a key: chunks of pixels as bytes, and (pixels held, time of the timer, pixels from which the image may be whole)."""
+    """State of a key, some images with ids in a row: chunks of pixels as bytes, and a time before which none of them closes (that of the timer)."""
 
     def __init__(self, channels: list[str], wait: int):
         self.channels, self.wait = channels, wait
@@ -59,67 +66,59 @@ class _Assembly(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.chunks = handle.getListState("chunks", "pixels binary")
-        self.about = handle.getValueState("about", "held long, opened long, timer long, look long")
-        self.kind = np.dtype([("t", "<i8"), ("y", "<i4"), ("x", "<i4"), *[(v, "<f4") for v in self.names]])
+        self.about = handle.getValueState("about", "timer long")
+        self.kind = np.dtype([("image_id", "<i8"), ("micros", "<i8"), ("y", "<i4"), ("x", "<i4"), *[(v, "<f4") for v in self.names]])
 
     def _load(self) -> np.ndarray:
-        return np.concatenate([np.frombuffer(c[0], self.kind) for c in self.chunks.get()])
-
-    def _first(self, key: tuple, rows: np.ndarray) -> tuple[np.ndarray, int, bool]:
-        _, height, width, lines, part = key
-        cells = (min(height, (part + 1) * lines) - part * lines) * width
-        return first_closed(rows["t"], rows["y"].astype(np.int64) * width + rows["x"], [rows[v] for v in self.names], cells, self.wait)
-
-    def _set(self, held: int, opened: int, close: int, look: int, old: int | None) -> None:
-        timer = -(-close // 1000)
-        if timer != old:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(timer)
-        self.about.update((held, opened, timer, look))
+        rows = np.concatenate([np.frombuffer(c[0], self.kind) for c in self.chunks.get()])
+        return rows[np.lexsort([rows[c] for c in (*self.names[::-1], "x", "y", "micros", "image_id")])]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = []
+        first = None
         for df in rows:
             chunk = np.empty(len(df), self.kind)
-            for name, c in zip(self.kind.names, ("micros", "y", "x", *self.names), strict=True):
-                chunk[name] = df[c].to_numpy()
-            new.append(chunk)
-        new = np.concatenate(new)
-        about = self.about.get() if self.about.exists() else None
-        self.chunks.appendValue((new.tobytes(),))
-        held, opened, timer, look = about or (0, int(new["t"].min()), None, 0)
-        held, earlier, opened = held + len(new), int(new["t"].min()) < opened, min(opened, int(new["t"].min()))
-        _, height, width, lines, part = key
-        cells = (min(height, (part + 1) * lines) - part * lines) * width
-        if about is None:
-            look = cells
-        if held >= look or earlier:  # fewer pixels than cells can't be whole, so chunks are not read for each batch
-            own, close, whole = self._first(key, self._load())
-            self._set(held, opened, close, 0 if whole else held + cells - len(own), timer)
-        elif about is None:
-            self._set(held, opened, opened + self.wait, look, None)
-        else:
-            self.about.update((held, opened, timer, look))
+            for c in self.kind.names:
+                chunk[c] = df[c].to_numpy()
+            self.chunks.appendValue((chunk.tobytes(),))
+            first = min(int(chunk["micros"].min()), first) if first is not None else int(chunk["micros"].min())
+        timer, old = -(-first // 1000), self.about.get()[0] if self.about.exists() else None
+        if old is None or timer < old:  # a pixel changes no closing time before its own
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timer)
+            self.about.update((timer,))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        image, height, width, lines, part = key
+        _, height, width, lines, part = key
+        cells = (min(height, (part + 1) * lines) - part * lines) * width
         rows, mark = self._load(), timerValues.getCurrentWatermarkInMs()
-        self.chunks.clear()
-        self.about.clear()
+        left, out, timer = [], [], None
         while len(rows):
-            own, close, whole = self._first(key, rows)
-            if -(-close // 1000) > mark:  # the next image of this key is still open
-                self.chunks.appendValue((rows.tobytes(),))
-                self._set(len(rows), int(rows["t"].min()), close, 0 if whole else len(rows) + (min(height, (part + 1) * lines) - part * lines) * width - len(own), None)
-                return
-            kept = rows[own]
+            held, which, opened, closed, whole = first_closed(rows["image_id"], rows["micros"], rows["y"].astype(np.int64) * width + rows["x"], cells, self.wait)
+            until = -(-closed // 1000)
+            gone = until <= mark
+            if not gone.all():  # these images are still open
+                left.append(rows[~gone[which]])
+                timer = min(int(until[~gone].min()), timer) if timer is not None else int(until[~gone].min())
+            own = held[gone[which[held]]]
+            out.append((rows[own], opened[which[own]], closed[which[own]], whole[which[own]]))
+            rows = rows[gone[which] & (rows["micros"] > closed[which])]
+        kept, opened, closed, whole = (np.concatenate(c) for c in zip(*out))
+        if len(kept):
+            self.chunks.clear()
+            if left:
+                self.chunks.appendValue((np.concatenate(left).tobytes(),))
+        if timer is None:
+            self.about.clear()
+        else:
+            self.handle.registerTimer(timer)
+            self.about.update((timer,))
+        if len(kept):
             yield pd.DataFrame({
-                "image_id": np.full(len(own), image), "y": kept["y"], "x": kept["x"], **{v: kept[v] for v in self.names},
-                "part": np.full(len(own), part, np.int32), "opened": np.full(len(own), rows["t"].min()), "closed": np.full(len(own), close), "whole": np.full(len(own), whole),
+                "image_id": kept["image_id"], "y": kept["y"], "x": kept["x"], **{v: kept[v] for v in self.names},
+                "part": np.full(len(kept), part, np.int32), "opened": opened, "closed": closed, "whole": whole,
             })
-            rows = rows[rows["t"] > close]
 
     def close(self) -> None:
         pass
@@ -140,8 +139,9 @@ def assemble(stream: DataFrame, *channels: str, wait: str = "1 hour", delay: str
       unlike images. An image without a pixel doesn't leave.
 
     ``lines`` cuts images into parts of so many lines that are whole and leave each on its own: an image of any size is then
-    spread over tasks, and a task holds a part only. None: whole images, one part. State is the pixels of the last
-    ``wait`` and ``delay``; a closed image leaves none. The session is one of ``state_session``, or
+    spread over tasks. None: whole images, one part. State is the pixels of the last ``wait`` and ``delay``; a closed image
+    leaves none. A task holds the pixels of one key: an image (or a part of it), or several small ones, whose ids
+    follow each other, of ``GROUP_CELLS`` cells together; ids far apart have a key each, which is right but slower. The session is one of ``state_session``, or
     has at least ``spark.sql.streaming.stateStore.providerClass`` = ``PROVIDER``.
     """
     require_channels(stream, *channels)
@@ -159,8 +159,10 @@ def assemble(stream: DataFrame, *channels: str, wait: str = "1 hour", delay: str
         *[F.col(c).alias(v) for v, c in zip(names, channels)], F.col(ts).alias("ts"), F.unix_micros(F.col(ts)).alias("micros"), size.cast("int").alias("lines")
     )
     inside = sized.where("image_id is not null and micros is not null and y >= 0 and y < height and x >= 0 and x < width").withColumn("part", F.floor(F.col("y") / F.col("lines")).cast("int"))
+    cells = F.least("height", "lines").cast("long") * F.col("width")
+    inside = inside.withColumn("ids", F.greatest(F.floor(F.lit(GROUP_CELLS) / cells), F.lit(1))).withColumn("images", F.expr("image_id div ids"))
     schema = "image_id long, y int, x int, " + ", ".join(f"{v} float" for v in names) + ", part int, opened long, closed long, whole boolean"
-    groups = inside.withWatermark("ts", delay).groupBy("image_id", "height", "width", "lines", "part")
+    groups = inside.withWatermark("ts", delay).groupBy("images", "height", "width", "lines", "part")
     out = groups.transformWithStateInPandas(_Assembly(list(channels), gap), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return out.select("image_id", "y", "x", *[F.col(v).alias(c) for v, c in zip(names, channels)], "part", F.timestamp_micros("opened").alias("opened"), F.timestamp_micros("closed").alias("closed"), "whole")
 

@@ -76,3 +76,24 @@ def test_faults(state, tmp_path):
     for bad in (lambda: assemble(df.drop("height"), "l"), lambda: assemble(df, "l", lines=0), lambda: assemble(df), lambda: assemble(df, "g")):
         with pytest.raises(ShapeError):
             bad()
+
+
+def test_small_images_share_keys(state, tmp_path):
+    """Images in all states beside each other in one key: whole, out of time, opened again, still open; ids of any size."""
+    rng = random.Random(5)
+    ids = [*range(-200, 400), 2**62, 2**62 + 1, -(2**63), 2**63 - 1, 10**6, 2 * 10**6]
+    rows = [(i, 0, rng.randrange(2), rng.randrange(9) / 8, 1, 2, rng.randrange(500)) for i in ids for _ in range(rng.randrange(1, 6))]
+    rows += [(7, 0, rng.randrange(3), 0.5, 1, 3, rng.randrange(500)) for _ in range(9)]  # the same id in another size
+    rows.sort(key=lambda r: r[6] + rng.random() * 8)
+    want = plain(rows, 100, 10)
+    assert run(state, tmp_path, [rows[:700], rows[700:900], rows[900:]]) == want
+    assert len({r[:3] for r in want if r[4]}) > 100 and len({r[:3] for r in want if not r[4]}) > 100
+
+
+def test_state_grows_by_cells_not_by_images(state, tmp_path):
+    """2,048 open images of two cells are four keys: a few rows of state each, where they were several rows for each image."""
+    state.range(2048).selectExpr("id image_id", "0 y", "0 x", "float(0.5) l", "1 height", "2 width", "timestamp_seconds(id) ts").coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = assemble(state.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), "l", wait="1 day", delay="1 day")
+    query = out.writeStream.format("noop").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 100
